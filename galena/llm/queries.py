@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from galena.llm.common import table
 from galena.llm.exact_dedup import exact_dedup
+from galena.llm.mixing import mix
 from galena.llm.packing import document_encoder, pack
 from galena.llm.simhash import simhash_components
 from galena.llm.tokens import WORD_BPE
+from galena.llm.winnow import edited_fingerprints
+
+
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +31,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_winnowing": op1_winnowing,
     "op2_packing": op2_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
