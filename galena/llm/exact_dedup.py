@@ -42,7 +42,7 @@ def tree_merge(runs: DataFrame, bits: int = 3) -> DataFrame:
     merged, level = runs.select(F.col("run").alias("lane"), *_EQUAL, F.col("row").alias("keep"), F.lit(1).cast("long").alias("group_size")), 0
     while True:
         level += 1
-        lane = F.shiftright("lane", bits) if last >> (bits * level) else F.lit(0)
+        lane = F.shiftright("lane", bits)  # 0 at last, but as a column: the join then deals both sides anew and can split hot digests
         merged = (
             merged.groupBy(lane.alias("lane"), *_EQUAL)
             .agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
