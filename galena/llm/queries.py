@@ -10,6 +10,7 @@ from galena.llm.common import table
 from galena.llm.exact_dedup import exact_dedup
 from galena.llm.mixing import mix
 from galena.llm.packing import document_encoder, pack
+from galena.llm.secrets import report_sql, secret_report
 from galena.llm.simhash import simhash_components
 from galena.llm.tokens import WORD_BPE
 from galena.llm.winnow import edited_fingerprints
@@ -27,6 +28,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_packing": op2_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secrets": op5_secrets,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
@@ -51,4 +57,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op5_secrets": report_sql(),
 }
