@@ -12,6 +12,7 @@ from galena.llm.mixing import mix
 from galena.llm.packing import document_encoder, pack
 from galena.llm.secrets import report_sql, secret_report
 from galena.llm.simhash import simhash_components
+from galena.llm.substring_dedup import repeat_report
 from galena.llm.tokens import WORD_BPE
 from galena.llm.winnow import edited_fingerprints
 
@@ -32,6 +33,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secrets": op5_secrets,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
