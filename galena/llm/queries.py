@@ -10,6 +10,7 @@ from galena.llm.common import table
 from galena.llm.exact_dedup import exact_dedup
 from galena.llm.mixing import mix
 from galena.llm.packing import document_encoder, pack
+from galena.llm.quality import quality_scores
 from galena.llm.secrets import report_sql, secret_report
 from galena.llm.simhash import simhash_components
 from galena.llm.substring_dedup import repeat_report
@@ -33,6 +34,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secrets": op5_secrets,
+    "op6_quality": op6_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
