@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm.common import SPACE, checkpointed, text_of
+from galena.llm.rows import keep_rows, tag
 
 _EQUAL = ["digest", "chars", "check"]
 
@@ -77,16 +78,10 @@ def exact_dedup(docs: DataFrame, bits: int = 3) -> DataFrame:
 def kept_documents(docs: DataFrame, bits: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns and texts unchanged.
 
-    Rows are told apart by doc_id and digest, so the kept row is found again
-    after a recomputed scan; rows equal in both collapse to one.
+    Null text is empty text; of rows that repeat doc_id and text one is kept.
     """
-    runs = digest_runs(docs).select("doc_id", *_EQUAL, "run", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")).alias("row"))
-    runs = checkpointed(runs)
-    groups = tree_merge(runs, bits)
-    keep = groups.select(F.col("keep.id").alias("_keep_id"), F.col("digest").alias("_digest"), (F.col("group_size") > 1).alias("_many"))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(F.regexp_replace(text_of(), SPACE, " "), 256)))
-    stay = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (marked["_digest"] == keep["_digest"])).select(*[marked[c] for c in marked.columns], "_many")
-    names = docs.columns
-    once = stay.filter(~F.col("_many")).select(*names)
-    again = stay.filter("_many").dropDuplicates(["doc_id", "_digest"]).select(*names)
-    return once.unionByName(again)
+    normal = docs.select("doc_id", tag(docs).alias("tag"), F.regexp_replace(text_of(), SPACE, " ").alias("normal"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "tag").alias("row")
+    runs = checkpointed(normal.select(row, F.unhex(F.sha2("normal", 256)).alias("digest"), F.length("normal").alias("chars"), F.xxhash64("normal").alias("check"), F.spark_partition_id().alias("run")))
+    keep = tree_merge(runs, bits).select(F.col("keep.id").alias("doc_id"), F.col("keep.tag").alias("tag"), F.col("group_size").alias("copies"))
+    return keep_rows(docs, keep)

@@ -168,9 +168,9 @@ def document_encoder(path: str, end_id: int):
     """Encoder of whole texts: ids of the text, then ``end_id``; all tokens bear loss."""
 
     def make():
-        from galena.llm.tokens import WordIds
+        from galena.llm.tokens import word_ids
 
-        words, end = WordIds(path), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(path), np.array([end_id], "<u4").tobytes()
         return lambda row: (words.of(row["text"]) + end, None)
 
     return make
@@ -180,9 +180,9 @@ def chat_encoder(path: str, end_id: int, roles: tuple[str, ...] = ("assistant",)
     """Encoder of conversations (``turns``: array of struct role, text): only ``roles`` bear loss."""
 
     def make():
-        from galena.llm.tokens import WordIds
+        from galena.llm.tokens import word_ids
 
-        words, end = WordIds(path), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(path), np.array([end_id], "<u4").tobytes()
 
         def encode(row: dict) -> tuple[bytes, np.ndarray]:
             parts = [(words.of(t["text"]) + end, t["role"] in roles) for t in row["turns"] or [] if t]
