@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from galena.llm.common import table
 from galena.llm.exact_dedup import exact_dedup
+from galena.llm.html_text import page_texts
 from galena.llm.mixing import mix
 from galena.llm.packing import document_encoder, pack
 from galena.llm.quality import quality_scores
 from galena.llm.secrets import report_sql, secret_report
 from galena.llm.simhash import simhash_components
 from galena.llm.substring_dedup import repeat_report
+from galena.llm.token_counts import token_counts
 from galena.llm.tokens import WORD_BPE
 from galena.llm.winnow import edited_fingerprints
 
@@ -26,6 +28,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), document_encoder(WORD_BPE, end_id=2), ["text"])
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
@@ -53,9 +63,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_packing": op2_packing,
+    "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
+    "op7_html_text": op7_html_text,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
