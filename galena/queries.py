@@ -1,4 +1,606 @@
 """Queries over asset-library views, and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from galena.functions import formats, scalars
+from galena.operators import fuzzy, library, mutations, sync, trees, vectors
+from galena.operators.ranking import numbered
+from galena.plans import filters
+from galena.plans.filters import FilterSpec
+from galena.sources import scan
+from galena.sources.library import view, with_views
+from galena.streaming import events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+ACTIVE = "deleted_at IS NULL AND missing_at IS NULL"
+TAIL = "imported_at DESC, id ASC"
+
+
+def query(sql: str | None = None, *views: str, **values: str):
+    """Register a query under its function's name, with its oracle over ``views``."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            text = sql
+            for k, v in {"ACTIVE": ACTIVE, "TAIL": TAIL, **values}.items():
+                text = text.replace(f"${k}", v)
+            ORACLE_SQL[f.__name__] = with_views(text, *views) if views else text
+        return f
+
+    return register
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "files")
+
+
+# ---------------------------------------------------------------- filters, orders, pages
+
+FLAGSHIP = FilterSpec(file_types=("image", "video"), min_rating=2, tag_ids=(1, 2, 3, 5, 8, 13), dominant_color="#408060")
+
+
+@query(
+    """
+    WITH hit AS (
+        SELECT * FROM files WHERE $ACTIVE
+          AND lower(ext) IN ('jpg', 'png', 'webp', 'svg', 'mp4') AND rating >= 2
+          AND (dominant_r - 64) * (dominant_r - 64) + (dominant_g - 128) * (dominant_g - 128) + (dominant_b - 96) * (dominant_b - 96) <= 7225
+          AND id IN (SELECT file_id FROM file_tags WHERE tag_id IN (1, 2, 3, 5, 8, 13))),
+    pg AS (SELECT id, name, size, rating FROM hit ORDER BY size DESC, $TAIL LIMIT 50)
+    SELECT pg.id, pg.name, pg.size, pg.rating, coalesce(string_agg(t.name, ',' ORDER BY ft.ord), '') AS tags, (SELECT count(*) FROM hit) AS total
+    FROM pg LEFT JOIN file_tags ft ON ft.file_id = pg.id LEFT JOIN tags t ON t.id = ft.tag_id
+    GROUP BY pg.id, pg.name, pg.size, pg.rating""",
+    "files", "file_tags", "tags",
+)
+def filter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: type, rating, tag and color filters, sorted, first page, tags nested, with the total."""
+    file_tags, tags = view(spark, sf_dir, "file_tags"), view(spark, sf_dir, "tags")
+    page = filters.filter_files(files_of(spark, sf_dir), file_tags, tags, FLAGSHIP, "size", "desc", 1, 50)
+    names = F.array_join(F.transform("tags", lambda t: t["name"]), ",")
+    return page.rows.select("id", "name", "size", "rating", names.alias("tags"), F.lit(page.total).cast("long").alias("total"))
+
+
+def _filtered(spec: FilterSpec):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return filters.filtered(files_of(spark, sf_dir), view(spark, sf_dir, "file_tags"), spec).select("id", "name")
+
+    return run
+
+
+SPECS = {
+    "filter_name_contains": (FilterSpec(query=" SRC1_EN "), "lower(name) LIKE '%src1_en%'"),
+    "filter_folder": (FilterSpec(folder_id=7), "folder_id = 7"),
+    "filter_unclassified": (FilterSpec(smart_view="unclassified"), "folder_id IS NULL"),
+    "filter_untagged": (FilterSpec(smart_view="untagged"), "NOT EXISTS (SELECT 1 FROM file_tags t WHERE t.file_id = files.id)"),
+    "filter_recent": (FilterSpec(smart_view="recent"), "last_accessed_at IS NOT NULL"),
+    "filter_types": (FilterSpec(file_types=("audio", "archive")), "lower(ext) IN ('mp3', 'zip')"),
+    "filter_unknown_type": (FilterSpec(file_types=("all",)), "TRUE"),
+    "filter_dates": (FilterSpec(date_start="2026-03-01", date_end="2026-05-01"), "imported_at >= '2026-03-01' AND imported_at <= '2026-05-01'"),
+    "filter_sizes": (FilterSpec(size_min=500, size_max=2500), "size BETWEEN 500 AND 2500"),
+    "filter_rating": (FilterSpec(min_rating=3), "rating >= 3"),
+    "filter_tags_any": (FilterSpec(tag_ids=(4, 9)), "id IN (SELECT file_id FROM file_tags WHERE tag_id = 4 OR tag_id = 9)"),
+    "filter_color": (FilterSpec(dominant_color="80ff20"), "power(dominant_r - 128, 2) + power(dominant_g - 255, 2) + power(dominant_b - 32, 2) <= 85 * 85"),
+    "filter_bad_color": (FilterSpec(dominant_color="teal"), "FALSE"),
+}
+for _name, (_spec, _test) in SPECS.items():
+    QUERIES[_name] = _filtered(_spec)
+    ORACLE_SQL[_name] = with_views(f"SELECT id, name FROM files WHERE {ACTIVE} AND {_test}", "files", "file_tags")
+
+
+def _paged(sort_by: str, direction: str, page: int, spec: FilterSpec | None = None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        live = files_of(spark, sf_dir).filter(filters.is_active())
+        live = filters.filtered(live, view(spark, sf_dir, "file_tags"), spec) if spec else live
+        rows = filters.page_of(live, filters.order_of(sort_by, direction, spec), page, 40)
+        return rows.select("id", "name", "size", "imported_at")
+
+    return run
+
+
+ORDERS = {
+    "page_by_name": (("name", "asc", 2, None), "lower(name) ASC", ""),
+    "page_by_ext": (("ext", "asc", 3, None), "lower(ext) ASC, lower(name) ASC", ""),
+    "page_by_size": (("size", "down", 1, None), "size DESC", ""),
+    "page_by_rating": (("rating", "desc", 2, None), "rating DESC", ""),
+    "page_by_unknown": (("color", "asc", 1, None), "imported_at ASC", ""),
+    "page_recent": (("name", "asc", 1, FilterSpec(smart_view="recent")), "last_accessed_at DESC", "AND last_accessed_at IS NOT NULL"),
+    "page_random": (("name", "asc", 2, FilterSpec(smart_view="random", smart_seed=-41)), "abs((CAST(id AS HUGEINT) * 42 + 42 * 97 + 13) % 2147483647) ASC", ""),
+}
+for _name, (_args, _order, _test) in ORDERS.items():
+    QUERIES[_name] = _paged(*_args)
+    _tail = "id ASC" if "random" in _name else TAIL
+    ORACLE_SQL[_name] = with_views(f"SELECT id, name, size, imported_at FROM files WHERE {ACTIVE} {_test} ORDER BY {_order}, {_tail} LIMIT 40 OFFSET {40 * (_args[2] - 1)}", "files")
+
+
+# ---------------------------------------------------------------- scans
+
+
+@query("SELECT id, name, deleted_at FROM files WHERE id IN (17, 19, 20)", "files")
+def file_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookups see deleted and missing files."""
+    return files_of(spark, sf_dir).filter(F.col("id").isin(17, 19, 20)).select("id", "name", "deleted_at")
+
+
+@query("SELECT id, path FROM files WHERE starts_with(normalized_path, '/library/src1/') OR normalized_path = '/library/src1'", "files")
+def files_under_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.under_path(files_of(spark, sf_dir), "/library/src1").select("id", "path")
+
+
+@query("SELECT id, name FROM folders WHERE path = '/library/ASIA' OR path LIKE '/library/ASIA/%'", "folders")
+def folders_under_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.under_path(view(spark, sf_dir, "folders"), "/library/ASIA/").select("id", "name")
+
+
+@query("SELECT w.pos, f.id, f.name FROM (VALUES (0, 50), (1, 3), (2, 77), (3, 12)) w(pos, id) JOIN files f ON f.id = w.id", "files")
+def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.multi_get(files_of(spark, sf_dir), [50, 3, 77, 3, 12, 10**12]).select("pos", "id", "name")
+
+
+@query("SELECT id, name, parent_id, sort_order, row_number() OVER (ORDER BY sort_order, created_at, id) AS place FROM folders WHERE deleted_at IS NULL", "folders")
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = view(spark, sf_dir, "folders").filter(F.col("deleted_at").isNull())
+    return numbered(live, [F.col("sort_order").asc(), F.col("created_at").asc(), F.col("id").asc()], "place").select("id", "name", "parent_id", "sort_order", "place")
+
+
+@query("""SELECT h AS href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) GROUP BY h""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.page_links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+# ---------------------------------------------------------------- joins and aggregations
+
+
+@query("SELECT ft.file_id, string_agg(t.name, ',' ORDER BY ft.ord) AS tags, count(*) AS n FROM file_tags ft JOIN tags t ON t.id = ft.tag_id GROUP BY ft.file_id", "file_tags", "tags")
+def tags_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = library.tags_of_files(view(spark, sf_dir, "file_tags"), view(spark, sf_dir, "tags"))
+    return nested.select("file_id", F.array_join(F.transform("tags", lambda t: t["name"]), ",").alias("tags"), F.size("tags").cast("long").alias("n"))
+
+
+@query(
+    """SELECT t.id, t.name, count(f.id) AS count, row_number() OVER (ORDER BY coalesce(t.parent_id, t.id), t.sort_order, t.name) AS place
+    FROM tags t LEFT JOIN file_tags ft ON ft.tag_id = t.id LEFT JOIN files f ON f.id = ft.file_id AND $ACTIVE GROUP BY t.id, t.name, t.parent_id, t.sort_order""",
+    "tags", "file_tags", "files",
+)
+def tag_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = library.tag_usage(view(spark, sf_dir, "tags"), view(spark, sf_dir, "file_tags"), files_of(spark, sf_dir))
+    return numbered(used, library.tag_order(), "place").select("id", "name", "count", "place")
+
+
+@query("SELECT folder_id, count(*) AS file_count FROM files WHERE $ACTIVE AND folder_id IS NOT NULL GROUP BY folder_id", "files")
+def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.folder_counts(files_of(spark, sf_dir))
+
+
+@query(
+    """SELECT (SELECT count(*) FROM files WHERE $ACTIVE) AS all_count, (SELECT count(*) FROM files WHERE $ACTIVE AND folder_id IS NULL) AS unclassified_count,
+    (SELECT count(*) FROM files WHERE $ACTIVE AND id NOT IN (SELECT file_id FROM file_tags)) AS untagged_count""",
+    "files", "file_tags",
+)
+def smart_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.smart_stats(files_of(spark, sf_dir), view(spark, sf_dir, "file_tags"))
+
+
+@query(
+    """SELECT content_hash, count(*) AS group_size, max(imported_at) AS latest, first(id ORDER BY $TAIL) AS first_id
+    FROM files WHERE $ACTIVE AND content_hash IS NOT NULL AND content_hash <> '' GROUP BY content_hash HAVING count(*) > 1""",
+    "files",
+)
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.exact_duplicates(files_of(spark, sf_dir))
+
+
+COUNTS = """
+    WITH s AS (
+        SELECT f.id, e.status, e.embedding,
+               (nullif(f.content_hash, '') IS NOT NULL AND nullif(e.source_content_hash, '') IS NOT NULL AND f.content_hash <> e.source_content_hash)
+               OR ((nullif(f.content_hash, '') IS NULL OR nullif(e.source_content_hash, '') IS NULL) AND (f.size <> e.source_size OR f.fs_modified_at <> e.source_modified_at)) AS outdated
+        FROM files f LEFT JOIN file_visual_embeddings e ON e.file_id = f.id AND e.model_id = 'clip-a'
+        WHERE $ACTIVE AND lower(f.ext) IN ('jpg', 'png', 'webp'))"""
+
+
+@query(
+    COUNTS + """
+    SELECT total, ready, error, outdated, greatest(total - ready - error - outdated, 0) AS pending FROM (
+        SELECT count(*) AS total, count(*) FILTER (status = 'ready' AND embedding IS NOT NULL AND NOT coalesce(outdated, FALSE)) AS ready,
+               count(*) FILTER (status = 'error' AND NOT coalesce(outdated, FALSE)) AS error, count(*) FILTER (outdated) AS outdated FROM s)""",
+    "files", "file_visual_embeddings",
+)
+def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.index_counts(files_of(spark, sf_dir), view(spark, sf_dir, "file_visual_embeddings"), "clip-a")
+
+
+@query(
+    COUNTS + """
+    SELECT id, coalesce(outdated, FALSE) AS outdated, NOT (coalesce(status = 'error', FALSE) AND NOT coalesce(outdated, FALSE)) AS pending
+    FROM s WHERE NOT coalesce(status = 'ready' AND embedding IS NOT NULL, FALSE) OR coalesce(outdated, FALSE)""",
+    "files", "file_visual_embeddings",
+)
+def index_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index run takes up; pending ones leave out failures of the same content."""
+    s = vectors.index_state(files_of(spark, sf_dir), view(spark, sf_dir, "file_visual_embeddings"), "clip-a")
+    return s.filter("unindexed").select("id", "outdated", "pending")
+
+
+# ---------------------------------------------------------------- vectors and similarity
+
+CURRENT = """
+    WITH c AS (
+        SELECT f.id, f.imported_at, f.content_hash, e.model_id, e.embedding::DOUBLE[] AS v FROM files f JOIN file_visual_embeddings e ON e.file_id = f.id
+        WHERE $ACTIVE AND status = 'ready' AND embedding IS NOT NULL AND len(embedding) = dimensions
+          AND CASE WHEN nullif(content_hash, '') IS NOT NULL AND nullif(source_content_hash, '') IS NOT NULL THEN content_hash = source_content_hash
+                   ELSE size = source_size AND fs_modified_at = source_modified_at END)"""
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """A vector of the table: the smallest vec_id's."""
+    return list(spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").select("embedding").first()[0])
+
+
+@query(
+    CURRENT + """
+    SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, $TAIL) AS rank FROM (
+        SELECT id, imported_at, list_dot_product(v, (SELECT arg_min(embedding, vec_id)::DOUBLE[] FROM embeddings)) AS score FROM c WHERE model_id = 'clip-a') ORDER BY rank LIMIT 30""",
+    "files", "file_visual_embeddings",
+)
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page of an exact search, best first."""
+    found = vectors.search(files_of(spark, sf_dir), view(spark, sf_dir, "file_visual_embeddings"), "clip-a", _query_vector(spark, sf_dir))
+    page = filters.page_of(found, vectors.search_order(), 1, 30)
+    return numbered(page, vectors.search_order()).select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(CURRENT + "SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 6) AS score FROM c a JOIN c b ON a.model_id = b.model_id AND a.id < b.id WHERE list_dot_product(a.v, b.v) >= 0.3", "files", "file_visual_embeddings")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cands = vectors.candidates(files_of(spark, sf_dir), view(spark, sf_dir, "file_visual_embeddings"))
+    return vectors.similar_pairs(cands, 0.3).select("a", "b", F.round("score", 6).alias("score"))
+
+
+REACH = """,
+    e AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) AS score FROM c a JOIN c b ON a.model_id = b.model_id AND a.id <> b.id WHERE list_dot_product(a.v, b.v) >= 0.35),
+    r AS (SELECT DISTINCT a AS id, a AS reached FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached),
+    g AS (SELECT id, min(reached) AS component FROM r GROUP BY id)"""
+
+
+@query(CURRENT.replace("WITH", "WITH RECURSIVE", 1) + REACH + " SELECT id, component FROM g", "files", "file_visual_embeddings")
+def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cands = vectors.candidates(files_of(spark, sf_dir), view(spark, sf_dir, "file_visual_embeddings"))
+    return vectors.similar_groups(cands, 0.35).select("id", "component")
+
+
+@query(
+    CURRENT.replace("WITH", "WITH RECURSIVE", 1) + REACH + """,
+    x AS (SELECT id, imported_at, max(imported_at) OVER w AS latest, first_value(id) OVER (w ORDER BY $TAIL) AS lead
+          FROM files WHERE $ACTIVE AND coalesce(content_hash, '') <> '' WINDOW w AS (PARTITION BY content_hash) QUALIFY count(*) OVER w > 1),
+    m AS (SELECT g.id, g.component, f.imported_at FROM g JOIN files f ON f.id = g.id),
+    s AS (SELECT DISTINCT component, latest, lead FROM x JOIN m ON m.id = x.id),
+    i AS (SELECT component, max(imported_at) AS latest, first(id ORDER BY $TAIL) AS lead, (SELECT max(score) FROM e JOIN g ON g.id = e.a WHERE g.component = m.component) AS best FROM m GROUP BY component),
+    p AS (SELECT id, 0 AS tier, 0.0 AS best, latest, lead, 0 AS part, imported_at FROM x
+          UNION ALL SELECT m.id, 0, 0.0, s.latest, s.lead, 1, m.imported_at FROM m JOIN s ON s.component = m.component
+          UNION ALL SELECT m.id, 1, i.best, i.latest, i.lead, 0, m.imported_at FROM m JOIN i ON i.component = m.component WHERE m.component NOT IN (SELECT component FROM s)),
+    o AS (SELECT id, row_number() OVER (ORDER BY tier, best DESC, latest DESC, lead, part, imported_at DESC, id) AS n FROM p)
+    SELECT id, row_number() OVER (ORDER BY min(n)) AS rank FROM o GROUP BY id""",
+    "files", "file_visual_embeddings",
+)
+def duplicate_or_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.duplicate_or_similar(files_of(spark, sf_dir), view(spark, sf_dir, "file_visual_embeddings"), 0.35)
+
+
+@query(
+    CURRENT + """, p AS (
+        SELECT list_dot_product(v, (SELECT arg_min(embedding, vec_id)::DOUBLE[] FROM embeddings)) AS score, id, imported_at FROM c WHERE model_id = 'clip-a' ORDER BY score DESC, $TAIL LIMIT 100),
+    l AS (SELECT list_sort(list(score)) AS s, count(*) AS n FROM p)
+    SELECT n, round(s[n], 6) AS top, round(s[CAST(ceil(n * 0.9) AS INT)], 6) AS p90, round(s[CAST(ceil(n * 0.5) AS INT)], 6) AS p50, round(s[1], 6) AS least FROM l WHERE n > 0""",
+    "files", "file_visual_embeddings",
+)
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.search(files_of(spark, sf_dir), view(spark, sf_dir, "file_visual_embeddings"), "clip-a", _query_vector(spark, sf_dir))
+    summary = library.score_summary(filters.page_of(found, vectors.search_order(), 1, 100))
+    return summary.select("n", *(F.round(c, 6).alias(c) for c in ("top", "p90", "p50", "least")))
+
+
+# ---------------------------------------------------------------- trees
+
+
+@query(
+    """
+    WITH RECURSIVE live AS (SELECT id, parent_id, name, sort_order FROM folders WHERE deleted_at IS NULL),
+    t AS (SELECT id, parent_id, name, 0 AS depth FROM live WHERE parent_id IS NULL UNION ALL SELECT c.id, c.parent_id, c.name, t.depth + 1 FROM live c JOIN t ON c.parent_id = t.id)
+    SELECT t.id, t.parent_id, t.name, t.depth, count(f.id) AS file_count FROM t LEFT JOIN files f ON f.folder_id = t.id AND $ACTIVE GROUP BY ALL""",
+    "folders", "files", ACTIVE="f.deleted_at IS NULL AND f.missing_at IS NULL",
+)
+def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = trees.folder_tree(view(spark, sf_dir, "folders"), library.folder_counts(files_of(spark, sf_dir)))
+    return tree.select("id", "parent_id", "name", "depth", "file_count")
+
+
+TAG_TREE = """
+    WITH RECURSIVE t AS (
+        SELECT id, name, 0 AS depth, CAST(id AS VARCHAR) AS trail FROM tags WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM tags)
+        UNION ALL SELECT c.id, c.name, t.depth + 1, t.trail || '/' || c.id FROM tags c JOIN t ON c.parent_id = t.id)"""
+
+
+@query(TAG_TREE + "SELECT id, name, depth, trail FROM t", "tags")
+def tag_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.tag_tree(view(spark, sf_dir, "tags")).select("id", "name", "depth", F.array_join(F.col("trail").cast("array<string>"), "/").alias("trail"))
+
+
+@query(
+    TAG_TREE + """
+    SELECT id, name FROM t WHERE EXISTS (SELECT 1 FROM t h WHERE contains(lower(h.name), '_1') AND (starts_with(h.trail || '/', t.trail || '/') OR starts_with(t.trail || '/', h.trail || '/')))""",
+    "tags",
+)
+def tag_tree_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching nodes with all above and below them."""
+    return trees.filter_tree(trees.tag_tree(view(spark, sf_dir, "tags")), F.lower("name").contains("_1")).select("id", "name")
+
+
+# ---------------------------------------------------------------- fuzzy
+
+
+@query(
+    r"""
+    WITH n AS (SELECT p_partkey AS id, p_name AS name, lower(p_name) AS n FROM part),
+    m AS (SELECT id, name, CASE WHEN n = 'be' THEN 6 WHEN starts_with(n, 'be') THEN 5 WHEN contains(n, ' be') THEN 4 WHEN contains(n, 'be') THEN 3
+                 WHEN contains(array_to_string(list_transform(list_filter(regexp_split_to_array(n, '[\s-]+'), lambda w: w <> ''), lambda w: w[1]), ''), 'be') THEN 2
+                 WHEN regexp_matches(n, '(?s)b.*?e') THEN 1 END AS tier FROM n)
+    SELECT id, name, tier FROM m WHERE tier IS NOT NULL""",
+)
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return fuzzy.with_tiers(parts, "be", F.col("name")).select("id", "name", "tier")
+
+
+@query(
+    r"""
+    WITH n AS (SELECT id, name, lower(regexp_replace(name, '(.)\.[^.]*$', '\1')) AS n FROM files WHERE $ACTIVE AND folder_id = 3)
+    SELECT id, name FROM n WHERE regexp_matches(n, '(?s)s.*?3.*?5')""",
+    "files",
+)
+def fuzzy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy on the stem within a folder: filter first, then match."""
+    rows = filters.filtered(files_of(spark, sf_dir), view(spark, sf_dir, "file_tags"), FilterSpec(folder_id=3))
+    return fuzzy.fuzzy_files(rows, "s35").select("id", "name")
+
+
+@query(
+    """SELECT id, name, CASE WHEN lower(name) = 'an' THEN 0 WHEN instr(lower(name), 'an') = 1 THEN 1 ELSE instr(lower(name), 'an') + 1 END AS score
+    FROM tags WHERE contains(lower(name), 'an') AND id NOT IN (SELECT tag_id FROM file_tags WHERE file_id = 3) UNION ALL SELECT NULL, 'an', 1000000""",
+    "tags", "file_tags",
+)
+def suggest_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.suggest_tags(view(spark, sf_dir, "tags"), view(spark, sf_dir, "file_tags"), 3, " an ")
+
+
+# ---------------------------------------------------------------- snapshots of changes
+
+
+def _incoming(files: DataFrame) -> DataFrame:
+    """Every third file again with another hash or none, and as many new paths."""
+    again = files.filter("id % 3 = 0").select("normalized_path", "path", "name", F.upper("ext").alias("ext"), (F.col("size") + 1).alias("size"), F.when(F.col("id") % 2 == 0, F.lit("fresh")).alias("content_hash"), F.lit(5).alias("rating"), F.lit("#102030").alias("dominant_color"))
+    new = again.withColumns({"normalized_path": F.concat("normalized_path", F.lit(".new")), "path": F.concat("path", F.lit(".new"))})
+    return again.unionByName(new)
+
+
+@query(
+    """
+    SELECT id, normalized_path, ext, size, content_hash, rating, dominant_color, dominant_r, deleted_at, missing_at FROM (
+        SELECT id, normalized_path, CASE WHEN id % 3 = 0 THEN lower(ext) ELSE ext END AS ext, CASE WHEN id % 3 = 0 THEN size + 1 ELSE size END AS size,
+               CASE WHEN id % 6 = 0 THEN 'fresh' ELSE content_hash END AS content_hash, rating, dominant_color, dominant_r,
+               CASE WHEN id % 3 = 0 THEN NULL ELSE deleted_at END AS deleted_at, CASE WHEN id % 3 = 0 THEN NULL ELSE missing_at END AS missing_at FROM files
+        UNION ALL
+        SELECT (SELECT max(id) FROM files) + row_number() OVER (ORDER BY normalized_path || '.new'), normalized_path || '.new', lower(ext), size + 1,
+               CASE WHEN id % 2 = 0 THEN 'fresh' END, 5, '#102030', 16, NULL, NULL FROM files WHERE id % 3 = 0)""",
+    "files",
+)
+def upsert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = files_of(spark, sf_dir)
+    return mutations.upsert_files(files, _incoming(files)).select("id", "normalized_path", "ext", "size", "content_hash", "rating", "dominant_color", "dominant_r", "deleted_at", "missing_at")
+
+
+@query(
+    """SELECT id, CASE WHEN id % 5 = 1 AND deleted_at IS NULL AND missing_at IS NULL THEN '2027' ELSE missing_at END AS missing_at, deleted_at FROM files""",
+    "files",
+)
+def mark_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations.mark_missing(files_of(spark, sf_dir), F.col("id") % 5 == 1, "2027").select("id", "missing_at", "deleted_at")
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN '2027' ELSE deleted_at END AS deleted_at, CASE WHEN id % 7 = 0 THEN NULL ELSE missing_at END AS missing_at FROM files", "files")
+def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations.soft_delete(files_of(spark, sf_dir), F.col("id") % 7 == 0, "2027").select("id", "deleted_at", "missing_at")
+
+
+@query("SELECT id, CASE WHEN starts_with(path, '/library/src1/') THEN '/library/moved/' || substr(path, 15) ELSE path END AS path FROM files", "files")
+def move_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations.move_subtree(files_of(spark, sf_dir), "/library/src1", "/library/moved", "path").select("id", "path")
+
+
+@query("SELECT parent_id, min(sort_order) - 1 AS sort_order FROM folders WHERE deleted_at IS NULL GROUP BY parent_id", "folders")
+def prepend_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations.prepend_sort_order(view(spark, sf_dir, "folders"))
+
+
+@query("SELECT id, CASE id WHEN 4 THEN 0 WHEN 2 THEN 1 WHEN 9 THEN 2 ELSE sort_order END AS sort_order FROM tags", "tags")
+def reorder_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations.reorder(view(spark, sf_dir, "tags"), [4, 2, 9]).select("id", "sort_order")
+
+
+@query(
+    """SELECT file_id, tag_id, min(ord) AS ord FROM (SELECT * FROM file_tags UNION ALL SELECT id, 24, 5000000 + id FROM files WHERE id % 6 = 0) GROUP BY file_id, tag_id""",
+    "files", "file_tags",
+)
+def link_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = files_of(spark, sf_dir).filter("id % 6 = 0").select(F.col("id").alias("file_id"), F.lit(24).cast("long").alias("tag_id"), (F.col("id") + 5_000_000).alias("ord"))
+    return mutations.link_tags(view(spark, sf_dir, "file_tags"), new)
+
+
+@query(
+    """SELECT DISTINCT '/archive/' || folder_id || '/' || (id % 3) AS path, '/archive/' || folder_id AS parent_path, CAST(id % 3 AS VARCHAR) AS name FROM files WHERE folder_id IS NOT NULL
+    UNION SELECT '/archive/' || folder_id, '/archive', CAST(folder_id AS VARCHAR) FROM files WHERE folder_id IS NOT NULL""",
+    "files",
+)
+def ancestor_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = files_of(spark, sf_dir).filter("folder_id is not null").select(F.concat(F.lit("/archive//"), F.col("folder_id").cast("string"), F.lit("/./"), (F.col("id") % 3).cast("string")).alias("path"))
+    return mutations.ancestor_folders(paths, "/archive/", view(spark, sf_dir, "folders"))
+
+
+@query(
+    """SELECT e.folder_id, greatest(e.file_count + coalesce(d.delta, 0), 0) AS file_count FROM folder_trash_entries e
+    LEFT JOIN (SELECT folder_id, CAST(1 - count(*) AS INT) AS delta FROM files WHERE deleted_at IS NOT NULL GROUP BY folder_id) d ON d.folder_id = e.folder_id""",
+    "folder_trash_entries", "files",
+)
+def trash_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deltas = files_of(spark, sf_dir).filter("deleted_at is not null").groupBy("folder_id").agg((1 - F.count(F.lit(1))).alias("delta"))
+    return mutations.adjust_trash_counts(view(spark, sf_dir, "folder_trash_entries"), deltas).select("folder_id", "file_count")
+
+
+# ---------------------------------------------------------------- synchronization and trash
+
+SNAPSHOT = """
+    WITH snap AS (
+        SELECT normalized_path AS path, ext, CASE WHEN id % 7 = 0 THEN size + 1 ELSE size END AS size, fs_modified_at AS mtime, content_hash FROM files WHERE id % 4 <> 0
+        UNION ALL SELECT '/library/new/' || id, ext, size, fs_modified_at, CASE WHEN id % 8 = 0 THEN content_hash END FROM files WHERE id % 4 = 0)"""
+
+
+@query(
+    SNAPSHOT + """,
+    src AS (SELECT f.*, row_number() OVER (PARTITION BY content_hash ORDER BY missing_at IS NOT NULL, $TAIL) AS r, f.path IN (SELECT path FROM snap) AS there FROM files f WHERE deleted_at IS NULL AND content_hash <> ''),
+    cand AS (SELECT content_hash, first(id ORDER BY missing_at IS NULL, r) AS id, first(path ORDER BY missing_at IS NULL, r) AS from_path FROM src WHERE r <= 8 AND (missing_at IS NOT NULL OR NOT there) GROUP BY content_hash),
+    new AS (SELECT path, nullif(content_hash, '') AS h FROM snap WHERE path NOT IN (SELECT normalized_path FROM files)),
+    moved AS (SELECT n.path, c.id, c.from_path FROM (SELECT h, min(path) AS path FROM new WHERE h IS NOT NULL GROUP BY h) n JOIN cand c ON c.content_hash = n.h)
+    SELECT f.normalized_path AS path, CASE WHEN s.path IS NULL THEN 'removed' WHEN f.deleted_at IS NOT NULL THEN 'skipped' WHEN f.missing_at IS NOT NULL THEN 'added'
+           WHEN lower(f.ext) = lower(s.ext) AND f.size = s.size AND f.fs_modified_at = s.mtime THEN 'skipped' ELSE 'updated' END AS kind, f.id, NULL AS from_path
+    FROM files f LEFT JOIN snap s ON s.path = f.normalized_path
+    WHERE (s.path IS NOT NULL OR $ACTIVE) AND f.id NOT IN (SELECT id FROM moved)
+    UNION ALL SELECT n.path, CASE WHEN m.id IS NULL THEN 'added' ELSE 'moved' END, m.id, m.from_path FROM new n LEFT JOIN moved m ON m.path = n.path""",
+    "files",
+)
+def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sync_diff(files_of(spark, sf_dir), _snapshot(spark, sf_dir))
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files_of(spark, sf_dir)
+    there = f.filter("id % 4 <> 0").select(F.col("normalized_path").alias("path"), "ext", F.when(F.col("id") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.col("fs_modified_at").alias("mtime"), "content_hash")
+    new = f.filter("id % 4 = 0").select(F.concat(F.lit("/library/new/"), F.col("id").cast("string")).alias("path"), "ext", "size", F.col("fs_modified_at").alias("mtime"), F.when(F.col("id") % 8 == 0, F.col("content_hash")).alias("content_hash"))
+    return there.unionByName(new)
+
+
+@query("SELECT 'file' AS kind, id, deleted_at, name FROM files WHERE deleted_at IS NOT NULL UNION ALL SELECT 'folder', folder_id, deleted_at, NULL FROM folder_trash_entries", "files", "folder_trash_entries")
+def trash_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.trash_items(files_of(spark, sf_dir), view(spark, sf_dir, "folder_trash_entries")).select("kind", "id", "deleted_at", "name")
+
+
+@query(
+    """SELECT f.id, CASE WHEN f.folder_id IS NULL OR d.id IS NOT NULL THEN f.normalized_path ELSE '/library/' || f.name END AS target_path, CASE WHEN d.id IS NOT NULL THEN f.folder_id END AS folder_id, FALSE AS from_trashed_folder
+    FROM files f LEFT JOIN folders d ON d.id = f.folder_id AND d.deleted_at IS NULL WHERE f.deleted_at IS NOT NULL""",
+    "files", "folders",
+)
+def restore_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.restore_targets(files_of(spark, sf_dir), view(spark, sf_dir, "folders"), view(spark, sf_dir, "folder_trash_entries"), "/library")
+
+
+# ---------------------------------------------------------------- scalar functions
+
+
+@query(
+    """SELECT id, lower(trim(ext)) AS ext, CASE lower(ext) WHEN 'jpg' THEN 'image' WHEN 'png' THEN 'image' WHEN 'webp' THEN 'image' WHEN 'svg' THEN 'image' WHEN 'mp4' THEN 'video' WHEN 'pdf' THEN 'pdf' WHEN 'mp3' THEN 'audio' ELSE 'archive' END AS kind,
+    CASE lower(ext) WHEN 'jpg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'webp' THEN 'image/webp' WHEN 'svg' THEN 'image/svg+xml' WHEN 'mp4' THEN 'video/mp4' WHEN 'pdf' THEN 'application/pdf' WHEN 'mp3' THEN 'audio/mpeg' ELSE 'application/zip' END AS mime,
+    CASE lower(ext) WHEN 'mp4' THEN 'video' WHEN 'pdf' THEN 'thumbnail' WHEN 'mp3' THEN 'none' WHEN 'zip' THEN 'none' ELSE 'image' END AS preview FROM files""",
+    "files",
+)
+def formats_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("ext")
+    return files_of(spark, sf_dir).select("id", formats.normalize_extension(e).alias("ext"), formats.kind_of(e).alias("kind"), formats.mime_of(e).alias("mime"), formats.preview_mode(e).alias("preview"))
+
+
+@query(
+    """SELECT id, CASE lower(ext) WHEN 'mp3' THEN 'skip' WHEN 'zip' THEN 'skip' WHEN 'mp4' THEN 'video' WHEN 'pdf' THEN 'pdf' ELSE
+        CASE WHEN width * height >= 10000000 THEN 'pixel-threshold' WHEN greatest(width, height) >= 3840 THEN 'edge-threshold' WHEN size >= 8388608 THEN 'size-threshold' ELSE 'skip' END END AS reason,
+    CASE WHEN lower(ext) = 'mp4' THEN 'renderer' WHEN lower(ext) IN ('mp3', 'zip') THEN 'none' WHEN lower(ext) = 'pdf' OR width * height >= 10000000 OR greatest(width, height) >= 3840 OR size >= 8388608 THEN 'main' ELSE 'none' END AS runtime FROM files""",
+    "files",
+)
+def thumbnail_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = scalars.thumbnail_plan(F.col("ext"), F.col("width"), F.col("height"), F.col("size"))
+    return files_of(spark, sf_dir).select("id", plan.alias("p")).select("id", "p.reason", "p.runtime")
+
+
+@query(
+    """SELECT id, CASE WHEN coalesce(trim(content_hash), '') <> '' THEN trim(content_hash)
+        ELSE sha256(encode('v4') || '\\x00'::BLOB || encode(path) || '\\x00'::BLOB || encode(CAST(size AS VARCHAR)) || '\\x00'::BLOB || encode(fs_modified_at)) END AS key FROM files""",
+    "files",
+)
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files_of(spark, sf_dir).select("id", scalars.cache_key(F.col("path"), F.col("content_hash"), F.col("size"), F.col("fs_modified_at")).alias("key"))
+
+
+@query(
+    """SELECT id, nullif(dominant_color, '') AS color, round(sqrt(power(dominant_r - 10, 2) + power(dominant_g - 20, 2) + power(dominant_b - 30, 2)), 6) AS distance FROM files""",
+    "files",
+)
+def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hex colors parsed, printed again, and measured."""
+    c = scalars.parse_hex_color(F.col("dominant_color"))
+    f = files_of(spark, sf_dir).select("id", c.alias("c"))
+    rgb = (F.col("c.r"), F.col("c.g"), F.col("c.b"))
+    return f.select("id", scalars.to_hex(*rgb).alias("color"), F.round(scalars.color_distance(rgb, (F.lit(10), F.lit(20), F.lit(30))), 6).alias("distance"))
+
+
+@query(
+    r"""SELECT id, regexp_replace(name, '(.)\.[^.]*$', '\1') AS stem, CASE id % 3 WHEN 0 THEN CASE WHEN size % 7 < size THEN CAST(size % 7 AS INT) END WHEN 1 THEN greatest(0, CAST(size - 20 AS INT)) END AS range_start FROM files""",
+    "files",
+)
+def names_and_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files_of(spark, sf_dir)
+    header = F.when(F.col("id") % 3 == 0, F.concat(F.lit("bytes="), (F.col("size") % 7).cast("string"), F.lit("-"))).when(F.col("id") % 3 == 1, F.lit("bytes=-20")).otherwise(F.lit("bytes=5-1"))
+    return f.select("id", scalars.name_stem(F.col("name")).alias("stem"), scalars.byte_range(header, F.col("size"))["start"].cast("int").alias("range_start"))
+
+
+# ---------------------------------------------------------------- events
+
+GAPS = """
+    WITH e AS (SELECT path, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM fs_events WINDOW w AS (PARTITION BY path ORDER BY ts)),
+    g AS (SELECT path, ts, sum(new) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)"""
+
+
+@query(GAPS + "SELECT path, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY path, k", "fs_events")
+def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.debounced(view(spark, sf_dir, "fs_events"), "6 hours")
+
+
+@query(
+    """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) FILTER (kind = 'add') AS added, count(*) FILTER (kind = 'change') AS changed, count(*) FILTER (kind = 'unlink') AS removed FROM fs_events GROUP BY 1""",
+    "fs_events",
+)
+def event_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = events.summaries(view(spark, sf_dir, "fs_events"), "1 hour")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    """
+    WITH RECURSIVE e AS (SELECT path, ts, event_id, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) AS n FROM fs_events),
+    f AS (SELECT path, n, event_id, ts AS last, TRUE AS accepted FROM e WHERE n = 1
+          UNION ALL SELECT e.path, e.n, e.event_id, CASE WHEN e.ts - f.last >= INTERVAL 12 HOUR THEN e.ts ELSE f.last END, e.ts - f.last >= INTERVAL 12 HOUR FROM f JOIN e ON e.path = f.path AND e.n = f.n + 1)
+    SELECT path, event_id, accepted FROM f""",
+    "fs_events",
+)
+def spaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "fs_events").select("path", "ts", "event_id")
+    return events.spaced_batch(rows, ["path"], 12 * 3600 * 1000).select("path", "event_id", "accepted")
+
+
+@query(
+    """SELECT DISTINCT path, ts FROM fs_events u WHERE kind = 'unlink' AND NOT EXISTS (SELECT 1 FROM fs_events b WHERE b.path = u.path AND b.kind <> 'unlink' AND b.ts >= u.ts AND b.ts < u.ts + INTERVAL 24 HOUR)""",
+    "fs_events",
+)
+def settled_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.settled_deletes(view(spark, sf_dir, "fs_events").select("path", "kind", "ts"), 24 * 3600 * 1000)
