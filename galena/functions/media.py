@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def palette_of(pixels: np.ndarray, clusters: int = 7, rounds: int = 20) -> list[tuple[str, float]]:
@@ -46,7 +47,7 @@ def palette_of(pixels: np.ndarray, clusters: int = 7, rounds: int = 20) -> list[
     return [("#" + "".join(f"{int(c):02X}" for c in np.clip(m[0], 0, 255)), round(float(m[1]), 2)) for m in merged[:clusters]]
 
 
-@F.pandas_udf("array<struct<color:string,percentage:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("color", T.StringType()), T.StructField("percentage", T.DoubleType())])))
 def palette(rgb: pd.Series) -> pd.Series:
     """Palette of an image given as RGB bytes (scaled to 50 x 50 at most before)."""
     return rgb.map(lambda b: None if b is None else [{"color": c, "percentage": p} for c, p in palette_of(np.frombuffer(b, np.uint8).reshape(-1, 3))])
@@ -62,18 +63,18 @@ def visual_hash(width: Column, height: Column, rgb: Column) -> Column:
     return F.sha2(F.concat(little(width), little(height), rgb), 256)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blob: pd.Series, dimensions: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats; null unless the length is that of ``dimensions``."""
     return pd.Series([None if b is None or d is None or len(b) != 4 * d else np.frombuffer(b, "<f4").tolist() for b, d in zip(blob, dimensions, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(vector: pd.Series) -> pd.Series:
     return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_half(blob: pd.Series) -> pd.Series:
     """Little-endian 16-bit floats widened."""
     return blob.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype("f4").tolist())
@@ -118,7 +119,7 @@ def thumb_hash(width: int, height: int, rgba: bytes) -> bytes:
     return bytes(out) + bytes(lo | hi << 4 for lo, hi in zip(digits[::2], digits[1::2], strict=True))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def thumb_hash_text(width: pd.Series, height: pd.Series, rgba: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else base64.b64encode(thumb_hash(int(w), int(h), b)).decode() for w, h, b in zip(width, height, rgba, strict=True)])
 
@@ -132,7 +133,7 @@ def thumb_hash_ratio(text: Column) -> Column:
     return F.when(wide, limit / own).otherwise(own / limit).cast("double")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def word_pieces(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ids of text (first column) by greedy longest match over a vocabulary (second: one token a line)."""
     for text, vocabulary in texts:

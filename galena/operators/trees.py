@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galena.functions.scalars import is_hidden
+from galena.operators.components import reliable
 
 DEPTH = 100
 
@@ -14,10 +15,11 @@ def walk(nodes: DataFrame, roots: Column, sort: str = "sort_order") -> DataFrame
     """``nodes`` (id, parent_id, name, ``sort``) reachable from rows where ``roots`` holds.
 
     Adds depth (0 for roots), trail (ids from the root) and place (sort keys
-    from the root: a depth-first order). A recursive query of one join a level.
+    from the root: a depth-first order). A recursive query of one join a level,
+    checkpointed, since what uses a tree uses it several times.
     """
     top = nodes.withColumn("_root", roots)
-    return nodes.sparkSession.sql(
+    tree = nodes.sparkSession.sql(
         f"""
         WITH RECURSIVE t (id, parent_id, name, {sort}, depth, trail, place) MAX RECURSION LEVEL {DEPTH} AS (
             SELECT id, parent_id, name, {sort}, 0, array(id), array(struct({sort} AS s, name AS n, id AS i)) FROM {{nodes}} WHERE _root
@@ -27,6 +29,7 @@ def walk(nodes: DataFrame, roots: Column, sort: str = "sort_order") -> DataFrame
         SELECT * FROM t""",
         nodes=top,
     )
+    return reliable(tree)
 
 
 def folder_tree(folders: DataFrame, counts: DataFrame | None = None) -> DataFrame:

@@ -282,8 +282,8 @@ def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT g.id, g.component, f.imported_at FROM g JOIN files f ON f.id = g.id),
     s AS (SELECT DISTINCT component, latest, lead FROM x JOIN m ON m.id = x.id),
     i AS (SELECT component, max(imported_at) AS latest, first(id ORDER BY $TAIL) AS lead, (SELECT max(score) FROM e JOIN g ON g.id = e.a WHERE g.component = m.component) AS best FROM m GROUP BY component),
-    p AS (SELECT id, 0 AS tier, 0.0 AS best, latest, lead, 0 AS part, imported_at FROM x
-          UNION ALL SELECT m.id, 0, 0.0, s.latest, s.lead, 1, m.imported_at FROM m JOIN s ON s.component = m.component
+    p AS (SELECT id, 0 AS tier, CAST(0 AS DOUBLE) AS best, latest, lead, 0 AS part, imported_at FROM x
+          UNION ALL SELECT m.id, 0, 0, s.latest, s.lead, 1, m.imported_at FROM m JOIN s ON s.component = m.component
           UNION ALL SELECT m.id, 1, i.best, i.latest, i.lead, 0, m.imported_at FROM m JOIN i ON i.component = m.component WHERE m.component NOT IN (SELECT component FROM s)),
     o AS (SELECT id, row_number() OVER (ORDER BY tier, best DESC, latest DESC, lead, part, imported_at DESC, id) AS n FROM p)
     SELECT id, row_number() OVER (ORDER BY min(n)) AS rank FROM o GROUP BY id""",

@@ -62,11 +62,12 @@ def spaced_batch(events: DataFrame, keys: list[str], spacing_ms: int = SPACING_M
     return sorted_.mapInPandas(run, schema)
 
 
-def spaced_stream(events: DataFrame, spacing_ms: int = SPACING_MS) -> DataFrame:
+def spaced_stream(events: DataFrame, spacing_ms: int = SPACING_MS, late: str = "10 seconds") -> DataFrame:
     """Accepted events (path, ts) of a stream: state holds a path's last accepted time.
 
-    State goes after six spacings without an event. Events of a batch are
-    taken in time order; one earlier than the last accepted is suppressed.
+    State goes when the watermark is six spacings past that time. Events of a
+    batch are taken in time order; one earlier than the last accepted is
+    suppressed.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -82,10 +83,11 @@ def spaced_stream(events: DataFrame, spacing_ms: int = SPACING_MS) -> DataFrame:
                 last = t
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(6 * spacing_ms)
+            state.setTimeoutTimestamp(max(last + 6 * spacing_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"path": [key[0]] * len(accepted), "ts": pd.to_datetime(accepted, unit="ms")})
 
-    return events.groupBy("path").applyInPandasWithState(fold, "path string, ts timestamp", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = events.withWatermark("ts", late).groupBy("path")
+    return own.applyInPandasWithState(fold, "path string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def settled_deletes(events: DataFrame, delay_ms: int = DELAY_MS) -> DataFrame:
