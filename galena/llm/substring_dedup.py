@@ -4,7 +4,7 @@ Seeds: the k-gram hashes of a text are winnowed (smallest of every window,
 rightmost ties), so any two equal runs of ``length`` words share a seed at the
 same place. Joining documents on seeds that occur more than once leaves the
 places where repeats can be. There every run of ``length`` words that hangs on
-such a seed is extended both ways to its full length, named by a 128-bit hash
+such a seed is extended both ways to its full length, named by a 96-bit hash
 of its words, and kept if that name occurs again. Overlapping kept runs make
 up the maximal repeats, and exactly their words are removed.
 
@@ -118,9 +118,10 @@ def seeds(texts: DataFrame, k: int, window: int) -> DataFrame:
 
 
 def extended(found: DataFrame, k: int, window: int) -> DataFrame:
-    """Runs (name_a, name_b, id, place) of ``found`` (id, tag, text, places, heavy) that hang on its places.
+    """Runs (name_a, name_b, row, place) of ``found`` (row, text, places, heavy) that hang on its places.
 
-    place packs the tag, the run's first word and whether it counts twice.
+    name_a and name_b are 96 bits of hash; place packs the run's first word
+    and, in the lowest bit, whether it counts twice.
     """
     length = k + window - 1
 
@@ -132,11 +133,11 @@ def extended(found: DataFrame, k: int, window: int) -> DataFrame:
                 marked = np.zeros(len(hashes), bool)
                 marked[row["places"]] = True
                 start = np.flatnonzero(marked[chosen(run_hashes(hashes, k, BASES[0]), window)])
-                names = [_long(run_hashes(hashes, length, b)[start]) for b in BASES]
-                place = (start.astype(np.int64) << 1 | int(row["heavy"])) | np.int64(row["tag"]) << 32
-                yield pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(np.full(len(start), row["id"], np.int64)), pa.array(place)], names=["name_a", "name_b", "id", "place"])
+                a, b = (run_hashes(hashes, length, x)[start] for x in BASES)
+                columns = [_long(a), (b >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(start), row["row"], np.int64), start.astype(np.int64) << 1 | int(row["heavy"])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["name_a", "name_b", "row", "place"])
 
-    return found.mapInArrow(run, "name_a long, name_b long, id long, place long")
+    return found.mapInArrow(run, "name_a long, name_b int, row long, place long")
 
 
 def covered(starts: list[int] | np.ndarray, n_words: int, length: int) -> np.ndarray:
@@ -149,33 +150,40 @@ def covered(starts: list[int] | np.ndarray, n_words: int, length: int) -> np.nda
 
 
 def repeated_starts(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:
-    """``docs`` (doc_id, text) with id, tag, text, twin (has a twin of the same words) and starts of repeated runs."""
+    """``docs`` (doc_id, text) with twin (has a twin of the same words) and starts (of repeated runs).
+
+    Inside, ``NO_ID`` stands for a null doc_id.
+    """
     window = length - k + 1
-    texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.hash("text").alias("tag"), "text")
-    scan = checkpointed(seeds(texts.drop("doc_id"), k, window))
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.hash("text").alias("tag"), "text")
+    scan = checkpointed(seeds(texts, k, window).withColumn("row", F.monotonically_increasing_id()))
 
     # classes of documents with the same words; only the first member extends
-    long_enough = scan.filter(F.col("n_words") >= length).select("id", "tag", "class_a", "class_b")
-    member = F.struct("id", "tag")
-    classes = long_enough.groupBy("class_a", "class_b", F.shiftright("class_a", 63).alias("half")).agg(F.count(F.lit(1)).alias("copies"), F.min(member).alias("leader"))
+    long_enough = scan.filter(F.col("n_words") >= length).select("row", "id", "tag", "class_a", "class_b")
+    classes = long_enough.groupBy("class_a", "class_b", F.shiftright("class_a", 63).alias("half")).agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("leader"))
     classes = classes.filter("copies > 1").drop("half")
-    twins = long_enough.join(classes, ["class_a", "class_b"]).select("id", "tag", (member == F.col("leader")).alias("leads")).distinct()
-
-    each = scan.select("id", "tag", F.explode(F.arrays_zip("seed", "place")).alias("s")).select("id", "tag", "s.seed", "s.place")
-    again = each.groupBy("seed", F.shiftright("seed", 63).alias("half")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
-    places = each.join(again, "seed").groupBy("id", "tag").agg(F.collect_set("place").alias("places"))
-    todo = places.join(twins, ["id", "tag"], "left").filter(F.coalesce("leads", F.lit(True)))
-    todo = todo.select("id", "tag", "places", F.col("leads").isNotNull().alias("heavy"))
-
-    dealt = texts.repartition("id", "tag")
-    found = dealt.select("id", "tag", "text").join(todo.hint("shuffle_hash"), ["id", "tag"])
-    runs = extended(found.select("id", "tag", "text", "places", "heavy"), k, window)
+    twins = long_enough.join(classes, ["class_a", "class_b"]).select("row", "id", "tag", (F.col("row") == F.col("leader")).alias("leads"), "copies")
+
+    each = scan.select("row", F.explode(F.arrays_zip("seed", "place")).alias("s")).select("row", "s.seed", "s.place")
+    again = each.groupBy("seed", F.shiftright("seed", 63).alias("half")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", "n")
+    places = each.join(again, "seed").groupBy("row").agg(F.collect_set(F.struct("place", "n")).alias("places"))
+    todo = places.join(twins.select("row", "leads", "copies"), "row", "left").filter(F.coalesce("leads", F.lit(True)))
+    # a seed of a class that comes up just once in each member is not shared with any other text
+    shared = F.transform(F.filter("places", lambda x: ~x["n"].eqNullSafe(F.col("copies"))), lambda x: x["place"])
+    todo = todo.select("row", shared.alias("places"), F.col("leads").isNotNull().alias("heavy")).filter(F.size("places") > 0)
+    todo = todo.join(scan.select("row", "id", "tag"), "row").select("row", "id", "tag", "places", "heavy")
+
+    dealt = texts.repartition("id", "tag")  # the one shuffle of texts, for extending and for cutting
+    found = dealt.join(todo.hint("shuffle_hash"), ["id", "tag"])
+    runs = extended(found.select("row", "text", "places", "heavy"), k, window)
     names = runs.groupBy("name_a", "name_b", F.shiftright("name_a", 63).alias("half")).agg(F.sum(1 + F.col("place").bitwiseAND(F.lit(1))).alias("n")).filter("n > 1").select("name_a", "name_b")
     light = runs.filter(F.col("place").bitwiseAND(F.lit(1)) == 0)
-    starts = light.join(names, ["name_a", "name_b"]).select("id", F.shiftright("place", 32).cast("int").alias("tag"), F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int").alias("start"))
-    starts = starts.groupBy("id", "tag").agg(F.collect_set("start").alias("starts"))
-    marks = starts.join(twins, ["id", "tag"], "full").select("id", "tag", "starts", F.col("leads").isNotNull().alias("twin"))
-    return dealt.join(marks.hint("shuffle_hash"), ["id", "tag"], "left").select("doc_id", "text", F.coalesce("twin", F.lit(False)).alias("twin"), "starts")
+    starts = light.join(names, ["name_a", "name_b"]).groupBy("row").agg(F.collect_set(F.shiftright("place", 1).cast("int")).alias("starts"))
+    starts = starts.join(scan.select("row", "id", "tag"), "row").select("id", "tag", "starts")
+    twin = twins.select("id", "tag", F.lit(True).alias("twin")).distinct()
+    marks = starts.join(twin, ["id", "tag"], "full")
+    whole = dealt.join(marks.hint("shuffle_hash"), ["id", "tag"], "left")
+    return whole.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", F.coalesce("twin", F.lit(False)).alias("twin"), "starts")
 
 
 def _cut(rows: DataFrame, length: int, schema: str, row) -> DataFrame:
