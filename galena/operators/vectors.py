@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from galena.functions import formats
 from galena.functions.scalars import dot
-from galena.operators.components import smallest_reachable
+from galena.operators.components import reliable, smallest_reachable
 from galena.operators.ranking import numbered
 from galena.plans.filters import is_active
 
@@ -87,9 +87,10 @@ def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1
     """(model_id, dimensions, a, b, score) of pairs at or above ``threshold``, a before b.
 
     All pairs are compared, a block of rows against a block, as matrix
-    products; a task holds two blocks. ``links_only`` gives pairs that connect
-    all that are similar, at most ``2 * block`` of them for a pair of blocks,
-    so a group of copies does not yield all its pairs.
+    products; a task holds two blocks. ``links_only`` gives the best pairs that
+    connect all that are similar, at most ``2 * block`` of them for a pair of
+    blocks, so a group of copies does not yield all its pairs. Every group's
+    best pair is among them.
     """
     key = ["model_id", "dimensions"]
     size = cands.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
@@ -124,7 +125,7 @@ def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1
                 return k
 
             chosen = []
-            for k in range(len(u)):
+            for k in np.argsort(-exact, kind="stable").tolist():
                 p, q = find(int(u[k])), find(int(v[k]))
                 if p != q:
                     root[max(p, q)] = min(p, q)
@@ -149,14 +150,14 @@ def duplicate_or_similar(files: DataFrame, embeddings: DataFrame, threshold: flo
     the similarity groups that share none, best score first. An id counts where
     it comes up first.
     """
-    cands = candidates(files, embeddings)
+    cands = reliable(candidates(files, embeddings).select("id", "imported_at", "model_id", "dimensions", "embedding"))
     hashed = files.filter(is_active() & (F.coalesce("content_hash", F.lit("")) != ""))
     member_order = [F.col("imported_at").desc(), F.col("id").asc()]
     exact = hashed.select("id", "content_hash", "imported_at")
     groups = exact.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.max("imported_at").alias("latest"), F.max_by("id", F.struct("imported_at", -F.col("id"))).alias("lead")).filter("n > 1")
     exact = exact.join(groups, "content_hash").select("id", "imported_at", "latest", "lead")
 
-    pairs = similar_pairs(cands, threshold)
+    pairs = reliable(similar_pairs(cands, threshold, links_only=True))
     reach = smallest_reachable(pairs)
     similar = cands.select("id", "imported_at").join(reach, F.col("id") == F.col("node")).select("id", "component", "imported_at")
     best = pairs.join(reach, F.col("a") == F.col("node")).groupBy("component").agg(F.max("score").alias("best"))
