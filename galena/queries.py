@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galena.functions import formats, scalars
-from galena.operators import fuzzy, library, mutations, sync, trees, vectors
+from galena.operators import fuzzy, library, mutations, sync, tasks, trees, vectors
 from galena.operators.ranking import numbered
 from galena.plans import filters
 from galena.plans.filters import FilterSpec
@@ -604,3 +604,29 @@ def spaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def settled_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.settled_deletes(view(spark, sf_dir, "fs_events").select("path", "kind", "ts"), 24 * 3600 * 1000)
+
+
+# ---------------------------------------------------------------- tasks
+
+
+@query(
+    """
+    WITH i AS (SELECT o_custkey % 97 AS task_id, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 41 = 0 THEN 'failed' WHEN o_custkey % 97 > 60 AND o_orderkey % 5 = 0 THEN NULL ELSE 'completed' END AS status,
+               o_custkey % 97 > 80 AS cancelled FROM orders),
+    c AS (SELECT task_id, count(*) AS total, count(status) AS processed, count(*) FILTER (status = 'completed') AS succeeded, count(*) FILTER (status = 'failed') AS failed, bool_or(cancelled) AS x FROM i GROUP BY task_id)
+    SELECT task_id, total, processed, succeeded, failed,
+           CASE WHEN processed = total THEN CASE WHEN failed > 0 THEN 'completed_with_errors' ELSE 'completed' END WHEN x THEN 'cancelled' ELSE 'running' END AS status FROM c"""
+)
+def task_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the items of import tasks."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    task = F.col("o_custkey") % 97
+    failed, waits = (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 41 == 0), (task > 60) & (F.col("o_orderkey") % 5 == 0)
+    items = o.select(task.alias("task_id"), F.when(failed, "failed").when(~waits, "completed").alias("status"), (task > 80).alias("cancelled"))
+    return tasks.progress(items)
+
+
+@query("SELECT user_id AS session, event_id AS id, n AS step FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'error') WHERE n <= 5")
+def undo_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deletes = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'error'").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), "ts")
+    return tasks.undo_window(deletes, 5).select("session", "id", "step")

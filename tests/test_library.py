@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galena.functions import formats, media, scalars
-from galena.operators import fuzzy, library, mutations, sync, trees, vectors
+from galena.operators import fuzzy, library, mutations, sync, tasks, trees, vectors
 from galena.plans import filters
 from galena.plans.filters import FilterSpec
 from galena.sources import scan
@@ -266,3 +266,24 @@ def test_streams(spark, tmp_path):
     assert spark.table("bursts").count() in (3, 4, 5)  # the watermark holds back what is open at the end
     seen = spark.createDataFrame([("a", t(0), 1, "x"), ("a", t(250), 2, "x"), ("a", t(500), 2, "x"), ("b", t(0), 1, "x")], "path string, ts timestamp, size long, mtime string")
     assert [(r.path, r.ts) for r in events.stable_files(seen).collect()] == [("a", t(500))]
+
+
+def test_suggestions(spark):
+    f = files(spark, [{"id": 1, "name": "a.b.png", "rating": 2, "description": "own"}, {"id": 2, "name": "c.png", "rating": 3}])
+    good = '{"choices":[{"message":{"content":"Sure: {\\"filename\\":\\" Sea/side \\",\\"rating\\":\\"5\\",\\"tags\\":[\\"Sea\\",\\"sea\\",\\"Sun\\"]} ."}}]}'
+    bad = '{"choices":[{"message":{"content":"no json"}}]}'
+    got = tasks.suggestions(f, spark.createDataFrame([(1, good), (2, bad)], "id long, response string"))
+    rows = {r.id: tuple(r)[1:] for r in got.collect()}
+    assert rows == {1: ("Sea side.png", "own", 5, ["Sea", "Sun"]), 2: ("c.png", "", 3, [])}
+    tags = spark.createDataFrame([(7, " SUN", "#1", None), (8, "old", "#2", None)], "id long, name string, color string, parent_id long")
+    links = spark.createDataFrame([(1, 8, 0), (2, 8, 0)], SCHEMAS["file_tags"])
+    all_, own = tasks.apply_tags(tags, links, got)
+    assert {(r.id, r.name) for r in all_.collect()} == {(7, " SUN"), (8, "old"), (9, "Sea")}
+    assert sorted((r.file_id, r.tag_id) for r in own.collect()) == [(1, 7), (1, 9), (2, 8)]
+
+
+def test_gaps_are_filled_and_nothing_else(spark):
+    f = files(spark, [{"id": 1, "name": "a", "content_hash": "", "thumb_hash": "t"}, {"id": 2, "name": "b", "content_hash": "h"}])
+    new = spark.createDataFrame([(1, "n", "[1]", "x"), (2, "n", "[2]", "y")], "id long, content_hash string, color_distribution string, thumb_hash string")
+    got = {r.id: (r.content_hash, r.color_distribution, r.thumb_hash) for r in tasks.fill_gaps(f, new).collect()}
+    assert got == {1: ("n", "[1]", "t"), 2: ("h", "[2]", "y")}
