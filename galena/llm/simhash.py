@@ -6,9 +6,9 @@ least, so they meet under the key of some such set of blocks. Texts are read
 once and give one number each; all that follows works on distinct
 fingerprints, so exact and near-exact copies cost one row.
 
-Under a key the Hamming distance is verified, and what is returned is a
-spanning forest of the links there: the same components, and never all pairs
-of a group. A key with more than ``chunk`` fingerprints is salted into chunks,
+Under a key the Hamming distance is verified, and each fingerprint is tied to
+the smallest one it reaches there over links: the same components, never all
+pairs of a group, and mostly the same ties under all keys of a group. A key with more than ``chunk`` fingerprints is salted into chunks,
 each pair of chunks being a group of its own, so no task holds more than
 ``2 * chunk`` rows of a key.
 """
@@ -74,25 +74,23 @@ def block_keys(distance: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links (at most ``distance`` bits) among ``fp``."""
-    rest, found = np.arange(1, len(fp)), []
-    todo = [0]
+def roots(fp: np.ndarray, distance: int) -> np.ndarray:
+    """Of each of ``fp`` the smallest index reachable over links of at most ``distance`` bits."""
+    root, rest, todo, top = np.zeros(len(fp), np.int64), np.arange(1, len(fp)), [0], 0
     while len(rest):
         if not todo:
-            todo, rest = [int(rest[0])], rest[1:]
+            top, todo, rest = int(rest[0]), [int(rest[0])], rest[1:]
+            root[top] = top
             continue
-        k = todo.pop()
-        near = np.bitwise_count(fp[rest] ^ fp[k]) <= distance
-        for j in rest[near].tolist():
-            found.append((k, j))
-            todo.append(j)
+        near = np.bitwise_count(fp[rest] ^ fp[todo.pop()]) <= distance
+        root[rest[near]] = top
+        todo += rest[near].tolist()
         rest = rest[~near]
-    return found
+    return root
 
 
 def links(distinct: DataFrame, distance: int = 4, blocks: int = 7, chunk: int = 2048) -> DataFrame:
-    """Verified links (a, b) between the ``fp`` of ``distinct`` that connect all that are near."""
+    """Ties (a, b) between the ``fp`` of ``distinct`` that connect what verified links connect, and nothing else."""
     keyed = distinct.select("fp", F.explode(block_keys(distance, blocks)).alias("k")).select("fp", "k.set", "k.bits")
     many = keyed.groupBy("set", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = keyed.join(many, ["set", "bits"])
@@ -116,10 +114,10 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 7, chunk: int =
             near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
             a, b = [near], [near + 1]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                if found := forest(fp[s : s + n], distance):
-                    pair = np.array(found) + s
-                    a.append(pair[:, 0])
-                    b.append(pair[:, 1])
+                root = roots(fp[s : s + n], distance)
+                away = np.flatnonzero(root != np.arange(n))
+                a.append(away + s)
+                b.append(root[away] + s)
             signed = fp.view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(signed[np.concatenate(x)]) for x in (a, b)], names=["a", "b"])
 

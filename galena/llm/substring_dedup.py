@@ -117,8 +117,22 @@ def seeds(texts: DataFrame, k: int, window: int) -> DataFrame:
     return small_batches(texts).mapInArrow(run, schema)
 
 
+def compressed(texts: DataFrame) -> DataFrame:
+    """``texts`` (id, tag, text) with the text as compressed bytes, which shuffle at half the size or less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+
+        shrink = ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = [shrink(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(packed, pa.binary())], names=["id", "tag", "text"])
+
+    return small_batches(texts).mapInArrow(run, "id long, tag int, text binary")
+
+
 def extended(found: DataFrame, k: int, window: int) -> DataFrame:
-    """Runs (name_a, name_b, row, place) of ``found`` (row, text, places, heavy) that hang on its places.
+    """Runs (name_a, name_b, row, place) of ``found`` (row, text compressed, places, heavy) that hang on its places.
 
     name_a and name_b are 96 bits of hash; place packs the run's first word
     and, in the lowest bit, whether it counts twice.
@@ -126,10 +140,12 @@ def extended(found: DataFrame, k: int, window: int) -> DataFrame:
     length = k + window - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = WordHashes().of
+        from zstandard import ZstdDecompressor
+
+        of, grow = WordHashes().of, ZstdDecompressor().decompress
         for batch in batches:
             for row in batch.to_pylist():
-                hashes = of(row["text"].encode().split())
+                hashes = of(grow(row["text"]).split())
                 marked = np.zeros(len(hashes), bool)
                 marked[row["places"]] = True
                 start = np.flatnonzero(marked[chosen(run_hashes(hashes, k, BASES[0]), window)])
@@ -150,7 +166,7 @@ def covered(starts: list[int] | np.ndarray, n_words: int, length: int) -> np.nda
 
 
 def repeated_starts(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:
-    """``docs`` (doc_id, text) with twin (has a twin of the same words) and starts (of repeated runs).
+    """``docs`` (doc_id, text, compressed) with twin (has a twin of the same words) and starts (of repeated runs).
 
     Inside, ``NO_ID`` stands for a null doc_id.
     """
@@ -173,7 +189,7 @@ def repeated_starts(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:
     todo = todo.select("row", shared.alias("places"), F.col("leads").isNotNull().alias("heavy")).filter(F.size("places") > 0)
     todo = todo.join(scan.select("row", "id", "tag"), "row").select("row", "id", "tag", "places", "heavy")
 
-    dealt = texts.repartition("id", "tag")  # the one shuffle of texts, for extending and for cutting
+    dealt = compressed(texts).repartition("id", "tag")  # the one shuffle of texts, for extending and for cutting
     found = dealt.join(todo.hint("shuffle_hash"), ["id", "tag"])
     runs = extended(found.select("row", "text", "places", "heavy"), k, window)
     names = runs.groupBy("name_a", "name_b", F.shiftright("name_a", 63).alias("half")).agg(F.sum(1 + F.col("place").bitwiseAND(F.lit(1))).alias("n")).filter("n > 1").select("name_a", "name_b")
@@ -188,10 +204,13 @@ def repeated_starts(docs: DataFrame, length: int = 35, k: int = 8) -> DataFrame:
 
 def _cut(rows: DataFrame, length: int, schema: str, row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        grow = ZstdDecompressor().decompress
         for batch in batches:
             out = []
             for x in batch.to_pylist():
-                words = x["text"].encode().split()
+                words = grow(x["text"]).split()
                 gone = np.ones(len(words), bool) if x["twin"] else covered(x["starts"] or [], len(words), length)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
                 out.append((x["doc_id"], *row(words, kept)))
