@@ -6,11 +6,12 @@ least, so they meet under the key of some such set of blocks. Texts are read
 once and give one number each; all that follows works on distinct
 fingerprints, so exact and near-exact copies cost one row.
 
-Under a key the Hamming distance is verified, and each fingerprint is tied to
-the smallest one it reaches there over links: the same components, never all
-pairs of a group, and mostly the same ties under all keys of a group. A key with more than ``chunk`` fingerprints is salted into chunks,
-each pair of chunks being a group of its own, so no task holds more than
-``2 * chunk`` rows of a key.
+Under a key the Hamming distance is verified, and all fingerprints that reach
+each other there over links are tied to the one in their middle: the same
+components, never all pairs of a group, and mostly the same ties under all
+keys of a group. A key with more than ``chunk`` fingerprints is salted into
+chunks, each pair of chunks being a group of its own, so no task holds more
+than ``2 * chunk`` rows of a key.
 """
 
 from __future__ import annotations
@@ -89,9 +90,23 @@ def roots(fp: np.ndarray, distance: int) -> np.ndarray:
     return root
 
 
+def middles(fp: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Of each of ``fp`` the index of its group's middle: the member nearest to the group's bitwise majority, the first of equals."""
+    order = np.argsort(root, kind="stable")
+    _, first, group, size = np.unique(root[order], return_index=True, return_inverse=True, return_counts=True)
+    bits = np.unpackbits(fp[order].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    majority = np.packbits(2 * ones > size[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
+    off = np.bitwise_count(fp[order] ^ majority[group])
+    out = np.empty_like(root)
+    out[order] = order[np.lexsort((order, off, group))[first]][group]
+    return out
+
+
 def links(distinct: DataFrame, distance: int = 4, blocks: int = 7, chunk: int = 2048) -> DataFrame:
     """Ties (a, b) between the ``fp`` of ``distinct`` that connect what verified links connect, and nothing else."""
-    keyed = distinct.select("fp", F.explode(block_keys(distance, blocks)).alias("k")).select("fp", "k.set", "k.bits")
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes now, many rows when exploded: not to be coalesced
+    keyed = distinct.repartition(spread, "fp").select("fp", F.explode(block_keys(distance, blocks)).alias("k")).select("fp", "k.set", "k.bits")
     many = keyed.groupBy("set", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = keyed.join(many, ["set", "bits"])
     parts = F.ceil(F.col("n") / chunk).cast("int")
@@ -114,7 +129,7 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 7, chunk: int =
             near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
             a, b = [near], [near + 1]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                root = roots(fp[s : s + n], distance)
+                root = middles(fp[s : s + n], roots(fp[s : s + n], distance))
                 away = np.flatnonzero(root != np.arange(n))
                 a.append(away + s)
                 b.append(root[away] + s)

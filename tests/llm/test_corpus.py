@@ -148,6 +148,18 @@ def test_near_dedup_of_components_larger_than_a_task_may_hold(spark):
         assert [r.doc_id for r in kept.collect()] == [0]
 
 
+def test_near_dedup_of_a_long_chain_leaves_no_two_alike(spark):
+    rng = np.random.default_rng(8)
+    base = [f"u{k}" for k in rng.integers(5000, size=300)]
+    texts = [[f"x{j}" if j < 4 * k else w for j, w in enumerate(base)] for k in range(60)]
+    rows = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(w[j : j + 5]) for j in range(296)} for w in texts]
+    for room in (1000, 10):
+        kept = [r.doc_id for r in near_dedup.near_duplicates(rows, room=room).collect()]
+        assert 2 <= len(kept) < 20
+        assert all(len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b]) for a in kept for b in kept if a < b)
+
+
 def test_winnowing(docs, empty):
     from xxhash import xxh64
 
