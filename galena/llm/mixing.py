@@ -131,7 +131,8 @@ class Mix:
 
     def taken(self, rows: DataFrame) -> DataFrame:
         """``rows`` (source, size, key, doc_id, ...) with source_size, target, taken, rest_taken, epochs and dealt."""
-        joined = self.planned(rows).join(self.blocks, ["rank", "block"])
+        # one plan at every size: rows are dealt once, for both branches below, and not sorted
+        joined = self.planned(rows).join(self.blocks.hint("shuffle_hash"), ["rank", "block"])
         cut = (F.col("take") > 0) & (F.col("take") < F.col("words"))
         whole = joined.filter(~cut).withColumn("rest_taken", F.when(F.col("take") > 0, F.col("size")).otherwise(F.lit(0)))
         order = Window.partitionBy("rank", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
