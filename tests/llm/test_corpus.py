@@ -160,6 +160,31 @@ def test_near_dedup_of_a_long_chain_leaves_no_two_alike(spark):
         assert all(len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b]) for a in kept for b in kept if a < b)
 
 
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+
+
+def whole_choice(rows, kept):
+    """No two that stay are alike, and each that goes is alike to one that stays."""
+    sets, kept = {k: shingle_set(t) for k, t in rows}, set(kept)
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    assert not [(a, b) for a in kept for b in kept if a < b and like(a, b)]
+    assert not [a for a in sets if a not in kept and not any(like(a, b) for b in kept)]
+
+
+def test_near_dedup_finds_cut_lengthened_and_short_copies(spark):
+    rng, texts = np.random.default_rng(11), []
+    for k in range(60):
+        base = [f"d{k}v{j}" for j in rng.integers(40, size=60)]
+        texts += [base, base[:51], base + [f"e{k}v{j}" for j in range(12)]]
+        texts += [[f"s{k}v{j}" for j in range(25)], [f"s{k}v{j}" for j in range(24)] + [f"t{k}"]]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    kept = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole_choice(rows, [r.doc_id for r in kept])
+    assert len(kept) < 240
+
+
 def test_winnowing(docs, empty):
     from xxhash import xxh64
 
