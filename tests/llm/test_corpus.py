@@ -185,6 +185,18 @@ def test_near_dedup_finds_cut_lengthened_and_short_copies(spark):
     assert len(kept) < 240
 
 
+def test_near_dedup_of_crowded_templates_leaves_nothing_over(spark):
+    rng = np.random.default_rng(12)
+    base, rows = [f"u{k}" for k in range(200)], []
+    for k in range(120):
+        w, at, n = list(base), int(rng.integers(150)), int(rng.integers(8, 30))
+        w[at : at + n] = [f"x{k}v{j}" for j in range(n)]
+        rows.append((k, " ".join(w)))
+    for room in (1000, 10):
+        kept = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), room=room)
+        whole_choice(rows, [r.doc_id for r in kept.collect()])
+
+
 def test_winnowing(docs, empty):
     from xxhash import xxh64
 
