@@ -17,7 +17,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from galena.llm.common import small_batches
+from galena.llm.common import batches_of
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript iframe object svg canvas audio video datalist title meta link".split())
@@ -303,4 +303,4 @@ def page_texts(pages: DataFrame) -> DataFrame:
             lines = [len(t.split("\n")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(lines, pa.int64())], names=["page_id", "url", "text", "n_lines"])
 
-    return small_batches(pages.select("page_id", "url", "html")).mapInArrow(run, "page_id long, url string, text string, n_lines long")
+    return batches_of(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_lines long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from galena.llm.common import small_batches
+from galena.llm.common import batches_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -161,7 +161,7 @@ def pack(
         packer.pack(0)
         yield packer.batch()
 
-    return small_batches(docs.select("doc_id", *columns)).mapInArrow(run, SCHEMA)
+    return batches_of(docs.select("doc_id", *columns), run, SCHEMA)
 
 
 def document_encoder(path: str, end_id: int):

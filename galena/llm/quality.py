@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import small_batches
+from galena.llm.common import batches_of
 
 FEATURES = ("words", "letters", "capitals", "digits", "stops", "marks", "bars", "marked_words", "different", "most_common", "repeated_next", "line_copies", "word_length", "line_words", "sentence_words")
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256), 32, 10])
@@ -79,7 +79,7 @@ def measured(docs: DataFrame) -> DataFrame:
             x = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), x], names=[*keep, "x"])
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return batches_of(docs, run, schema)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -198,7 +198,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             score = model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return batches_of(docs, run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
@@ -223,4 +223,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **optio
             score = model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES)))
             yield batch.filter(pa.array(score >= threshold))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return batches_of(docs, run, docs.schema)

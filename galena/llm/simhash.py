@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import checkpointed, small_batches
+from galena.llm.common import batches_of, checkpointed
 from galena.llm.components import components
 
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return batches_of(docs, run, schema)
 
 
 def block_keys(distance: int, blocks: int) -> Column:
@@ -150,7 +150,7 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 7, chunk: int =
         if len(kept):
             yield solve(np.ascontiguousarray(kept))
 
-    return small_batches(sorted_, rows=20_000).mapInArrow(run, "a long, b long").distinct()
+    return batches_of(sorted_, run, "a long, b long", rows=20_000).distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:

@@ -22,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from galena.llm.common import small_batches
+from galena.llm.common import batches_of
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
@@ -114,4 +114,4 @@ def token_counts(docs: DataFrame, path: str = PIECES) -> DataFrame:
             counts = [np.array(list(map(f, texts)), np.int64) for f in (len, of)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, counts)], names=["doc_id", "n_chars", "n_tokens"])
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_chars long, n_tokens long")
+    return batches_of(docs.select("doc_id", "text"), run, "doc_id long, n_chars long, n_tokens long")

@@ -272,6 +272,40 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.repeat_report(empty).count() == 0
 
 
+def cut_by_brute_force(rows, length):
+    split = [WORD.findall(t or "") for _, t in rows]
+    count = Counter(tuple(w[k : k + length]) for w in split for k in range(len(w) - length + 1))
+    for (i, _), w in zip(rows, split, strict=True):
+        gone = {j for k in range(len(w) - length + 1) if count[tuple(w[k : k + length])] > 1 for j in range(k, k + length)}
+        yield i, w, sorted(gone)
+
+
+def test_substring_dedup_of_passages_in_many_settings(spark):
+    """Passages cut, edited and joined at random: many contexts of a gram, null ids, repeated rows; with and without salts."""
+    rng, rows = np.random.default_rng(21), []
+    passages = [[f"p{k}w{j}" for j in range(40)] for k in range(4)] + [["a"] * 30, ["a", "b"] * 15]
+    for k in range(500):
+        w = []
+        for _ in range(int(rng.integers(0, 4))):
+            p = list(passages[int(rng.integers(len(passages)))])
+            for at in rng.integers(len(p), size=int(rng.integers(0, 3))):
+                p[at] = f"e{int(rng.integers(3))}"
+            a, b = sorted(rng.integers(len(p) + 1, size=2))
+            w += [f"u{int(rng.integers(10**6))}" for _ in range(int(rng.integers(3)))] + p[a:b]
+        rows.append((None if k % 2 else k, " ".join(w)))
+    rows += rows[:5] + [(7, "x" * 10_000 + " y " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in set(gone)).encode()).hexdigest()) for i, w, gone in cut_by_brute_force(rows, 12)]
+    for room in (4096, 8):
+        same(substring_dedup.repeat_report(docs, length=12, k=4, room=room).collect(), want)
+
+
+def test_maximal_repeats(spark):
+    rows = [(1, words(0, 50)), (2, "x " + words(5, 45) + " y"), (3, words(0, 34)), (None, words(20, 60))]
+    got = substring_dedup.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 5, 45), (2, 1, 41)]
+
+
 def packed(rows, limit=4096):
     ids = WordIds()
     by = defaultdict(list)
