@@ -1,14 +1,16 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A source's documents fall, by a seeded hash, into blocks of about
-``block_words`` words; block order is then a random permutation of the source.
-A source's target is drawn as whole epochs over its blocks and a prefix of one
-more; the last block and document of that prefix are cut to the word. The
-drawn blocks of all sources are dealt to output shards by a splitting tree: at
-a node the exact block counts per source are split between the two halves of
-the node's shards by a multivariate hypergeometric draw, so every shard is a
-uniform sample of the mix and each block goes to exactly one shard. Rows are
-shuffled within their shard only.
+``block_words`` words (more in a source that would have over ``max_blocks``);
+block order is then a random permutation of the source. A source's quota is
+whole epochs over its blocks and a prefix of one more; the last block and
+document of that prefix are cut to the word. A splitting tree deals the quotas
+to output shards of about ``shard_words`` words: at a node the exact block
+counts per source are split between the two halves of the node's shards by a
+multivariate hypergeometric draw, so every shard is a uniform sample of the
+mix, and shards draw disjoint ranges of the permuted blocks. What the mix
+takes of a document is what its block was dealt. Rows are shuffled within
+their shard only.
 
 Driver and closures hold one row per source (bounded by ``max_sources``,
 checked). Documents are dealt by (source, block), so a source with a third of
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galena.llm.common import WORD, checkpointed, text_of
+from galena.llm.common import WORD, text_of, written
 
 WEIGHTS = (5, 2, 1)
 BROADCAST_SOURCES = 10_000  # about 1 MB
@@ -72,20 +74,21 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int, low: int = 0, high: i
 class Mix:
     """A planned mix of ``docs`` (doc_id, text, source); see :func:`mix` and :func:`mixed_documents`."""
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, shards: int = 64, block_words: int = 1 << 17, seed: int = 7, max_sources: int = 1_000_000):
-        self.spark, self.seed, self.shards = docs.sparkSession, seed, shards
-        self.rows = checkpointed(docs.select("doc_id", "source", *self.measures()))
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, shard_words: int = 1 << 24, block_words: int = 1 << 17, max_blocks: int = 1 << 16, seed: int = 7, max_sources: int = 1_000_000):
+        self.spark, self.seed = docs.sparkSession, seed
+        self.rows = written(docs.select("doc_id", "source", *self.measures()))
         found = self.rows.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
         if len(found) > max_sources:
             raise ValueError(f"more than {max_sources} sources")
         found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
         sizes = [r["size"] for r in found]
+        self.shards = max(1, ceil(sum(sizes) / shard_words))
         targets = water_fill(sizes, [weights[k % len(weights)] for k in range(len(found))], most=most)
         self.plan = [
-            {"rank": k, "source": r.source, "source_size": n, "target": float(t), "epochs": (e := int(t // n) if n else 0), "rest": round(t - e * n), "blocks": max(1, ceil(n / block_words))}
+            {"rank": k, "source": r.source, "source_size": n, "target": float(t), "epochs": (e := int(t // n) if n else 0), "rest": round(t - e * n), "blocks": min(max_blocks, max(1, ceil(n / block_words)))}
             for k, (r, n, t) in enumerate(zip(found, sizes, targets, strict=True))
         ]
-        self.blocks = checkpointed(self._draw())
+        self.blocks = written(self._deal())
 
     def measures(self) -> list[Column]:
         return [F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(self.seed), "doc_id", "text").alias("key")]
@@ -98,19 +101,24 @@ class Mix:
         joined = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).drop("_source")
         return joined.withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
 
-    def _draw(self) -> DataFrame:
-        """Blocks (rank, block, words_before, take, dealt): dealt lists (epoch, shard) of each draw."""
+    def _deal(self) -> DataFrame:
+        """Drawn blocks (rank, block, dealt, cut): dealt lists (epoch, shard) of each draw, cut the words of the last one, if not whole.
+
+        A source's draws are numbered: all blocks in their permuted order, once
+        an epoch, then those of the first ``rest`` words. The tree deals ranges
+        of these numbers to shards.
+        """
         blocks = self.planned(self.rows).groupBy("rank", "block", "epochs", "rest").agg(F.sum("size").alias("words"))
-        order = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(self.seed), "block"), "block")
+        own = Window.partitionBy("rank")  # of ``max_blocks`` rows at most
+        order = own.orderBy(F.xxhash64(F.lit(self.seed), "block"), "block")
         before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        blocks = checkpointed(blocks.select("*", (F.row_number().over(order) - 1).alias("at"), before.alias("before")))
-        drawn = blocks.withColumn("draws", F.col("epochs") + (F.col("before") < F.col("rest")).cast("int"))
+        blocks = blocks.withColumns({"at": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(own), "before": before})
+        drawn = written(blocks.withColumn("draws", F.col("epochs") + (F.col("before") < F.col("rest")).cast("int")))
         quotas = np.zeros(len(self.plan), np.int64)
-        sizes = np.zeros(len(self.plan), np.int64)
-        for r in drawn.groupBy("rank").agg(F.sum("draws").alias("q"), F.count(F.lit(1)).alias("n")).collect():
-            quotas[r["rank"]], sizes[r["rank"]] = r.q, r.n
+        for r in drawn.groupBy("rank").agg(F.sum("draws").alias("q")).collect():
+            quotas[r["rank"]] = r.q
         shards, seed = self.shards, self.seed
-        parts = min(shards, 256)
+        parts = min(shards, 1024)
 
         def ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -121,26 +129,26 @@ class Mix:
 
         tree = self.spark.range(parts).mapInPandas(ranges, "rank int, first long, last long, shard int")
         dealt = tree.select("rank", "shard", F.explode(F.sequence("first", "last")).alias("draw"))
-        each = drawn.filter("draws > 0").select("rank", "block", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("epoch"), "at")
-        # an epoch's draws follow those of the epochs before it, in block order
-        n = F.element_at(F.lit(sizes.tolist()).cast("array<bigint>"), F.col("rank") + 1) if len(self.plan) else F.lit(0)
-        each = each.withColumn("draw", (F.col("epoch") * n + F.col("at")).cast("long"))
-        shard = each.join(dealt, ["rank", "draw"]).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("dealt"))
-        take = F.least(F.col("words"), F.greatest(F.col("rest") - F.col("before"), F.lit(0)))
-        return drawn.join(shard, ["rank", "block"], "left").select("rank", "block", "words", take.alias("take"), F.coalesce("dealt", F.array().cast("array<struct<epoch:int,shard:int>>")).alias("dealt"))
+        each = drawn.filter("draws > 0").select("rank", "block", "epochs", "words", (F.col("rest") - F.col("before")).alias("cut"), F.explode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("epoch"), "at", "n")
+        each = each.withColumn("draw", (F.col("epoch").cast("long") * F.col("n") + F.col("at")).cast("long"))
+        last = (F.col("epoch") == F.col("epochs")) & (F.col("cut") < F.col("words"))
+        return each.join(dealt, ["rank", "draw"]).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("dealt"), F.max(F.when(last, F.col("cut"))).alias("cut"))
 
     def taken(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (source, size, key, doc_id, ...) with source_size, target, taken, rest_taken, epochs and dealt."""
+        """``rows`` (source, size, key, doc_id, ...) with source_size, target, epochs, dealt, last (words of the cut draw; null: it has none) and taken.
+
+        What a row's block was dealt decides: its size for each whole draw,
+        and its part of the words of a cut one.
+        """
         # one plan at every size: rows are dealt once, for both branches below, and not sorted
-        joined = self.planned(rows).join(self.blocks.hint("shuffle_hash"), ["rank", "block"])
-        cut = (F.col("take") > 0) & (F.col("take") < F.col("words"))
-        whole = joined.filter(~cut).withColumn("rest_taken", F.when(F.col("take") > 0, F.col("size")).otherwise(F.lit(0)))
+        joined = self.planned(rows).join(self.blocks.hint("shuffle_hash"), ["rank", "block"], "left")
+        joined = joined.withColumn("dealt", F.coalesce("dealt", F.array().cast("array<struct<epoch:int,shard:int>>")))
+        whole = joined.filter(F.col("cut").isNull()).withColumn("last", F.lit(None).cast("long"))
         order = Window.partitionBy("rank", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("size").over(order), F.lit(0))
-        part = joined.filter(cut).withColumn("_before", before)
-        part = part.withColumn("rest_taken", F.least(F.col("size"), F.greatest(F.col("take") - F.col("_before"), F.lit(0)))).drop("_before")
-        both = whole.unionByName(part)
-        return both.withColumn("taken", F.col("epochs") * F.col("size") + F.col("rest_taken"))
+        part = joined.filter(F.col("cut").isNotNull()).withColumn("_before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+        part = part.withColumn("last", F.least(F.col("size"), F.greatest(F.col("cut") - F.col("_before"), F.lit(0)))).drop("_before")
+        draws = F.size("dealt") - F.col("last").isNotNull().cast("int")
+        return whole.unionByName(part).withColumn("taken", draws * F.col("size") + F.coalesce("last", F.lit(0)))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -155,8 +163,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat doc_id and text share a block and are drawn in turn.
     Reruns agree whatever the partitioning; of rows equal in both columns it
-    is open which one a cut falls on. An empty table gives an empty result;
-    further columns are ignored.
+    is open which one a cut falls on. Null doc_ids need no care; texts may be
+    of any length. An empty table gives an empty result; further columns, of
+    whatever names, are ignored.
     """
     plan = Mix(docs.select("doc_id", "text", "source"), **options)
     shards = F.array_join(F.transform("dealt", lambda d: d["shard"].cast("string")), ",")
@@ -172,8 +181,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = Mix(docs.select("doc_id", "text", "source"), **options)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"], docs["source"], *plan.measures())
     drawn = plan.taken(rows)
-    last = F.when(F.col("take") == F.col("words"), F.lit(True)).otherwise((F.col("rest_taken") > 0) & (2 * F.col("rest_taken") >= F.col("size")))
-    each = drawn.withColumn("draw", F.explode("dealt")).filter((F.col("draw.epoch") < F.col("epochs")) | last)
+    half = F.col("last").isNull() | ((F.col("last") > 0) & (2 * F.col("last") >= F.col("size")))
+    each = drawn.withColumn("draw", F.explode("dealt")).filter((F.col("draw.epoch") < F.col("epochs")) | half)
     order = F.xxhash64(F.lit(plan.seed), "key", "draw.epoch")
     out = each.select("doc", F.col("draw.shard").alias("shard"), order.alias("place")).repartition("shard").sortWithinPartitions("shard", "place")
     return out.select("doc.*")

@@ -377,11 +377,34 @@ def test_mixing(docs, empty):
     assert by == {(float(t), n): round(t) for t, n in zip(targets, totals, strict=True)}
     again = mixing.mix(docs.repartition(5)).collect()
     same(got, list(map(tuple, again)))
+    for options in ({"block_words": 50, "shard_words": 700}, {"block_words": 50, "max_blocks": 3}):
+        split, by = mixing.mix(docs, **options).collect(), defaultdict(int)
+        for r in split:
+            by[r.target, r.source_size] += r.taken
+            assert 0 <= r.taken <= 3 * r["size"] and r.taken <= len(r.shards.split(",")) * r["size"]
+        assert by == {(float(t), n): round(t) for t, n in zip(targets, totals, strict=True)}
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} <= {r[0] for r in fixture_rows()}
 
 
+def test_water_fill_against_small_steps():
+    """Targets rise together, each by its weight, until the words are given out or the source is full."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        n = int(rng.integers(1, 7))
+        sizes, weights = [int(x) for x in rng.integers(0, 1000, n)], [(5, 2, 1)[k % 3] for k in range(n)]
+        level, rest, steps = np.zeros(n), float(sum(sizes)), 0
+        while rest > 1e-9 and steps < 200:
+            open_ = np.array([a < 3 * s - 1e-9 for a, s in zip(level, sizes, strict=True)])
+            if not open_.any():
+                break
+            w = np.where(open_, weights, 0)
+            unit = min(rest / w.sum(), min((3 * s - a) / b for s, a, b in zip(sizes, level, w, strict=True) if b))
+            level, rest, steps = level + unit * w, rest - unit * w.sum(), steps + 1
+        assert np.allclose(level, [float(t) for t in mixing.water_fill(sizes, weights)])
+
+
 def test_split_tree():
     quotas = np.array([7, 0, 50, 3])
     whole = list(mixing.split_tree(quotas, 8, 1))
