@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Words are split at ASCII white space. Every run of ``k`` words is hashed; of
-every ``window`` consecutive hashes the smallest is kept, the rightmost of
+Words are split at ASCII white space. Every run of ``k`` words has a rolling
+hash of the hashes of its words; of every ``window`` consecutive hashes the smallest is kept, the rightmost of
 equal ones. What is kept is (hash, position): two texts that share
 ``k + window - 1`` words in a row share a hash at the matching positions.
 
@@ -26,15 +26,41 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def gram_hashes(words: Column, k: int) -> Column:
-    """Packed (hash, position) of every run of ``k`` words; of the one run there is if words are fewer."""
+def rotated(h: Column, n: int) -> Column:
+    """A long turned left by ``n`` bits."""
+    n %= 64
+    return F.shiftleft(h, n).bitwiseOR(F.shiftrightunsigned(h, 64 - n)) if n else h
 
-    def packed(word: Column, i: Column) -> Column:
-        gram = F.xxhash64(word, *(F.get(words, i + j) for j in range(1, k)))
-        return gram.bitwiseAND(F.lit(~POSITION)).bitwiseOR(F.lit(POSITION) - i % (POSITION + 1))
 
-    # get() is null past the end, so only whole runs are taken
-    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (k - 1), F.least(F.size(words), F.lit(1)))), packed)
+def rolled(df: DataFrame, hashes: str, to: str, k: int) -> DataFrame:
+    """``df`` with ``to``: the cyclic polynomial hash of every run of ``k`` of ``hashes``, null past the last whole run.
+
+    The hash of a run is that of its first part turned by the length of the
+    second, combined with that of the second: so a run is rolled up from
+    hashes of shorter ones, in at most two steps for each doubling, and each
+    word is hashed once.
+    """
+    df = df.withColumn(to, F.col(hashes))
+    length = 1
+    for bit in bin(k)[3:]:
+        # one projection a step, so that no step is worked out again for each element of the next
+        df = df.withColumn(to, F.transform(to, lambda h, i: rotated(h, length).bitwiseXOR(F.get(to, i + length))))
+        length *= 2
+        if bit == "1":
+            df = df.withColumn(to, F.transform(to, lambda h, i: rotated(h, 1).bitwiseXOR(F.get(hashes, i + length))))
+            length += 1
+    return df
+
+
+def gram_hashes(words: Column, rolls: Column, k: int) -> Column:
+    """Packed (hash, position) of every run of ``k`` words from their rolled hashes; of the one run there is if words are fewer."""
+
+    def packed(h: Column, i: Column) -> Column:
+        return F.xxhash64(h).bitwiseAND(F.lit(~POSITION)).bitwiseOR(F.lit(POSITION) - i % (POSITION + 1))
+
+    short = F.array(F.aggregate(words, F.lit(0).cast("long"), lambda h, x: rotated(h, 1).bitwiseXOR(x)))
+    whole = F.slice(rolls, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0)))
+    return F.transform(F.when(F.size(words) >= k, whole).when(F.size(words) > 0, short).otherwise(F.array().cast("array<bigint>")), packed)
 
 
 def least_ahead(values: Column, ahead: list[int]) -> Column:
@@ -52,11 +78,11 @@ def window_minima(grams: Column, fours: Column, window: int) -> Column:
 def winnow(df: DataFrame, text: str, to: str, k: int, window: int) -> DataFrame:
     """``df`` with ``to``, the packed fingerprint array of column ``text``. ``window`` is 8 at least."""
     return (
-        df.withColumn(f"{to}_words", words_of(F.col(text)))
-        .withColumn(f"{to}_grams", gram_hashes(F.col(f"{to}_words"), k))
+        rolled(df.withColumn(f"{to}_words", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w))), f"{to}_words", f"{to}_rolls", k)
+        .withColumn(f"{to}_grams", gram_hashes(F.col(f"{to}_words"), F.col(f"{to}_rolls"), k))
         .withColumn(f"{to}_fours", least_ahead(F.col(f"{to}_grams"), [1, 2, 3]))
         .withColumn(to, window_minima(F.col(f"{to}_grams"), F.col(f"{to}_fours"), window))
-        .drop(f"{to}_words", f"{to}_grams", f"{to}_fours")
+        .drop(f"{to}_words", f"{to}_rolls", f"{to}_grams", f"{to}_fours")
     )
 
 
@@ -92,54 +118,90 @@ def fingerprints(docs: DataFrame, k: int = 5, window: int = 16) -> DataFrame:
     return made.select("doc_id", positions(F.col("kept")).alias("fingerprint"))
 
 
-def in_order(docs: DataFrame, spread: int) -> DataFrame:
-    """``docs`` (doc_id, text) dealt into ``spread`` ranges of doc_id: columns bucket, guest, doc_id, text.
+class Bounds:
+    """Sorted lower bounds of ranges; finds a key's range in two steps of about the square root of their number."""
+
+    def __init__(self, lower: list[int]):
+        self.lower = sorted(lower) or [0]
+        self.step = int(len(self.lower) ** 0.5) + 1
+        self.groups = [self.lower[i : i + self.step] for i in range(0, len(self.lower), self.step)]
+
+    def _within(self, key: Column) -> tuple[Column, Column]:
+        at = F.size(F.filter(F.lit([g[0] for g in self.groups]).cast("array<bigint>"), lambda b: b <= key))
+        text = F.split(F.lit(";".join(",".join(map(str, g)) for g in self.groups)), ";")
+        return at, F.split(F.element_at(text, F.greatest(at, F.lit(1))), ",").cast("array<bigint>")
+
+    def place(self, key: Column) -> Column:
+        at, own = self._within(key)
+        return F.greatest((at - 1) * self.step + F.size(F.filter(own, lambda b: b <= key)) - 1, F.lit(0))
+
+    def has(self, key: Column) -> Column:
+        return F.array_contains(self._within(key)[1], key)
+
+
+def in_order(docs: DataFrame, range_bytes: int) -> DataFrame:
+    """``docs`` (doc_id, text) dealt into ranges of about ``range_bytes`` of text: columns bucket, guest, key, doc_id, text.
 
-    Each range also has the first rows of the range after it as guests (those
-    of the first range are guests of the last), so the next row of any row is
-    in its own range. Bounds come from approximate quantiles: ``spread`` ids.
+    The order is by doc_id, rows without one first, by a hash of their text
+    (``key``), then by text. Each range also has the first rows of the range
+    after it as guests (those of the first range are guests of the last), so
+    the next row of any row is in its own range. Bounds come from approximate
+    quantiles of four times as many small ranges, joined up by the bytes they
+    hold: that many numbers reach the driver. A range holds at least all rows
+    of one key.
     """
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / spread for i in range(spread)], 10 * spread), F.min("doc_id"), F.count(F.lit(1)) - F.count("doc_id")).first()
-    lower = sorted({bounds[1], *(bounds[0] or [])} - {None})
-    if not lower:
-        lower = [0]
-    # found in two steps of about the square root of their number
-    step = int(len(lower) ** 0.5) + 1
-    groups = [lower[i : i + step] for i in range(0, len(lower), step)]
-    at = F.size(F.filter(F.lit([g[0] for g in groups]).cast("array<bigint>"), lambda b: b <= F.col("doc_id")))
-    text = F.split(F.lit(";".join(",".join(map(str, g)) for g in groups)), ";")
-    inside = F.size(F.filter(F.split(F.element_at(text, F.greatest(at, F.lit(1))), ",").cast("array<bigint>"), lambda b: b <= F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise((at - 1) * step + inside - 1)
-    host = F.pmod(F.col("bucket") - 1, F.lit(len(lower)))
-    is_first = F.array_contains(F.split(F.element_at(text, F.greatest(at, F.lit(1))), ",").cast("array<bigint>"), F.col("doc_id"))
-    if bounds[2]:  # rows without an id come first of all
-        is_first = F.when(F.col("doc_id").isNull(), F.lit(True)).when(F.col("doc_id") == F.lit(lower[0]), F.lit(False)).otherwise(is_first)
+    null, key = F.col("doc_id").isNull(), F.coalesce("doc_id", F.xxhash64("text"))
+    docs = docs.withColumn("key", key)
+    bytes_ = F.sum(F.octet_length("text").cast("long") + 64)
+    whole = docs.groupBy(null.alias("no_id")).agg(bytes_.alias("b"), F.min("key").alias("least")).collect()
+    small = {r.no_id: 4 * -(-r.b // range_bytes) for r in whole}
+    cuts = docs.agg(*(F.percentile_approx(F.when(null == F.lit(k), F.col("key")), [i / n for i in range(n)], 10 * n).alias(str(k)) for k, n in sorted(small.items()))).first() if whole else {}
+    fine = {r.no_id: Bounds(list({r.least, *(cuts[str(r.no_id)] or [])})) for r in whole}
+
+    def bucket(bounds: dict[bool, Bounds], f) -> Column:
+        return F.when(null, f(bounds[True]) if True in bounds else F.lit(None)).otherwise(f(bounds[False]) if False in bounds else F.lit(None))
+
+    if not whole:
+        return docs.select(F.lit(0).alias("bucket"), F.lit(False).alias("guest"), "key", "doc_id", "text")
+    # quantiles are numbers near to keys; bounds are the least keys that there are
+    held = docs.groupBy(null.alias("no_id"), bucket(fine, lambda x: x.place(F.col("key"))).alias("at")).agg(bytes_.alias("b"), F.min("key").alias("least")).collect()
+    bounds = {}
+    for k in fine:
+        chosen, room = [], 0
+        for r in sorted((r for r in held if r.no_id == k), key=lambda r: r.least):
+            if not chosen or room + r.b > range_bytes:
+                chosen, room = [*chosen, r.least], 0
+            room += r.b
+        bounds[k] = Bounds(chosen)
+    nulls = len(bounds[True].lower) if True in bounds else 0
+    total = nulls + (len(bounds[False].lower) if False in bounds else 0)
+    place = bucket(bounds, lambda x: x.place(F.col("key"))) + F.when(null, F.lit(0)).otherwise(F.lit(nulls))
     own = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
-    places = F.when(F.col("first"), F.array(own, F.struct(host.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    return docs.withColumn("bucket", bucket).withColumn("first", F.coalesce(is_first, F.lit(False))).withColumn("place", F.explode(places)).select("place.bucket", "place.guest", *docs.columns)
+    host = F.struct(F.pmod(F.col("bucket") - 1, F.lit(total)).alias("bucket"), F.lit(True).alias("guest"))
+    places = F.when(bucket(bounds, lambda x: x.has(F.col("key"))), F.array(own, host)).otherwise(F.array(own))
+    return docs.withColumn("bucket", place).withColumn("place", F.explode(places)).select("place.bucket", "place.guest", "key", "doc_id", "text")
 
 
-def edited_fingerprints(docs: DataFrame, k: int = 5, window: int = 16, ranges: int | None = None) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = 5, window: int = 16, range_bytes: int = 1 << 24) -> DataFrame:
     """Fingerprint every text, and its edited text, and compare both with it.
 
     The edited text has its last ``n_chars // 4`` code points replaced by the
     first as many of the next row's text (all of it, if shorter), rows being
-    ordered by doc_id (nulls first, then by text) and the last followed by the
-    first. Columns: doc_id, n_chars, edited_sha256, fingerprint,
+    ordered by doc_id (nulls first, by a hash of their text), then by text, and
+    the last followed by the first. Columns: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
     Null text is empty; two empty fingerprints are alike (1.0), an empty and
     another one are not (0.0). Of rows that repeat a doc_id each is returned
     and counts as a row of its own. A single row is its own next row. An empty
-    table gives an empty result; further columns are ignored.
+    table gives an empty result; texts may be of any length; further columns,
+    of whatever names, are ignored.
 
-    Each row and its kept hashes are shuffled once, to ``ranges`` ranges of
-    doc_id (twice the shuffle partitions if not given).
+    Each row and its kept hashes are shuffled once, to ranges of doc_id of
+    about ``range_bytes`` of text.
     """
-    spark = docs.sparkSession
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = winnow(in_order(docs.select("doc_id", text_of().alias("text")), ranges), "text", "kept", k, window)
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
+    rows = winnow(in_order(docs.select("doc_id", text_of().alias("text")), range_bytes), "text", "kept", k, window)
+    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "key", "text")
     pairs = rows.withColumn("next", F.lead(F.struct("text", "kept")).over(order)).filter("not guest")
     n = F.length("text").cast("long")
     edited = pairs.select("doc_id", "kept", F.col("next.kept").alias("next_kept"), n.alias("n_chars"), F.col("text").alias("own"), F.col("next.text").alias("next_text"))
