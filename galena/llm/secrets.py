@@ -10,10 +10,9 @@ texts.
 
 from __future__ import annotations
 
-import re._constants as op
+import re
 from dataclasses import dataclass
 from itertools import product
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,61 +46,137 @@ MORE = (
 RULES = (*BASE, *MORE)
 
 
-def _runs(tree) -> list[tuple[str, ...]]:
-    """Alternatives of a parsed regex, each the literal runs of a match in order.
+_CLASSES = frozenset("dDwWsSbBAZzGhHvVR")  # escapes that stand for a class or a place
 
-    A run that may be followed by anything ends with an empty string.
+
+class _Reader:
+    """Reads a regex of literals, classes, groups, alternatives and repeats as alternatives of literal runs.
+
+    Each alternative is the literal runs of a match in order; a run that may
+    be followed by anything ends with an empty string. Whatever is not known
+    for certain is taken for anything at all.
     """
 
+    def __init__(self, pattern: str):
+        self.rest = list(reversed(pattern))
+
+    def peek(self) -> str:
+        return self.rest[-1] if self.rest else ""
+
+    def take(self) -> str:
+        return self.rest.pop() if self.rest else ""
+
+    @staticmethod
     def join(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
         return (*a[:-1], a[-1] + b[0], *b[1:])
 
-    out: list[tuple[str, ...]] = [("",)]
-    for kind, arg in tree:
-        if kind is op.LITERAL:
-            part = [(chr(arg).lower(),)]
-        elif kind is op.IN and len(arg) <= FEW and all(k is op.LITERAL for k, _ in arg):
-            part = [(c,) for c in dict.fromkeys(chr(x).lower() for _, x in arg)]
-        elif kind is op.SUBPATTERN:
-            part = _runs(arg[-1])
-        elif kind is op.BRANCH:
-            part = [x for branch in arg[1] for x in _runs(branch)]
-        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and arg[0]:
-            once = _runs(arg[2])
-            part = [("",)]
-            for _ in range(min(arg[0], 3)):
-                part = [join(x, y) for x, y in product(part, once)]
-            part = part if arg[:2] == (arg[0], arg[0]) and arg[0] <= 3 else [(*x, "") for x in part]
-        elif kind is op.AT:
-            part = [("",)]
-        else:
-            part = [("", "")]
-        out = list(dict.fromkeys(join(x, y) for x, y in product(out, part)))
-    return out
+    def whole(self) -> list[tuple[str, ...]]:
+        """Alternatives up to the end or a closing parenthesis."""
+        out = self.sequence()
+        while self.peek() == "|":
+            self.take()
+            out = out + self.sequence()
+        return out
+
+    def sequence(self) -> list[tuple[str, ...]]:
+        out: list[tuple[str, ...]] = [("",)]
+        while self.peek() and self.peek() not in "|)":
+            out = list(dict.fromkeys(self.join(x, y) for x, y in product(out, self.repeated(self.one()))))
+        return out
+
+    def repeated(self, once: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+        low, high = 1, 1
+        if self.peek() in ("?", "*", "+"):
+            low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}[self.take()]
+        elif self.peek() == "{":
+            text = ""
+            while text[-1:] != "}":
+                text += self.take()
+            first, _, second = text[1:-1].partition(",")
+            low, high = int(first or 0), int(second) if second else None if "," in text else int(first)
+        if self.peek() in ("?", "+") and (low, high) != (1, 1):
+            self.take()  # lazy and possessive repeats match the same texts at most
+        part: list[tuple[str, ...]] = [("",)]
+        for _ in range(min(low, 3)):
+            part = [self.join(x, y) for x, y in product(part, once)]
+        return part if low == high and low <= 3 else [(*x, "") for x in part]
+
+    def literal(self) -> str | None:
+        """The character of an escape that was begun, if it is one."""
+        c = self.take()
+        if c == "x":
+            return chr(int(self.take() + self.take(), 16))
+        return None if c in _CLASSES or c.isdigit() else {"n": "\n", "t": "\t", "r": "\r", "f": "\f"}.get(c, c)
+
+    def one(self) -> list[tuple[str, ...]]:
+        anything: list[tuple[str, ...]] = [("", "")]
+        c = self.take()
+        if c == "(":
+            inside = self.group()
+            self.take()
+            return inside
+        if c == "[":
+            return self.members()
+        if c == "\\":
+            c = self.literal()
+            return anything if c is None else [(c.lower(),)]
+        return anything if c == "." else [("",)] if c in "^$" else [(c.lower(),)]
+
+    def group(self) -> list[tuple[str, ...]]:
+        if self.peek() != "?":
+            return self.whole()
+        self.take()
+        head = self.take()
+        if head in "=!<" and not (head == "<" and self.peek() not in "=!"):  # looks around: no part of the match
+            self.whole()
+            return [("", "")]
+        while head not in (":", ">", ")"):
+            head = self.take()
+        return [("",)] if head == ")" else self.whole()
+
+    def members(self) -> list[tuple[str, ...]]:
+        """A class: its characters, if few and listed, else anything."""
+        found, known = [], self.peek() != "^"
+        while self.peek() and (self.peek() != "]" or not found):
+            c = self.take()
+            if c == "\\":
+                c = self.literal()
+            elif c == "-" and found and self.peek() != "]":
+                known = False
+            known = known and c is not None
+            found.append((c or "").lower())
+        self.take()
+        return [(c,) for c in dict.fromkeys(found)] if known and len(found) <= FEW else [("", "")]
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """OR of ANDs of lower-case trigrams that any match of ``pattern`` contains; None if it may have none."""
-    clauses = [frozenset(run[i : i + 3] for run in runs for i in range(len(run) - 2)) for runs in _runs(_parser.parse(pattern))]
+    clauses = [frozenset(run[i : i + 3] for run in runs for i in range(len(run) - 2)) for runs in _Reader(pattern).whole()]
     if not all(clauses):
         return None
     return [c for c in dict.fromkeys(clauses) if not any(d < c for d in clauses)]
 
 
+def _name(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with id and tag: what a row's postings name it by, so that rows without an id are told apart."""
+    null = F.col("doc_id").isNull()
+    return docs.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "tag": F.xxhash64("text", F.length("text"), null)})
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index: (trigram, doc_id) for each of ``trigrams`` in each lower-cased text."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+    """The inverted index: (trigram, id, tag) for each of ``trigrams`` in each lower-cased text."""
+    low = docs.select("id", "tag", F.lower("text").alias("low"))
     found = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
-    return low.select("doc_id", F.explode(found).alias("trigram"))
+    return low.select("id", "tag", F.explode(found).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, rules): kinds whose trigram query the document's postings satisfy."""
+    """(id, tag, kinds): the rules whose trigram query the document's postings satisfy."""
     clauses = [(r.kind, k, t, len(c)) for r in rules for k, c in enumerate(trigram_query(r.pattern) or []) for t in sorted(c)]
     wanted = docs.sparkSession.createDataFrame(clauses, "kind string, clause int, trigram string, needed int")
     index = postings(docs, sorted({c[2] for c in clauses}))
-    met = index.join(F.broadcast(wanted), "trigram").groupBy("doc_id", "kind", "clause").agg(F.count_distinct("trigram").alias("have"), F.first("needed").alias("needed"))
-    return met.filter("have = needed").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    met = index.join(F.broadcast(wanted), "trigram").groupBy("id", "tag", "kind", "clause").agg(F.count_distinct("trigram").alias("have"), F.first("needed").alias("needed"))
+    return met.filter("have = needed").groupBy("id", "tag").agg(F.collect_set("kind").alias("kinds"))
 
 
 def spans(text: Column, rule: Rule, number: int) -> Column:
@@ -124,18 +199,18 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Return doc_id and ``spans``, array of struct (start, number, end) sorted, for every row of ``docs``.
 
     number is the rule's place in ``rules``; overlapping spans of different
-    rules are all kept. Null text is empty. Rows that repeat a doc_id share
-    their candidates and are verified each. Further columns are ignored.
+    rules are all kept. Null text is empty; texts may be of any length. Rows
+    that repeat or lack a doc_id are verified each. An empty table gives an
+    empty result; further columns, of whatever names, are ignored.
     """
-    docs = docs.select("doc_id", text_of().alias("text"))
-    found = candidates(docs, rules).withColumnRenamed("doc_id", "_id")
-    marked = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    docs = _name(docs.select("doc_id", text_of().alias("text")))
+    marked = docs.join(candidates(docs, rules), ["id", "tag"], "left")
     none = F.array().cast("array<struct<start:int,number:int,end:int>>")
     columns = []
     for number, rule in enumerate(rules):
         if trigram_query(rule.pattern) is not None:
             maybe = F.array_contains("kinds", rule.kind)
-        elif rule.pattern.endswith("]+") and not rule.group:  # a run: long ones only
+        elif re.fullmatch(r"\[[^\[\]\\]+\]\+", rule.pattern) and not rule.group:  # nothing but a run of one class: long ones only
             maybe = F.col("text").rlike(f"{rule.pattern[:-1]}{{{rule.least}}}")
         else:
             maybe = F.lit(True)

@@ -237,7 +237,7 @@ def test_winnowing(docs, empty):
     assert all(0 <= p.position < 240 for p in marks[5])
 
 
-def test_secrets(docs, empty):
+def test_secrets(spark, docs, empty):
     base = [re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
 
     def brute(t):
@@ -257,6 +257,14 @@ def test_secrets(docs, empty):
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert secrets.trigram_query("(abcd|xyz)q?") == [frozenset({"abc", "bcd"}), frozenset({"xyz"})]
     assert secrets.trigram_query("ab?cd") is None
+    assert secrets.trigram_query(r"(?i:pass)\x41[xy]z{2}") == [frozenset({"pas", "ass", "ssa", "sa" + c, "a" + c + "z", c + "zz"}) for c in "xy"]
+    assert secrets.trigram_query(r"abc(?=def)|\d+") is None
+    rules = (secrets.Rule("k", "k[0-9]+", 0, 5), secrets.Rule("run", "[0-9]+", 0, 4))
+    rows = spark.createDataFrame([(None, "k1234 12 k1"), (None, "k12345"), (1, "x" * 200_000 + "k1234")], "doc_id long, text string")
+    found = {r.doc_id or len(r.spans[0]): [tuple(x) for x in r.spans] for r in secrets.find_secrets(rows, rules).filter("doc_id is not null").collect()}
+    assert found == {1: [(200_000, 0, 200_005), (200_001, 1, 200_005)]}
+    none = sorted([tuple(x) for x in r.spans] for r in secrets.find_secrets(rows, rules).filter("doc_id is null").collect())
+    assert none == [[(0, 0, 5), (1, 1, 5)], [(0, 0, 6), (1, 1, 6)]]
 
 
 def test_substring_dedup(docs, empty):
