@@ -3,14 +3,18 @@
 A tree builder with implied end tags makes the element tree; a renderer walks
 it and writes all visible text: block elements on lines of their own with
 their spacing, list items with bullets or numbers and indents, preformatted
-text as it is, and tables with their columns aligned. Both are iterative, so
-deep nesting is no limit. Each page is rendered by itself; nothing is shuffled.
+text as it is, and tables with their columns aligned. Both are iterative and
+take time in proportion to the page, whatever its nesting; only indents stop
+growing at ``MOST_INDENT`` columns. Each page is rendered by itself; nothing is
+shuffled.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -40,6 +44,10 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 BARRIER = frozenset({"table", "td", "th", "caption", "button", "object", "template", "html"})
+#: Text and elements directly in these, other than those of the second set, go before their table.
+TABLE_PARTS = frozenset("table thead tbody tfoot tr".split())
+IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th style script template form".split())
+MOST_INDENT = 64
 
 
 class Node:
@@ -50,35 +58,72 @@ class Node:
 
 
 class TreeBuilder(HTMLParser):
-    """Builds the tree; ``sheets`` collects the text of style elements."""
+    """Builds the tree; ``sheets`` collects the text of style elements.
+
+    ``places`` has, for each tag, where its open elements are in ``open``, so
+    no tag needs a walk through all of them.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.open, self.sheets = [self.root], []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the open elements from ``at`` on."""
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
+    def nearest(self, names: set[str] | frozenset[str]) -> int:
+        return max((own[-1] for n in names if (own := self.places.get(n))), default=0)
 
     def shut(self, names: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> None:
         """Close the outermost open element of ``names`` inside the nearest of ``within``."""
-        found = 0
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in within:
-                break
-            if self.open[k].tag in names:
-                found = k
+        if not any(self.places.get(n) for n in names):
+            return
+        floor, found = self.nearest(within), []
+        for n in names:
+            own = self.places.get(n) or []
+            k = bisect_right(own, floor)
+            found += own[k : k + 1]
         if found:
-            del self.open[found:]
+            self.cut(min(found))
+
+    def home(self) -> list:
+        """Where content goes that may not stand directly in a table: before the table."""
+        at = self.nearest({"table"})
+        above, table = self.open[at - 1].children, self.open[at]
+        if not above or above[-1] is not table:  # the table itself was moved out of another
+            return above
+        above.pop()
+        self.after = (above, table)
+        return above
+
+    def put(self, item: Node | str, moved: bool) -> None:
+        if not moved:
+            self.open[-1].children.append(item)
+            return
+        self.after = None
+        self.home().append(item)
+        if self.after:
+            self.after[0].append(self.after[1])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in IMPLIED:
             self.shut(*IMPLIED[tag])
         elif tag in CLOSES_P and self.open[-1].tag == "head":
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if tag in CLOSES_P:
             self.shut({"p"}, BARRIER)
         node = Node(tag, dict(reversed(attrs)))
-        self.open[-1].children.append(node)
+        self.put(node, self.open[-1].tag in TABLE_PARTS and tag not in IN_TABLE and bool(self.places.get("table")))
         if tag not in VOID:
-            self.open.append(node)
+            self.push(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
@@ -86,37 +131,70 @@ class TreeBuilder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             return self.handle_starttag("br", [])
-        barrier = BARRIER if tag not in BARRIER else {"table"}
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in barrier:
-                return
+        own = self.places.get(tag)
+        if own and own[-1] > self.nearest((BARRIER if tag not in BARRIER else frozenset({"table"})) - {tag}):
+            self.cut(own[-1])
 
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
         if top.tag == "style":
             self.sheets.append(data)
-        top.children.append(data)
+        self.put(data, top.tag in TABLE_PARTS and not data.isspace() and bool(self.places.get("table")))
 
 
-_HIDES = re.compile(r"display\s*:\s*none", re.I)
-_UNSEEN = re.compile(r"visibility\s*:\s*(hidden|collapse)", re.I)
-_SEEN = re.compile(r"visibility\s*:\s*visible", re.I)
+_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_VISIBLE = re.compile(r"(?:^|[;\s])visibility\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 _BLANK, _SOLID = " \t\n\r\f", re.compile(r"[^ \t\n\r\f]+")  # no-break spaces are text
 _SIMPLE = re.compile(r"[.#]?[A-Za-z][\w-]*")
+_SCREEN = re.compile(r"@(?:media|supports|layer|container)\b(?![^{]*\bprint\b)", re.I)
+
+#: What is known of a selector: for display and visibility, (important, weight, order, value).
+Rules = dict[str, list[tuple[bool, int, int, str] | None]]
 
 
-def hiding_selectors(sheets: list[str]) -> tuple[set[str], set[str]]:
-    """Simple selectors (tag, .class, #id) that set display to none, and visibility to hidden."""
-    none, unseen = set(), set()
+def style_rules(sheets: list[str]) -> Rules:
+    """Rules of simple selectors (tag, .class, #id) for display and visibility; what is for print only is left out."""
+    rules: Rules = {}
+    order = 0
     for sheet in sheets:
-        for names, body in re.findall(r"([^{}]+)\{([^{}]*)\}", re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            for to, pattern in ((none, _HIDES), (unseen, _UNSEEN)):
-                if pattern.search(body):
-                    to.update(x.lower() if x[0] not in ".#" else x for x in map(str.strip, names.split(",")) if _SIMPLE.fullmatch(x))
-    return none, unseen
+        closed, head = [], ""  # of each block that is open, whether its rules hold
+        for text, mark in re.findall(r"([^{};]*)([{};]|$)", re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+            if mark == "{":
+                if head or not all(closed):  # a block in a rule, or in one that does not hold
+                    closed.append(False)
+                elif text.strip().startswith("@"):
+                    closed.append(bool(_SCREEN.match(text.strip())))
+                else:
+                    closed, head, body = [*closed, True], text.strip() or " ", ""
+                continue
+            if head and all(closed):
+                body += text + ";"
+            if mark == "}" and closed:
+                holds = all(closed)
+                closed.pop()
+                if head and holds:
+                    order += 1
+                    for name in map(str.strip, head.split(",")):
+                        if _SIMPLE.fullmatch(name):
+                            own = rules.setdefault(name if name[0] in ".#" else name.lower(), [None, None])
+                            for k, pattern in enumerate((_DISPLAY, _VISIBLE)):
+                                for value, important in pattern.findall(body):
+                                    new = (bool(important), {"#": 2, ".": 1}.get(name[0], 0), order, value.lower())
+                                    own[k] = new if own[k] is None or new[:3] >= own[k][:3] else own[k]
+                    head = ""
+    return rules
+
+
+def styled(rules: Rules, tag: str, attrs: dict[str, str | None]) -> tuple[str | None, str | None]:
+    """Display and visibility of an element, null where nothing says: the important, then the more special, then the later rule."""
+    names = [tag, *("." + c for c in (attrs.get("class") or "").split()), f"#{attrs.get('id')}"]
+    found = [rules[n] for n in names if n in rules] if rules else []
+    out = []
+    for k, pattern in enumerate((_DISPLAY, _VISIBLE)):
+        own = [(bool(i), 3, 0, v.lower()) for v, i in pattern.findall(attrs.get("style") or "")]
+        best = max([*(r[k] for r in found if r[k]), *own], default=None)
+        out.append(best and best[3])
+    return out[0], out[1]
 
 
 def _width(line: str) -> int:
@@ -152,7 +230,7 @@ class Flow:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        lead = self.indent[: len(self.indent) - len(self.bullet)] + self.bullet if self.bullet else self.indent
+        lead = self.indent[: max(0, len(self.indent) - len(self.bullet))] + self.bullet if self.bullet else self.indent
         self.bullet = ""
         self.lines.append((lead + line).rstrip())
 
@@ -166,29 +244,54 @@ class Flow:
         self.end()
         self.blank |= spaced
 
+    def deeper(self, columns: int) -> str:
+        """Indent by so many columns more, up to the most there are; returns the indent before."""
+        before = self.indent
+        self.indent = before + " " * min(columns, max(0, MOST_INDENT - len(before)))
+        return before
+
 
 class Table:
+    """Rows of cells (lines, columns, rows they span)."""
+
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+
+    def placed(self) -> Iterator[list[tuple[int, list[str], int]]]:
+        """Each row's cells as (column, lines, span); a column that a cell from above still takes is passed over."""
+        taken: dict[int, int] = {}  # column to rows it is still taken for
+        for row in self.rows:
+            at, out, new = 0, [], {}
+            for cell, span, down in row:
+                while taken.get(at, 0):
+                    at += 1
+                out.append((at, cell, span))
+                if down != 1:
+                    new |= {at + i: down - 1 if down else len(self.rows) for i in range(span)}
+                at += span
+            taken = {c: n - 1 for c, n in taken.items() if n > 1} | new
+            yield out
 
     def lines(self) -> list[str]:
         """Rows with each column as wide as its widest cell; columns two spaces apart."""
-        width: dict[int, int] = {}
-        for row in self.rows:
-            at = 0
-            for cell, span in row:
+        rows, width = list(self.placed()), defaultdict(int)
+        for row in rows:
+            for at, cell, span in row:
                 if span == 1:
-                    width[at] = max([width.get(at, 0), *map(_width, cell)])
-                at += span
+                    width[at] = max([width[at], *map(_width, cell)])
         out = []
-        for row in self.rows:
-            for k in range(max((len(c) for c, _ in row), default=0)):
-                line, at = "", 0
-                for cell, span in row:
+        for row in rows:
+            for k in range(max((len(c) for _, c, _ in row), default=0)):
+                line, wide, have, column = "", 0, 0, 0  # wide: of the line; have: where the next cell begins
+                for at, cell, span in row:
+                    while column < at:  # taken from above: left blank
+                        have, column = have + width[column] + 2, column + 1
                     own = cell[k] if k < len(cell) else ""
-                    room = sum(width.get(at + i, 0) for i in range(span)) + 2 * (span - 1)
-                    line += own + " " * (max(0, room - _width(own)) + 2)
-                    at += span
+                    if own:
+                        line += " " * (have - wide) + own
+                        wide = have + _width(own)
+                    have = max(have + sum(width[at + i] for i in range(span)) + 2 * span, wide + 2 if own else 0)
+                    column = at + span
                 out.append(line.rstrip())
         return out
 
@@ -202,7 +305,7 @@ def render(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    none, unseen = hiding_selectors(builder.sheets)
+    rules = style_rules(builder.sheets)
     flows: list[Flow] = [Flow()]
     tables: list[Table] = []
     lists: list[list] = []  # [ordered, next number]
@@ -218,11 +321,11 @@ def render(html: str | None) -> str:
                 (flow.raw if pre else flow.text)(node)
             continue
         tag, attrs = node.tag, node.attrs
-        style = attrs.get("style") or ""
-        names = {tag, *("." + c for c in (attrs.get("class") or "").split()), f"#{attrs.get('id')}"}
-        if tag in HIDDEN or "hidden" in attrs or _HIDES.search(style) or names & none or (tag == "dialog" and "open" not in attrs):
+        display, visible = styled(rules, tag, attrs)
+        shut = "hidden" in attrs or (tag == "dialog" and "open" not in attrs)
+        if tag in HIDDEN or display == "none" or (shut and display is None):
             continue
-        seen = False if _UNSEEN.search(style) or names & unseen else True if _SEEN.search(style) else seen
+        seen = seen if visible in (None, "inherit") else visible == "visible"
         if tag == "br":
             flow.end(keep=True)
             continue
@@ -245,10 +348,10 @@ def render(html: str | None) -> str:
                 tables[-1].rows.append([])
             flows.append(Flow())
 
-            def close(row: list = tables[-1].rows[-1], span: int = _number(attrs.get("colspan"), 1, 1000)) -> None:
+            def close(row: list = tables[-1].rows[-1], span: int = _number(attrs.get("colspan"), 1, 1000), down: int = _number(attrs.get("rowspan"), 0, 65534) if attrs.get("rowspan") else 1) -> None:
                 cell = flows.pop()
                 cell.end()
-                row.append((cell.lines, span))
+                row.append((cell.lines, span, down))
         elif tag in ("ul", "ol", "menu"):
             flow.block(not lists)
             lists.append([tag == "ol", _number(attrs.get("start"), 1, 10**9)])
@@ -262,14 +365,14 @@ def render(html: str | None) -> str:
             if lists and lists[-1][0]:
                 number = _number(attrs.get("value"), lists[-1][1], 10**9) if attrs.get("value") else lists[-1][1]
                 bullet, lists[-1][1] = f"{number}. ", number + 1
-            before, flow.indent, flow.bullet = flow.indent, flow.indent + " " * len(bullet), bullet
+            before, flow.bullet = flow.deeper(len(bullet)), bullet
 
             def close(flow: Flow = flow, before: str = before) -> None:
                 flow.end()
                 flow.indent, flow.bullet = before, ""
         elif tag in ("dd", "blockquote"):
             flow.block(tag in SPACED)
-            before, flow.indent = flow.indent, flow.indent + "  "
+            before = flow.deeper(2)
 
             def close(flow: Flow = flow, before: str = before, spaced: bool = tag in SPACED) -> None:
                 flow.block(spaced)
@@ -293,8 +396,10 @@ def render(html: str | None) -> str:
 def page_texts(pages: DataFrame) -> DataFrame:
     """Return page_id, url, text and n_lines for every row of ``pages``.
 
-    Null and empty pages have an empty text and no line. Rows that repeat a
-    page_id or lack one are rendered like others. Further columns are ignored.
+    Null and empty pages have an empty text and no line. Pages may be of any
+    length. Rows that repeat a page_id or lack one are rendered like others.
+    An empty table gives an empty result; further columns, of whatever names
+    (text too), are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -457,6 +457,82 @@ def test_html(spark):
     assert text == ["a\n\nb cd\n\n- x\n- y\n  - z\n\n3. q\n4. r", "Name       N\nlong name  1\n\nx\ny", "", "", "deep", "©\xa0x s", " a  b\n  c"]
 
 
+def test_html_tables_and_styles():
+    cases = {
+        "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+        "<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>": "a  b\n   c\n   d",
+        "<table>x<tr><td>1<div>z</div></td>q<b>bold</b></tr></table>y": "xqbold\n\n1\nz\n\ny",
+        "<table><tr><td>aa<td>b<td>c<tr><td colspan=2>long cell here<td>d</table>": "aa  b  c\nlong cell here  d",
+        "<table><tr><td>l1<br>l2<td>r1<br>r2<br>r3<tr><td>x<td>y</table>": "l1  r1\nl2  r2\n    r3\nx   y",
+        "<style>@media print{.n{display:none}} .m{display:none} .m{display:block}</style><p class=n>n<p class=m>m": "n\n\nm",
+        "<style>@media screen{.n{display:none}} #a{display:block} .m{display:none}</style><p class=n>n<p class=m id=a>m<p class=m style='display:block'>s": "m\n\ns",
+        "<style>.n{display:none!important} .n{display:block}</style><p class=n>n<p>m": "m",
+        "<p>a<button><p>b</button>c": "a\n\nb\n\nc",
+    }
+    assert {h: html_text.render(h) for h in cases} == cases
+
+
+def test_html_of_any_depth_or_length():
+    import time
+
+    for tag in ("<div>", "<p><span>", "<ul><li>", "<table><tr><td>", "<blockquote>", "<p><button><div>"):
+        took = []
+        for n in (3_000, 24_000):
+            began = time.perf_counter()
+            assert html_text.render(tag * n + "x").strip(" -") == "x"
+            took.append(time.perf_counter() - began)
+        assert took[1] < 24 * max(took[0], 0.02)  # eight times as deep: far from its square
+    assert html_text.render("<p>word " * 100_000) == "\n\n".join(["word"] * 100_000)
+
+
+def test_html_against_a_plain_renderer():
+    """Random trees of blocks, inline elements and hidden parts against a recursion over the tree."""
+    rng = np.random.default_rng(31)
+
+    def tree(depth):
+        kind = rng.choice(["div", "p", "b", "span", "text", "gone", "br"], p=[0.2, 0.1, 0.1, 0.1, 0.35, 0.1, 0.05])
+        if kind in ("text", "br") or depth == 0:
+            return ("br",) if kind == "br" else ("text", f" w{rng.integers(99)}" if rng.random() < 0.5 else f"w{rng.integers(99)} ")
+        return (kind, [tree(depth - 1) for _ in range(rng.integers(1, 4))])
+
+    def html(t, inline):
+        if t[0] == "text":
+            return t[1]
+        if t[0] == "br":
+            return "<br>"
+        inside = lambda name, deep, more="": f"<{name}{more}>" + "".join(html(c, deep) for c in t[1]) + f"</{name}>"
+        if t[0] == "gone":
+            return inside("span", True, " hidden")
+        return inside(t[0] if not (inline and t[0] in ("div", "p")) else "i", inline or t[0] not in ("div",))
+
+    def events(t, inline):
+        if t[0] in ("text", "br"):
+            return [t]
+        if t[0] == "gone":
+            return []
+        block = t[0] in ("div", "p") and not inline
+        inside = [e for c in t[1] for e in events(c, inline or t[0] != "div")]
+        return [("block", t[0] == "p"), *inside, ("block", t[0] == "p")] if block else inside
+
+    def plain(t):
+        lines, line, blank = [], "", False
+        for e in [*events(t, False), ("block", False)]:
+            if e[0] == "text":
+                line += e[1]
+                continue
+            text = " ".join(line.split())
+            if text or e[0] == "br":
+                lines += [""] * (blank and bool(lines)) + [text]
+                blank = False
+            line = ""
+            blank |= e[0] == "block" and e[1]
+        return "\n".join(lines).strip("\n")
+
+    for _ in range(400):
+        t = ("div", [tree(4) for _ in range(4)])
+        assert html_text.render(html(t, False)) == plain(t)
+
+
 def test_quality(spark, sf_dir, docs, empty):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = quality.quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
