@@ -44,6 +44,11 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
         start = end - length
         n = len(words) - shingle + 1
         hashes = np.fromiter((xxh64_intdigest(whole[a:b], seed) for a, b in zip(start[:n].tolist(), end[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+    return majority_bits(hashes)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The number whose bits are those that over half of ``hashes`` have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):  # bounds the unpacked bits of a long text
         part = hashes[at : at + (1 << 15)]
@@ -161,7 +166,9 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, blo
     have fingerprint zero and link like any other. Texts shorter than a
     shingle count as one shingle. Rows that repeat a doc_id are each returned.
     A row with a null doc_id links and is returned, but names no component;
-    component_id is null if nothing reachable has an id.
+    component_id is null if nothing reachable has an id. Texts may be of any
+    length. An empty table gives an empty result; further columns, of whatever
+    names, are ignored.
     """
     marked = checkpointed(fingerprints(docs.select("doc_id", "text"), shingle))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))

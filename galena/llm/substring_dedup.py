@@ -15,7 +15,7 @@ goes beyond its own match too: such runs are named by a 128-bit hash of their
 words and kept if the name comes up again. Repeats that overlap make up the
 maximal repeats, and exactly their words are removed.
 
-A gram with more than ``room`` occurrences (or a hundred thousandth of all,
+A gram with more than ``room`` occurrences (and a hundred thousandth of all,
 found by counting what is frequent in any one partition) is salted, and its
 contexts are counted over the salts afterwards; the first context of a gram is
 copied to each salt of its others. Counts are combined before they are
@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.llm.common import batches_of, text_of, written
+from galena.llm.rows import frequent
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BITS = 12  # of a span's length, and of what an anchor reaches to either side
@@ -127,30 +128,11 @@ def scan(texts: DataFrame, length: int, k: int) -> DataFrame:
     return batches_of(texts, run, schema)
 
 
-def frequent(scanned: DataFrame, room: int) -> DataFrame:
-    """(seed, parts): parts into which to deal the occurrences of seeds that have more than ``room`` (or 1 in 100,000) of all.
-
-    A seed is counted in partitions that have at least ``least`` of it, which
-    any seed that frequent has in some. At most 100,000 of them, or N / ``room``
-    for N anchors if that is less.
-    """
-    n = scanned.agg(F.coalesce(F.sum(F.size("seed").cast("long")), F.lit(0))).first()[0]
-    room, parts = max(room, n // 100_000), max(1, scanned.rdd.getNumPartitions())
-    least = max(2, room // (2 * parts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [np.empty(0, np.int64), *(np.asarray(b.column("seed").flatten()) for b in batches)]
-        seed, count = np.unique(np.concatenate(own), return_counts=True)
-        yield _arrow([seed[count >= least], count[count >= least]], "seed long, n long")
-
-    counted = scanned.select("seed").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") > room // 2).select("seed", F.ceil(2 * F.col("n") / room).cast("int").alias("parts"))
-
-
 def occurrences(scanned: DataFrame, room: int) -> DataFrame:
     """Anchors of grams that occur more than once: row, at, n (of their context, in their salt) and, for one of each different context, seed and context (else null)."""
     each = scanned.select("row", F.explode(F.arrays_zip("seed", "context", "at")).alias("a")).select("row", "a.seed", "a.context", "a.at")
-    each = each.join(F.broadcast(frequent(scanned, room)), "seed", "left")  # at most 100,000 rows
+    hot = frequent(scanned.select(F.col("seed").alias("key")), room).select(F.col("key").alias("seed"), F.ceil(2 * F.col("n") / room).cast("int").alias("parts"))
+    each = each.join(F.broadcast(hot), "seed", "left")  # at most 200,000 rows
     each = each.select("seed", F.coalesce(F.pmod(F.xxhash64("row"), "parts"), F.lit(0)).cast("int").alias("salt"), "context", "row", "at", F.col("parts").isNotNull().alias("hot"))
     own, same = Window.partitionBy("seed", "salt"), Window.partitionBy("seed", "salt", "context")
     each = each.withColumn("m", F.count(F.lit(1)).over(same)).withColumn("first", F.row_number().over(same.orderBy("row", "at")) == 1).withColumn("all", F.count(F.lit(1)).over(own))

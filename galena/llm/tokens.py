@@ -43,7 +43,7 @@ class WordIds(dict):
     of each cache; past it the cache starts anew.
     """
 
-    def __init__(self, path: str = WORD_BPE, room: int = 800_000):
+    def __init__(self, path: str = WORD_BPE, room: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
@@ -78,5 +78,5 @@ class WordIds(dict):
 
 @cache
 def word_ids(path: str = WORD_BPE) -> WordIds:
-    """One cache for all tasks of a Python worker: at most about 300 MB."""
+    """One cache for all tasks of a Python worker: at most about 150 MB."""
     return WordIds(path)
