@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def reliable(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that ``spark.checkpoint.dir`` names (a temporary one where it names none)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="galena-checkpoint-"))
-    return df.checkpoint()
+from galena.session import written
 
 
 def smallest_reachable(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an edge table (a, b); component is the smallest node reachable.
 
     Every round replaces a node's label by the smallest label of its
-    neighbours and then by that label's label, which halves long chains.
+    neighbours and then by that label's label, which halves long chains. Each
+    round's labels are a table of their own, so plans and their size estimates
+    stay as they were in the first.
     """
-    both = reliable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = reliable(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     for _ in range(max_rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        met = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("label"))
+        met = written(labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("label")))
         jump = met.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        now = reliable(met.join(jump, met["label"] == jump["_node"]).select("node", F.least("label", "_label").alias("label")))
-        old, new = (x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0] for x in (labels, now))
-        labels = now
-        if old == new:
+        labels = written(met.join(jump, met["label"] == jump["_node"]).select("node", F.least("label", "_label").alias("label")))
+        before, total = total, labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if total == before:
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

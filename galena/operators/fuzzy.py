@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
+from unicodedata import normalize
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,23 +13,42 @@ from pyspark.sql import functions as F
 
 from galena.functions.scalars import name_stem
 
-EQUAL, PREFIX, WORD, CONTAINS, ACRONYM, IN_ORDER, PINYIN = 6, 5, 4, 3, 2, 1, 0
+EXACT, EQUAL, PREFIX, WORD, CONTAINS, ACRONYM, IN_ORDER, PINYIN = 7, 6, 5, 4, 3, 2, 1, 0
+
+
+@cache
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks, and those without them, from their canonical decomposition."""
+    pairs = [(c, d[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := normalize("NFD", c)) > 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(text: Column) -> Column:
+    """Without the marks of Latin letters, composed or combining."""
+    return F.regexp_replace(F.translate(text, *_accents()), "[\\u0300-\\u036F]", "")
+
+
+def _bare(query: str) -> str:
+    return "".join(c for c in normalize("NFD", query.strip()) if not "\u0300" <= c <= "\u036f")
+
+
+def in_order(query: str) -> str:
+    return "(?s)" + ".*?".join(map(re.escape, query))
 
 
 def tier(name: Column, query: str) -> Column:
-    """How well ``name`` matches, 6 (equal) to 1 (letters in order); null if it does not."""
-    q = query.strip().lower()
-    n = F.lower(name)
-    initials = F.array_join(F.transform(F.filter(F.split(n, r"[\s\-]+"), lambda w: w != ""), lambda w: F.substring(w, 1, 1)), "")
-    return (
-        F.when(n == q, EQUAL).when(n.startswith(q), PREFIX).when(n.contains(" " + q), WORD).when(n.contains(q), CONTAINS)
-        .when(initials.contains(q), ACRONYM).when(n.rlike("(?s)" + ".*?".join(map(re.escape, q))), IN_ORDER)
-    )
+    """How well ``name`` matches, 7 (equal in case too) to 1 (letters in order); null if it does not. Accents count for nothing."""
+    raw = _bare(query)
+    q, own = raw.lower(), folded(name)
+    n = F.lower(own)
+    initials = F.array_join(F.transform(F.filter(F.split(n, r"[ \-]"), lambda w: w != ""), lambda w: F.substring(w, 1, 1)), "")
+    out = F.when(own == raw, EXACT).when(n == q, EQUAL).when(n.startswith(q), PREFIX).when(n.contains(" " + q), WORD).when(n.contains(q), CONTAINS)
+    return out if len(q) == 1 else out.when(initials.contains(q), ACRONYM).when(n.rlike(in_order(q)), IN_ORDER)
 
 
 def spread(name: Column, query: str) -> Column:
     """Length of the first stretch that has the query's letters in order; shorter is closer."""
-    return F.length(F.regexp_extract(F.lower(name), "(?s)" + ".*?".join(map(re.escape, query.strip().lower())), 0))
+    return F.length(F.regexp_extract(F.lower(folded(name)), in_order(_bare(query).lower()), 0))
 
 
 def best_pinyin(name: str, query: str, sounds: dict[str, list[str]]) -> tuple[int, int, int] | None:
@@ -50,30 +71,42 @@ def best_pinyin(name: str, query: str, sounds: dict[str, list[str]]) -> tuple[in
     return best
 
 
-def with_tiers(rows: DataFrame, query: str, key: Column, sounds: dict[str, list[str]] | None = None) -> DataFrame:
-    """``rows`` that match, with tier and spread (and, for letters-only queries, pinyin matches last)."""
+def with_tiers(rows: DataFrame, query: str, *keys: Column, sounds: dict[str, list[str]] | None = None) -> DataFrame:
+    """``rows`` that match in one of ``keys``, with tier, spread, key (the text that ranked best) and, for letters-only queries, pinyin matches last.
+
+    A key is a column of text or of an array of texts; nulls are left out. Of
+    keys that rank alike the first counts.
+    """
     q = query.strip()
-    out = rows.withColumn("tier", tier(key, q)).withColumn("spread", spread(key, q))
-    none = F.lit(None).cast("array<int>")
+    values = [k if rows.select(k.alias("k")).schema["k"].dataType.typeName() == "array" else F.array(k) for k in keys]
+    texts = F.filter(F.concat(*(F.coalesce(v, F.array().cast("array<string>")) for v in values)), lambda x: x.isNotNull())
+    # smallest first: the tier downwards, spread among letters in order, place of the key
+    ranked = F.transform(texts, lambda x, i: F.struct((-tier(x, q)).alias("t"), F.when(tier(x, q) == IN_ORDER, spread(x, q)).alias("s"), i.alias("i"), x.alias("key")))
+    best = F.array_min(F.filter(ranked, lambda r: r["t"].isNotNull()))
+    out = rows.withColumn("_texts", texts).withColumn("_best", best)
+    out = out.withColumn("tier", -F.col("_best.t")).withColumn("spread", F.col("_best.s")).withColumn("key", F.col("_best.key")).drop("_best")
     if not (sounds and re.fullmatch("[a-zA-Z]+", q)):
-        return out.filter("tier is not null").withColumn("pinyin", none)
+        return out.drop("_texts").filter("tier is not null").withColumn("pinyin", F.lit(None).cast("array<int>"))
 
     @F.pandas_udf("array<int>")
     def pinyin(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for n in names:
-            yield n.map(lambda x: None if x is None or x.isascii() else best_pinyin(x, q.lower(), sounds))
+            found = n.map(lambda own: min((m for x in own if not x.isascii() and (m := best_pinyin(x, q.lower(), sounds))), default=None) if own is not None else None)
+            yield found.map(lambda m: None if m is None else list(m))
 
-    hits = out.withColumn("pinyin", F.when(F.col("tier").isNull(), pinyin(key)))
+    hits = out.withColumn("pinyin", F.when(F.col("tier").isNull(), pinyin("_texts"))).drop("_texts")
     return hits.filter("tier is not null or pinyin is not null").withColumn("tier", F.coalesce("tier", F.lit(PINYIN)))
 
 
-def fuzzy_order(key: Column) -> list[Column]:
-    return [F.col("tier").desc(), F.col("pinyin").asc(), F.when(F.col("tier") == IN_ORDER, F.col("spread")).asc(), F.lower(key).asc(), F.col("id").asc()]
+def fuzzy_order(place: Column | None = None) -> list[Column]:
+    """Best first: tier, spread, the matched text in dictionary order, then ``place`` (the order before the search; else the id)."""
+    place = F.col("id") if place is None else place
+    return [F.col("tier").desc(), F.col("pinyin").asc(), F.col("spread").asc(), F.collate(F.when(F.col("tier") > PINYIN, F.col("key")), "UNICODE").asc(), place.asc()]
 
 
 def fuzzy_files(files: DataFrame, query: str, sounds: dict[str, list[str]] | None = None) -> DataFrame:
-    """Files whose name stem matches; order by :func:`fuzzy_order` of the stem."""
-    return with_tiers(files, query, name_stem(F.col("name")), sounds)
+    """Files whose name stem matches; order by :func:`fuzzy_order`."""
+    return with_tiers(files, query, name_stem(F.col("name")), sounds=sounds)
 
 
 def suggest_tags(tags: DataFrame, file_tags: DataFrame, file_id: int, text: str) -> DataFrame:

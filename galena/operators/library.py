@@ -12,7 +12,7 @@ from galena.plans.filters import is_active
 def multi_get(files: DataFrame, ids: list[int]) -> DataFrame:
     """Files by id in the order of ``ids``, with ``pos``; unknown ids are left out."""
     wanted = files.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(ids))), "pos int, id long")
-    return files.join(F.broadcast(wanted), "id").orderBy("pos")  # as many rows as the caller asked for
+    return files.join(wanted, "id").orderBy("pos")
 
 
 def under_path(rows: DataFrame, directory: str, column: str = "normalized_path") -> DataFrame:
@@ -83,15 +83,14 @@ def score_summary(scores: DataFrame, column: str = "score") -> DataFrame:
     return page.filter(F.size("s") > 0).select(F.size("s").cast("long").alias("n"), F.element_at("s", -1).alias("top"), rank(0.9).alias("p90"), rank(0.5).alias("p50"), F.element_at("s", 1).alias("least"))
 
 
-def move_candidates(files: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Per content hash of ``hashes`` the catalog row a moved file may come from.
+def move_candidates(files: DataFrame) -> DataFrame:
+    """Per content hash of ``files`` (catalog rows with ``present``: its path is still there) the row a moved file may come from.
 
     Of the eight best rows (active first, latest import, smallest id) a missing
-    one is preferred, else the first active one whose path is not in ``present``
-    paths (column ``present`` array of ``hashes``).
+    one is preferred, else the first active one that is not present.
     """
-    own = files.filter(F.col("deleted_at").isNull()).join(hashes, "content_hash", "inner")
+    own = files.filter(F.col("deleted_at").isNull())
     order = Window.partitionBy("content_hash").orderBy(F.col("missing_at").isNotNull(), F.col("imported_at").desc(), "id")
     best = own.withColumn("_rank", F.row_number().over(order)).filter("_rank <= 8")
-    gone = F.col("missing_at").isNotNull() | ~F.coalesce(F.array_contains("present", F.col("path")), F.lit(False))
+    gone = F.col("missing_at").isNotNull() | ~F.col("present")
     return best.filter(gone).groupBy("content_hash").agg(F.min_by(F.struct("id", "path"), F.struct(F.col("missing_at").isNull(), F.col("_rank"))).alias("from")).select("content_hash", "from.id", "from.path")

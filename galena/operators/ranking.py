@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galena.operators.components import reliable
+from galena.session import written
 
 
 def numbered(rows: DataFrame, order: list[Column], to: str = "rank") -> DataFrame:
@@ -15,7 +15,7 @@ def numbered(rows: DataFrame, order: list[Column], to: str = "rank") -> DataFram
     and moved up by the sizes of the partitions before: one number per
     partition reaches the driver.
     """
-    placed = reliable(rows.sort(*order).withColumn("_part", F.spark_partition_id()))
+    placed = written(rows.sort(*order).withColumn("_part", F.spark_partition_id()))
     sizes, before, offsets = sorted(placed.groupBy("_part").count().collect()), 0, []
     for part, n in sizes:
         offsets.append((part, before))

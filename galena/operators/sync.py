@@ -36,9 +36,9 @@ def sync_diff(catalog: DataFrame, snapshot: DataFrame) -> DataFrame:
     # paths that are still there, for the rows whose content comes up anew
     hashes = new.filter("content_hash is not null").select("content_hash").distinct()
     sources = catalog.join(hashes, "content_hash", "left_semi")
-    there = sources.join(seen.select("_path"), F.col("normalized_path") == F.col("_path"), "left_semi").groupBy("content_hash").agg(F.collect_set("path").alias("present"))
-    wanted = hashes.join(there, "content_hash", "left").withColumn("present", F.coalesce("present", F.array().cast("array<string>")))
-    origin = move_candidates(sources, wanted).withColumnRenamed("path", "from_path")
+    there = seen.select(F.col("_path"), F.lit(True).alias("_there")).distinct()
+    marked = sources.join(there, F.col("path") == F.col("_path"), "left").withColumn("present", F.coalesce("_there", F.lit(False)))
+    origin = move_candidates(marked).withColumnRenamed("path", "from_path")
     # one of several new paths takes over the row: the first by name
     first = new.filter("content_hash is not null").groupBy("content_hash").agg(F.min("path").alias("path"))
     moved = first.join(origin, "content_hash").select("path", "id", "from_path")
@@ -96,3 +96,21 @@ def readable(path: Column, roots: list[str]) -> Column:
     for r in roots:
         test = test | has_prefix(path, F.lit(r))
     return test
+
+
+def trash_count(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row: n, deleted files and trashed folders together."""
+    return files.filter(F.col("deleted_at").isNotNull()).select("id").unionByName(entries.select(F.col("folder_id").alias("id"))).agg(F.count(F.lit(1)).alias("n"))
+
+
+def trash_entry_counts(folders: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """One row: file_count below a folder and subfolder_count, itself not counted."""
+    under = has_prefix(F.col("normalized_path"), F.lit(path))
+    own = folders.filter(under).agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("subfolder_count"))
+    return own.crossJoin(files.filter(under).agg(F.count(F.lit(1)).alias("file_count")))  # one row each
+
+
+def total_size(sizes: DataFrame, fallback: int) -> DataFrame:
+    """One row: total of ``size``, or ``fallback`` where that is zero or unknown."""
+    total = F.coalesce(F.sum("size"), F.lit(0))
+    return sizes.agg(F.when(total == 0, F.lit(fallback)).otherwise(total).alias("total"))

@@ -1,4 +1,4 @@
-"""Folder and tag trees as adjacency tables, walked level by level in SQL."""
+"""Folder and tag trees as adjacency tables, walked level by level."""
 
 from __future__ import annotations
 
@@ -6,30 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galena.functions.scalars import is_hidden
-from galena.operators.components import reliable
-
-DEPTH = 100
+from galena.session import written
 
 
 def walk(nodes: DataFrame, roots: Column, sort: str = "sort_order") -> DataFrame:
     """``nodes`` (id, parent_id, name, ``sort``) reachable from rows where ``roots`` holds.
 
     Adds depth (0 for roots), trail (ids from the root) and place (sort keys
-    from the root: a depth-first order). A recursive query of one join a level,
-    checkpointed, since what uses a tree uses it several times.
+    from the root: a depth-first order). One join a level until a level is
+    empty, so neither depth nor size has a limit; what lies on a circle is not
+    reachable.
     """
-    top = nodes.withColumn("_root", roots)
-    tree = nodes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE t (id, parent_id, name, {sort}, depth, trail, place) MAX RECURSION LEVEL {DEPTH} AS (
-            SELECT id, parent_id, name, {sort}, 0, array(id), array(struct({sort} AS s, name AS n, id AS i)) FROM {{nodes}} WHERE _root
-            UNION ALL
-            SELECT c.id, c.parent_id, c.name, c.{sort}, t.depth + 1, concat(t.trail, array(c.id)), concat(t.place, array(struct(c.{sort} AS s, c.name AS n, c.id AS i)))
-            FROM {{nodes}} c JOIN t ON c.parent_id = t.id WHERE NOT c._root AND NOT array_contains(t.trail, c.id))
-        SELECT * FROM t""",
-        nodes=top,
-    )
-    return reliable(tree)
+    own = F.struct(F.col(sort).alias("s"), F.col("name").alias("n"), F.col("id").alias("i"))
+    marked = written(nodes.select("id", "parent_id", "name", sort, F.coalesce(roots, F.lit(False)).alias("_root")))
+    level = marked.filter("_root").select("id", "parent_id", "name", sort, F.lit(0).alias("depth"), F.array("id").alias("trail"), F.array(own).alias("place"))
+    below = marked.filter("not _root and parent_id is not null")
+    tree = level = written(level)
+    while not level.isEmpty():
+        up = level.select(F.col("id").alias("_up"), "depth", "trail", "place")
+        level = written(below.join(up, F.col("parent_id") == F.col("_up")).select("id", "parent_id", "name", sort, (F.col("depth") + 1).alias("depth"), F.concat("trail", F.array("id")).alias("trail"), F.concat("place", F.array(own)).alias("place")))
+        tree = tree.unionByName(level)
+    return tree
 
 
 def folder_tree(folders: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -81,8 +78,8 @@ def visible_items(tree: DataFrame, expanded: DataFrame) -> DataFrame:
 
 def siblings(tree: DataFrame, node: int) -> DataFrame:
     """The node's siblings and itself, in order."""
-    own = tree.filter(F.col("id") == node).select(F.col("parent_id").alias("_p"))
-    return tree.join(F.broadcast(own), F.col("parent_id").eqNullSafe(F.col("_p")), "left_semi").orderBy("sort_order", "name", "id")
+    own = tree.filter(F.col("id") == node).select(F.col("parent_id").alias("_p")).limit(1)
+    return tree.join(own, F.col("parent_id").eqNullSafe(F.col("_p")), "left_semi").orderBy("sort_order", "name", "id")
 
 
 def is_descendant(tree: DataFrame, ancestor: int, node: int) -> bool:
@@ -95,3 +92,8 @@ def move_plan(sibling_ids: list[int], moved: int, index: int, source_ids: list[i
     at = min(max(0, index), len(target))
     source = [x for x in (sibling_ids if source_ids is None else source_ids) if x != moved]
     return {"source": source, "target": [*target[:at], moved, *target[at:]], "sort_order": at}
+
+
+def named_order(name: str = "name") -> list[Column]:
+    """Siblings by place, then by name as Chinese dictionaries have it."""
+    return [F.col("sort_order").asc(), F.collate(F.col(name), "zh").asc(), F.col("id").asc()]

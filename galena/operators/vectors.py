@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from galena.functions import formats
 from galena.functions.scalars import dot
-from galena.operators.components import reliable, smallest_reachable
+from galena.operators.components import smallest_reachable
 from galena.operators.ranking import numbered
 from galena.plans.filters import is_active
+from galena.session import written
 
 THRESHOLD = 0.94
 
@@ -83,6 +84,37 @@ def search_order() -> list[Column]:
     return [F.col("score").desc(), F.col("imported_at").desc(), F.col("id").asc()]
 
 
+def best_forest(u: np.ndarray, v: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the edges (u, v) of a forest of best scores that connects what all edges of ``n`` nodes connect.
+
+    In a round every tree takes the best edge that leaves it (the first of
+    equals), and trees that meet are one; rounds are about log2 of n.
+    """
+    place = np.empty(len(score), np.int64)
+    place[np.argsort(-score, kind="stable")] = np.arange(len(score))
+    tree, chosen = np.arange(n), []
+    live = np.arange(len(u))
+    while True:
+        live = live[tree[u[live]] != tree[v[live]]]
+        if not len(live):
+            return np.sort(np.concatenate([np.empty(0, np.int64), *chosen]))
+        best = np.full(n, len(score), np.int64)
+        for side in (u, v):
+            np.minimum.at(best, tree[side[live]], place[live])
+        edge = np.empty(len(score), np.int64)
+        edge[place] = np.arange(len(score))
+        own = np.unique(edge[best[best < len(score)]])
+        chosen.append(own)
+        for _ in range(n):  # trees joined by the chosen edges take their smallest number
+            low = np.minimum(tree[u[own]], tree[v[own]])
+            to = np.arange(n)
+            np.minimum.at(to, tree[u[own]], low)
+            np.minimum.at(to, tree[v[own]], low)
+            if (to[tree] == tree).all():
+                break
+            tree = to[tree]
+
+
 def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1024, links_only: bool = False) -> DataFrame:
     """(model_id, dimensions, a, b, score) of pairs at or above ``threshold``, a before b.
 
@@ -95,7 +127,7 @@ def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1
     key = ["model_id", "dimensions"]
     size = cands.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / block).cast("int")
-    rows = cands.select(*key, "id", "embedding").join(F.broadcast(size), key)  # one row per model
+    rows = cands.select(*key, "id", "embedding").join(size, key)  # one row per model: small, but left to the planner
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
     dealt = rows.withColumn("p", F.explode(pairs)).select(*key, "own", "id", "embedding", "p.i", "p.j")
@@ -116,20 +148,7 @@ def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1
             exact += x[u, k] * x[v, k]
         u, v, exact = u[exact >= threshold], v[exact >= threshold], exact[exact >= threshold]
         if links_only and len(u):
-            root = list(range(len(ids)))
-
-            def find(k: int) -> int:
-                while root[k] != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
-            chosen = []
-            for k in np.argsort(-exact, kind="stable").tolist():
-                p, q = find(int(u[k])), find(int(v[k]))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    chosen.append(k)
+            chosen = best_forest(u, v, exact, len(ids))
             u, v, exact = u[chosen], v[chosen], exact[chosen]
         return pd.DataFrame({"model_id": frame["model_id"].iat[0], "dimensions": frame["dimensions"].iat[0], "a": ids[u], "b": ids[v], "score": exact})
 
@@ -138,7 +157,8 @@ def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1
 
 def similar_groups(cands: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component, imported_at) of files in a similarity component of at least two."""
-    reach = smallest_reachable(similar_pairs(cands, threshold, links_only=True))
+    cands = written(cands.select("id", "imported_at", "model_id", "dimensions", "embedding"))
+    reach = smallest_reachable(written(similar_pairs(cands, threshold, links_only=True)))
     return cands.select("id", "imported_at").join(reach, F.col("id") == F.col("node")).select("id", "component", "imported_at")
 
 
@@ -150,14 +170,14 @@ def duplicate_or_similar(files: DataFrame, embeddings: DataFrame, threshold: flo
     the similarity groups that share none, best score first. An id counts where
     it comes up first.
     """
-    cands = reliable(candidates(files, embeddings).select("id", "imported_at", "model_id", "dimensions", "embedding"))
+    cands = written(candidates(files, embeddings).select("id", "imported_at", "model_id", "dimensions", "embedding"))
     hashed = files.filter(is_active() & (F.coalesce("content_hash", F.lit("")) != ""))
     member_order = [F.col("imported_at").desc(), F.col("id").asc()]
     exact = hashed.select("id", "content_hash", "imported_at")
     groups = exact.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.max("imported_at").alias("latest"), F.max_by("id", F.struct("imported_at", -F.col("id"))).alias("lead")).filter("n > 1")
     exact = exact.join(groups, "content_hash").select("id", "imported_at", "latest", "lead")
 
-    pairs = reliable(similar_pairs(cands, threshold, links_only=True))
+    pairs = written(similar_pairs(cands, threshold, links_only=True))
     reach = smallest_reachable(pairs)
     similar = cands.select("id", "imported_at").join(reach, F.col("id") == F.col("node")).select("id", "component", "imported_at")
     best = pairs.join(reach, F.col("a") == F.col("node")).groupBy("component").agg(F.max("score").alias("best"))

@@ -348,7 +348,7 @@ def tag_tree_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""
     WITH n AS (SELECT p_partkey AS id, p_name AS name, lower(p_name) AS n FROM part),
-    m AS (SELECT id, name, CASE WHEN n = 'be' THEN 6 WHEN starts_with(n, 'be') THEN 5 WHEN contains(n, ' be') THEN 4 WHEN contains(n, 'be') THEN 3
+    m AS (SELECT id, name, CASE WHEN name = 'be' THEN 7 WHEN n = 'be' THEN 6 WHEN starts_with(n, 'be') THEN 5 WHEN contains(n, ' be') THEN 4 WHEN contains(n, 'be') THEN 3
                  WHEN contains(array_to_string(list_transform(list_filter(regexp_split_to_array(n, '[\s-]+'), lambda w: w <> ''), lambda w: w[1]), ''), 'be') THEN 2
                  WHEN regexp_matches(n, '(?s)b.*?e') THEN 1 END AS tier FROM n)
     SELECT id, name, tier FROM m WHERE tier IS NOT NULL""",
@@ -630,3 +630,6 @@ def task_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def undo_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     deletes = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'error'").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), "ts")
     return tasks.undo_window(deletes, 5).select("session", "id", "step")
+
+
+from galena import queries_more  # noqa: E402, F401  registers its queries with those above

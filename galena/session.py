@@ -1,8 +1,12 @@
-"""Session settings the library expects."""
+"""Session settings the library expects, and tables that cut lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+from tempfile import mkdtemp
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -18,3 +22,25 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for key, value in wanted.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it names none, a session on one machine (``local[...]``) gets a
+    temporary folder; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or mkdtemp(prefix="galena-"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends there, and its size is known to the planner."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,14 +51,19 @@ def spaced_batch(events: DataFrame, keys: list[str], spacing_ms: int = SPACING_M
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, None
         for frame in frames:
-            out = []
-            for row, at in zip(frame[keys].itertuples(index=False, name=None), frame["ts"], strict=True):
-                if row != key:
-                    key, last = row, None
-                ok = last is None or (at - last).total_seconds() * 1000 >= spacing_ms
-                last = at if ok else last
-                out.append(ok)
-            yield frame.assign(accepted=out)
+            at = frame["ts"].to_numpy("datetime64[us]").astype("int64")
+            ok = np.zeros(len(at), bool)
+            new = np.flatnonzero((frame[keys].ne(frame[keys].shift()) & ~(frame[keys].isna() & frame[keys].shift().isna())).any(axis=1).to_numpy())
+            bounds = np.unique(np.r_[0, new, len(at)]) if len(at) else []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                own = tuple(None if pd.isna(x) else x for x in frame[keys].iloc[a])
+                if own != key:
+                    key, last = own, None
+                k = a if last is None else a + int(np.searchsorted(at[a:b], last + spacing_ms * 1000))
+                while k < b:  # from one accepted event straight to the next
+                    ok[k], last = True, at[k]
+                    k = a + int(np.searchsorted(at[a:b], last + spacing_ms * 1000))
+            yield frame.assign(accepted=ok)
 
     return sorted_.mapInPandas(run, schema)
 
@@ -111,3 +117,19 @@ def stable_files(observations: DataFrame) -> DataFrame:
     seen = F.struct("size", "mtime")
     same = observations.withColumn("_same", F.lag(seen).over(own) == seen)
     return same.filter("_same").groupBy("path").agg(F.min("ts").alias("ts"))
+
+
+def batches_of_ids(events: DataFrame, gap: str = "800 milliseconds", late: str = "10 seconds") -> DataFrame:
+    """(group, start, end, ids, again): ids of a group's events between pauses, each once, and whether any asked for ``again`` (a full refresh)."""
+    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    out = marked.groupBy("group", F.session_window("ts", gap).alias("w")).agg(F.sort_array(F.collect_set("id")).alias("ids"), F.bool_or(F.coalesce("again", F.lit(False))).alias("again"))
+    return out.select("group", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "ids", "again")
+
+
+def armed_windows(events: DataFrame, keys: list[str], span_ms: int) -> DataFrame:
+    """``events`` with ``armed``: the time of the event that began the span it falls in; the first event after a span begins the next."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    marked = spaced_batch(events, keys, span_ms)
+    return marked.withColumn("armed", F.last(F.when(F.col("accepted"), F.col("ts")), ignorenulls=True).over(own)).drop("accepted")
