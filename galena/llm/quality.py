@@ -7,13 +7,14 @@ positive-against-unlabelled classifier. Then the non-negative unbiased risk
 
     prior * R+(1) + max(0, R_u(0) - prior * R+(0))
 
-(logistic loss) is minimised for a linear model over surface features of the
-whole text and their squares and products.
+(logistic loss) is minimised for a linear model over features of the whole
+text: surface features with their squares and products, and hashed words (the
+share of a text's words that fall to each of ``BUCKETS`` buckets).
 
 Only fitting is bounded: at most about ``max_positive`` labelled and
 ``max_unlabelled`` other rows, chosen by a hash of doc_id, reach the driver,
-as ``len(FEATURES)`` numbers each. Scoring reads every whole text once and
-shuffles nothing.
+as ``WIDTH`` numbers each. The class prior counts all rows that are not held
+out, and scoring reads every whole text; nothing but counts is shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +33,35 @@ from pyspark.sql import functions as F
 from galena.llm.common import batches_of
 
 FEATURES = ("words", "letters", "capitals", "digits", "stops", "marks", "bars", "marked_words", "different", "most_common", "repeated_next", "line_copies", "word_length", "line_words", "sentence_words")
+BUCKETS = 64
+WIDTH = len(FEATURES) + BUCKETS
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256), 32, 10])
 _CAPITALS, _DIGITS, _STOPS, _MARKS = bytes(range(65, 91)), b"0123456789", b".,;:?'\"()-", b"!#$%&*+/<=>@[\\]^_`{}~"
 
 
+class Buckets(dict):
+    """Bucket of a word (bytes; A-Z lowered, outer marks off), kept for up to ``room`` words."""
+
+    def __init__(self, room: int = 200_000):
+        super().__init__()
+        self.room = room
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.room:
+            self.clear()
+        self[word] = bucket = crc32(word.lower().strip(_STOPS + _MARKS)) % BUCKETS
+        return bucket
+
+
+_buckets = Buckets()
+
+
 def features(text: str | None) -> list[float]:
-    """Surface features of a whole text; all zero for a text without words."""
+    """Features of a whole text, ``WIDTH`` numbers; all zero for a text without words."""
     raw = (text or "").encode()
     words = raw.split()
     if not words:
-        return [0.0] * len(FEATURES)
+        return [0.0] * WIDTH
     n, size = len(words), len(raw)
     count = Counter(words)
     lines = [x for x in raw.split(b"\n") if x]
@@ -66,6 +87,7 @@ def features(text: str | None) -> list[float]:
         np.log(size / n),
         np.log1p(n / max(1, len(lines))),
         np.log1p(n / (1 + raw.count(b".") + raw.count(b"?"))),
+        *np.sqrt(np.bincount(list(map(_buckets.__getitem__, count)), list(count.values()), BUCKETS) / n).tolist(),
     ]
 
 
@@ -93,10 +115,14 @@ class Model:
     weights: np.ndarray
     prior: float
 
-    def design(self, x: np.ndarray) -> np.ndarray:
+    def linear(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -4, 4)
-        i, j = np.triu_indices(z.shape[1])
-        return np.hstack([np.ones((len(z), 1)), z, (z[:, i] * z[:, j]) / 4])
+        return np.hstack([np.ones((len(z), 1)), z])
+
+    def design(self, x: np.ndarray) -> np.ndarray:
+        z = self.linear(x)
+        i, j = np.triu_indices(len(FEATURES))
+        return np.hstack([z, (z[:, i + 1] * z[:, j + 1]) / 4])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.design(x) @ self.weights)
@@ -111,13 +137,14 @@ def _adam(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
     return w
 
 
-def class_prior(p: np.ndarray, u: np.ndarray, steps: int = 200) -> float:
-    """Smallest ratio of unlabelled to positive mass above a score, at scores that 40 % of the positives reach.
+def half_models(p: np.ndarray, u: np.ndarray, steps: int = 200) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(weights, scores, positives) of two linear positive-against-unlabelled classifiers, each fitted on half of the rows.
 
-    Scores come from a linear positive-against-unlabelled classifier fitted on
-    the other half of the rows, so that no row is scored by what it taught.
+    ``scores`` are those that 40 % or more of the other half's positives
+    reach, ``positives`` the shares that do. So no row is judged by what it
+    taught.
     """
-    scores = []
+    out = []
     for k in (0, 1):
         a, b = p[k::2], u[k::2]
 
@@ -125,37 +152,62 @@ def class_prior(p: np.ndarray, u: np.ndarray, steps: int = 200) -> float:
             return -a.T @ _sigmoid(-a @ w) / max(1, len(a)) + b.T @ _sigmoid(b @ w) / max(1, len(b)) + 0.02 * w
 
         w = _adam(gradient, p.shape[1], steps)
-        scores.append((p[1 - k :: 2] @ w, u[1 - k :: 2] @ w))
-    ratios = []
-    for positive, unlabelled in scores:
-        if len(positive) and len(unlabelled):
+        positive = p[1 - k :: 2] @ w
+        if len(positive):
             at = np.quantile(positive, np.linspace(0, 0.6, 25))
-            above = [(x[:, None] >= at).mean(axis=0) for x in (unlabelled, positive)]
-            ratios.append((above[0] / above[1]).min())
+            out.append((w, at, (positive[:, None] >= at).mean(axis=0)))
+    return out
+
+
+def class_prior(halves: list[tuple[np.ndarray, np.ndarray, np.ndarray]], above: list[np.ndarray]) -> float:
+    """Smallest ratio of unlabelled to positive mass above a score, ``above`` being the unlabelled shares, one array a half."""
+    ratios = [(u / positives).min() for (_, _, positives), u in zip(halves, above, strict=True)]
     return float(np.clip(np.mean(ratios), 0.05, 0.99)) if ratios else 0.5
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, decay: float = 5e-4) -> Model:
-    """Fit on feature rows. Without any positive or unlabelled row the model scores 0.5 throughout."""
-    both = np.vstack([positive.reshape(-1, len(FEATURES)), unlabelled.reshape(-1, len(FEATURES))])
-    if not len(positive) or not len(unlabelled):
-        width = len(FEATURES)
-        return Model(np.zeros(width), np.ones(width), np.zeros(1 + width + width * (width + 1) // 2), 0.5)
-    model = Model(both.mean(axis=0), both.std(axis=0) + 1e-6, np.empty(0), 0.5)
-    p, u = model.design(positive), model.design(unlabelled)
-    linear = 1 + len(FEATURES)
-    prior = class_prior(p[:, :linear], u[:, :linear])
-    decay = decay + 1 / len(p) * np.r_[np.zeros(linear), np.ones(p.shape[1] - linear)]  # few rows: hardly any products
-
-    def risk(w: np.ndarray) -> np.ndarray:
-        pw, uw = p @ w, u @ w
-        as_negative = np.logaddexp(0, uw).mean() - prior * np.logaddexp(0, pw).mean()
-        negative = u.T @ _sigmoid(uw) / len(u) - prior * (p.T @ _sigmoid(pw)) / len(p)
-        positive_ = -prior * (p.T @ _sigmoid(-pw)) / len(p)
+def shares_above(rows: DataFrame, model: Model, halves: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of all ``rows`` (half, text) the shares that reach each score of their half's model; counted in tasks, summed on Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = np.asarray(batch.column("half").to_numpy(zero_copy_only=False))
+            x = model.linear(np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, WIDTH))
+            out = []
+            for k, (w, at, _) in enumerate(halves):
+                own = x[half == k] @ w
+                out += [(k, i, int(n)) for i, n in enumerate([own.size, *(own[:, None] >= at).sum(axis=0)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [[], [], []])], names=["k", "i", "n"])
+
+    counted = batches_of(rows, run, "k long, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect()
+    counts = {(r.k, r.i): r.n for r in counted}
+    return [np.array([counts.get((k, i + 1), 0) for i in range(len(at))]) / max(1, counts.get((k, 0), 0)) for k, (_, at, _) in enumerate(halves)]
+
+
+def pu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the unbiased risk (prior * R+(1); R_u(0) - prior * R+(0)) and their gradients."""
+    pw, uw = p @ w, u @ w
+    positive = prior * np.logaddexp(0, -pw).mean()
+    negative = np.logaddexp(0, uw).mean() - prior * np.logaddexp(0, pw).mean()
+    return positive, negative, -prior * (p.T @ _sigmoid(-pw)) / len(p), u.T @ _sigmoid(uw) / len(u) - prior * (p.T @ _sigmoid(pw)) / len(p)
+
+
+def blank_model() -> Model:
+    """Scores 0.5 throughout."""
+    return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(1 + WIDTH + len(FEATURES) * (len(FEATURES) + 1) // 2), 0.5)
+
+
+def fit(model: Model, p: np.ndarray, u: np.ndarray, steps: int = 400, decay: float = 5e-4) -> Model:
+    """Minimise the non-negative risk on design rows ``p`` and ``u``, the prior being the model's."""
+    own = 1 + len(FEATURES)
+    few = np.r_[np.zeros(own), np.full(BUCKETS, 20.0), np.ones(p.shape[1] - own - BUCKETS)]  # few rows: hardly any words or products
+    decay = decay + few / len(p)
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        _, negative, down, up = pu_risk(w, p, u, model.prior)
         # below zero the negative part is overfitted: step back from it
-        return (positive_ + negative if as_negative >= 0 else -negative) + decay * w
+        return (down + up if negative >= 0 else -up) + decay * w
 
-    model.weights, model.prior = _adam(risk, p.shape[1], steps), prior
+    model.weights = _adam(gradient, p.shape[1], steps)
     return model
 
 
@@ -182,9 +234,17 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 20_000, max_un
 
     def matrix(rows: DataFrame) -> np.ndarray:
         got = measured(rows.select("doc_id", "text")).collect()
-        return np.array([r.x for r in sorted(got, key=lambda r: (r.doc_id, r.x))]).reshape(-1, len(FEATURES))
+        return np.array([r.x for r in sorted(got, key=lambda r: (r.doc_id, r.x))]).reshape(-1, WIDTH)
 
-    return fit(matrix(positive), matrix(unlabelled))
+    p, u = matrix(positive), matrix(unlabelled)
+    if not len(p) or not len(u):
+        return blank_model()
+    both = np.vstack([p, u])
+    model = Model(both.mean(axis=0), both.std(axis=0) + 1e-6, np.empty(0), 0.5)
+    halves = half_models(model.linear(p), model.linear(u))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(max(1, len(halves)))).cast("int").alias("half")
+    model.prior = class_prior(halves, shares_above(rest.select(half, "text"), model, halves))
+    return fit(model, model.design(p), model.design(u))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,7 +255,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            score = model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES)))
+            score = model.score(np.array([features(t) for t in texts]).reshape(-1, WIDTH))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
 
     return batches_of(docs, run, schema)
@@ -204,9 +264,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """Return doc_id, held_out, score and predicted for every row of ``docs``.
 
-    Null text is empty; texts without words share one score. Rows that repeat
-    a doc_id are scored each; a null doc_id is never held out. Further columns
-    are ignored.
+    Null text is empty; texts without words share one score; texts may be of
+    any length. Rows that repeat a doc_id are scored each; a null doc_id is
+    never held out. An empty table gives an empty result; without trusted
+    positives all scores are 0.5. Further columns, of whatever names, are
+    ignored.
     """
     model = train(docs, labels, **options)
     out = scored(docs.select("doc_id", "text"), model)
@@ -214,13 +276,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns; see :func:`quality_scores`."""
     model = train(docs, labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            score = model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES)))
+            score = model.score(np.array([features(t) for t in texts]).reshape(-1, WIDTH))
             yield batch.filter(pa.array(score >= threshold))
 
     return batches_of(docs, run, docs.schema)

@@ -547,6 +547,37 @@ def test_quality(spark, sf_dir, docs, empty):
     assert quality.accepted(docs, few).columns == docs.columns
 
 
+def test_risk_and_its_gradient():
+    """The risk by its definition, its gradient by differences; the prior of a known mixture."""
+    rng = np.random.default_rng(5)
+    p, u, w, prior = rng.normal(size=(30, 6)), rng.normal(size=(50, 6)), rng.normal(size=6), 0.4
+    loss = lambda z, y: np.mean(np.log(1 + np.exp(-z if y else z)))
+    positive, negative, down, up = quality.pu_risk(w, p, u, prior)
+    assert np.isclose(positive, prior * loss(p @ w, 1)) and np.isclose(negative, loss(u @ w, 0) - prior * loss(p @ w, 0))
+    for k in range(6):
+        e = np.eye(6)[k] * 1e-6
+        a, b = quality.pu_risk(w + e, p, u, prior), quality.pu_risk(w - e, p, u, prior)
+        assert np.isclose((a[0] - b[0]) / 2e-6, down[k], atol=1e-5) and np.isclose((a[1] - b[1]) / 2e-6, up[k], atol=1e-5)
+    for share in (0.3, 0.7):
+        x = np.hstack([np.ones((8000, 1)), rng.normal(size=(8000, 2))])
+        good = rng.random(8000) < share
+        x[good, 1] += 4
+        own = np.hstack([np.ones((3000, 1)), rng.normal(size=(3000, 2)) + [4, 0]])
+        halves = quality.half_models(own, x)
+        assert abs(quality.class_prior(halves, [(x @ m[0][:, None] >= m[1]).mean(axis=0) for m in halves]) - share) < 0.06
+
+
+def test_quality_of_long_texts_and_shares_over_all_rows(spark):
+    assert len(quality.features("word. " * 300_000)) == len(quality.features(None)) == quality.WIDTH
+    rows = [(k % 2, f"text {k} " * (k % 5)) for k in range(60)]
+    model = quality.blank_model()
+    halves = [(np.arange(1.0, 2 + quality.WIDTH), np.array([-1.0, 40.0]), np.ones(2)), (-np.arange(1.0, 2 + quality.WIDTH), np.array([0.0]), np.ones(1))]
+    got = quality.shares_above(spark.createDataFrame(rows, "half int, text string").repartition(3), model, halves)
+    for k, (w, at, _) in enumerate(halves):
+        x = model.linear(np.array([quality.features(t) for h, t in rows if h == k])) @ w
+        assert np.allclose(got[k], (x[:, None] >= at).mean(axis=0))
+
+
 def test_held_out_labels_change_nothing(spark):
     rows = spark.createDataFrame([(k, words(0, 30 + k), "x") for k in range(80)], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(80)], "doc_id long, quality int")
