@@ -145,8 +145,12 @@ def pack(
     ``encoder()`` is called once per task and returns a function from a row
     (doc_id and ``columns``, as a dict) to (ids as uint32 bytes, loss), where
     loss is None or the running count of loss-bearing tokens with a leading 0.
-    An example without tokens has no piece. Ids, ties and repeated rows need
-    no care: each row is packed by itself, and ``start`` counts within it.
+    An example without tokens has no piece; null and empty texts have those of
+    their end. Texts may be of any length: what fills a sequence by itself is
+    cut off first, the rest is packed. Null ids, ties and repeated rows need
+    no care: each row is packed by itself, and ``start`` counts within it. Of
+    examples with equal scores the first read goes first. An empty table gives
+    no piece; further columns, of whatever names, are ignored.
     sequence_id holds the task's number above bit 32, so reruns over the same
     partitions agree. Memory per task: ``2 * pool`` examples.
     """

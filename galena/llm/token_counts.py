@@ -103,8 +103,9 @@ def _counts(path: str) -> WordCounts:
 def token_counts(docs: DataFrame, path: str = PIECES) -> DataFrame:
     """Return doc_id, n_chars (code points) and n_tokens for every row of ``docs``.
 
-    Null and empty texts have no token. Rows that repeat a doc_id or lack one
-    are counted like others. Further columns are ignored.
+    Null and empty texts have no token; texts may be of any length. Rows that
+    repeat a doc_id or lack one are counted like others. An empty table gives
+    an empty result; further columns, of whatever names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

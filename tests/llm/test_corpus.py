@@ -346,6 +346,66 @@ def test_packing(docs, empty):
     assert packing.pack(empty, packing.document_encoder(WORD_BPE, 2), ["text"]).count() == 0
 
 
+def test_packing_against_a_plain_packer():
+    """The same choice, example by example: the largest dot product of shares with what the bin has left."""
+    rng = np.random.default_rng(8)
+    limits, least = (64, 5, 40), 4
+    docs = [(k, int(rng.integers(1, 90)), rng.random(90) < 0.6) for k in range(60)]
+
+    def weight(doc, start, n):
+        return n, 1, int(docs[doc][2][start : start + n].sum())
+
+    def closed(bin_, out):
+        total = sum(n for _, _, n in bin_)
+        flat = [(d, x) for d, s, n in bin_ for x in range(s, s + n)]
+        while flat:
+            want = len(flat) if limits[0] - total < least else 1 << (len(flat).bit_length() - 1)
+            out.append(flat[:want])
+            flat = flat[want:]
+
+    out, left = [], []
+    for k, n, _ in docs:  # what fills a bin by itself is cut off first
+        start, most = 0, min(limits[0], limits[2])
+        while n - start >= most and all(a <= b for a, b in zip(weight(k, start, most), limits, strict=True)):
+            closed([(k, start, most)], out)
+            start += most
+        left += [[k, start, n - start]] * (n > start)
+    while left:
+        room, bin_ = list(limits), []
+        while True:
+            shares = [sum(a / c * (b / c) for a, b, c in zip(weight(*x), room, limits, strict=True)) for x in left]
+            fit = [i for i, x in enumerate(left) if all(a <= b for a, b in zip(weight(*x), room, strict=True))]
+            gap = min(room[0], room[2])
+            if fit:
+                best = max(fit, key=lambda i: (round(shares[i], 9), -i))
+                piece = left.pop(best)
+            elif not left or room[1] < 1 or (gap < least and bin_):
+                break
+            else:
+                best = max(range(len(left)), key=lambda i: (round(shares[i], 9), -i))
+                doc, start, n = left[best]
+                take = min(gap, n - 1) if n > 1 else 1
+                piece = [doc, start, take]
+                left[best] = [doc, start + take, n - take]
+                if n == take:
+                    left.pop(best)
+            bin_.append(piece)
+            room = [a - b for a, b in zip(room, weight(*piece), strict=True)]
+        closed(bin_, out)
+
+    packer = packing.Packer(limits, 100, least, 0)
+    for k, n, loss in docs:
+        packer.add(k, np.arange(n, dtype="<u4").tobytes(), np.r_[0, np.cumsum(loss[:n])])
+    packer.pack(0)
+    got = defaultdict(list)
+    for doc, start, n, _, _, sequence, offset in packer.out:
+        assert offset == len(got[sequence])
+        got[sequence] += [(doc, x) for x in range(start, start + n)]
+    assert [got[k] for k in sorted(got)] == out
+    for own in out:
+        assert len({d for d, _ in own}) <= limits[1] and sum(docs[d][2][x] for d, x in own) <= limits[2]
+
+
 def test_packing_holds_all_limits(spark):
     rows = [(k, [("user", words(0, k % 40)), ("assistant", words(0, 90 if k % 3 else 5))]) for k in range(400)]
     chats = spark.createDataFrame(rows, "doc_id long, turns array<struct<role:string,text:string>>").coalesce(2)
