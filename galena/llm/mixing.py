@@ -32,6 +32,7 @@ from galena.llm.common import WORD, text_of, written
 
 WEIGHTS = (5, 2, 1)
 BROADCAST_SOURCES = 10_000  # about 1 MB
+BROADCAST_BLOCKS = 200_000  # about 20 MB
 
 
 def water_fill(sizes: list[int], weights: list[int], share: Fraction = Fraction(1), most: int = 3) -> list[Fraction]:
@@ -89,6 +90,7 @@ class Mix:
             for k, (r, n, t) in enumerate(zip(found, sizes, targets, strict=True))
         ]
         self.blocks = written(self._deal())
+        self.few_blocks = self.blocks.count() <= BROADCAST_BLOCKS
 
     def measures(self) -> list[Column]:
         return [F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(self.seed), "doc_id", "text").alias("key")]
@@ -140,8 +142,9 @@ class Mix:
         What a row's block was dealt decides: its size for each whole draw,
         and its part of the words of a cut one.
         """
-        # one plan at every size: rows are dealt once, for both branches below, and not sorted
-        joined = self.planned(rows).join(self.blocks.hint("shuffle_hash"), ["rank", "block"], "left")
+        # only the rows of cut blocks, one block a source, need to meet
+        blocks = F.broadcast(self.blocks) if self.few_blocks else self.blocks.hint("shuffle_hash")
+        joined = self.planned(rows).join(blocks, ["rank", "block"], "left")
         joined = joined.withColumn("dealt", F.coalesce("dealt", F.array().cast("array<struct<epoch:int,shard:int>>")))
         whole = joined.filter(F.col("cut").isNull()).withColumn("last", F.lit(None).cast("long"))
         order = Window.partitionBy("rank", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
