@@ -199,3 +199,60 @@ def l2_normalize(v: Column) -> Column:
     """Scaled to unit length; unchanged if the norm is zero or not finite."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when((norm > 0) & (norm < float("inf")), F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v)
+
+
+def recent_paths(current: Column, recent: Column, existing: Column) -> Column:
+    """Library paths, the current one first, normalized, each once; only those in ``existing`` (array)."""
+    all_ = F.transform(F.concat(F.array(current), F.coalesce(recent, F.array().cast("array<string>"))), lambda p: normalize_path(F.nullif(F.trim(p), F.lit(""))))
+    return F.array_distinct(F.filter(all_, lambda p: p.isNotNull() & F.array_contains(existing, p)))
+
+
+# Defaults of the search model's settings.
+DEVICES, PATCHES, THREADS = ("auto", "cpu", "gpu"), 256, 4
+
+
+def search_config(raw: Column) -> Column:
+    """Struct of settings from JSON text; what is missing or not valid has its default."""
+    get = lambda path: F.get_json_object(raw, path)
+    number = lambda path: F.round(F.try_to_number(F.regexp_extract(get(path), r"^(\d{1,9})", 1), F.lit("999999999"))).cast("int")
+    patches = F.when(raw.rlike(r'"fgclipMaxPatches"\s*:\s*null'), F.lit(None)).otherwise(F.coalesce(F.nullif(number("$.runtime.fgclipMaxPatches"), F.lit(0)), F.lit(PATCHES)))
+    threads = F.when(F.lower(F.trim(get("$.runtime.intraThreads"))) == "auto", "auto").otherwise(F.coalesce(F.nullif(number("$.runtime.intraThreads"), F.lit(0)), F.lit(THREADS)).cast("string"))
+    device = F.when(get("$.runtime.device").isin(*DEVICES), get("$.runtime.device")).otherwise("cpu")
+    return F.struct(
+        F.coalesce(get("$.enabled") == "true", F.lit(False)).alias("enabled"),
+        F.coalesce(get("$.modelPath"), F.lit("")).alias("model_path"),
+        F.coalesce(get("$.processUnindexedOnly") != "false", F.lit(True)).alias("unindexed_only"),
+        device.alias("device"), threads.alias("threads"), patches.alias("max_patches"),
+    )
+
+
+def embedding_key(config: Column) -> Column:
+    """What embeddings depend on: the model's path, without quotes and resolved, and the patch limit, as JSON."""
+    path = F.regexp_replace(F.trim(config["model_path"]), "^[\"']|[\"']$", "")
+    return F.to_json(F.struct(F.when(path == "", "").otherwise(normalize_path(path)).alias("modelPath"), config["max_patches"].alias("fgclipMaxPatches")), {"ignoreNullFields": "false"})
+
+
+# The parts of the prompt for suggested metadata.
+PROMPT_HEAD = (
+    "你是素材库整理助手。请根据图片内容和提供的信息整理素材元数据。",
+    "要求：\n- 只返回合法 JSON。\n- 不要输出解释。\n- 不要编造图片中不可见或原数据中没有的信息。\n- 中文优先。",
+)
+PROMPT_SHAPE = {"filename": '"filename": "string"', "tags": '"tags": ["string"]', "description": '"description": "string"', "rating": '"rating": 4'}
+PROMPT_TITLE = {"filename": "文件名规则", "tags": "标签规则", "description": "备注规则", "rating": "评价规则"}
+NOTHING = "无"
+
+
+def metadata_prompt(name: Column, tags: Column, description: Column, rating: Column, pool: str, rules: dict[str, str]) -> Column:
+    """The prompt for the fields that ``rules`` has (field to its rule); ``tags`` is an array of names."""
+    if not rules:
+        raise ValueError("at least one field must be asked for")
+    known = {
+        "filename": [F.concat(F.lit("当前文件名："), name)],
+        "tags": [F.concat(F.lit("当前已有标签："), F.coalesce(F.nullif(F.array_join(tags, "、"), F.lit("")), F.lit(NOTHING))), F.lit(f"可复用标签池：{pool}")],
+        "description": [F.concat(F.lit("当前备注："), F.coalesce(F.nullif(F.trim(description), F.lit("")), F.lit(NOTHING)))],
+        "rating": [F.concat(F.lit("当前评价："), F.when(rating > 0, F.concat(rating.cast("string"), F.lit(" 分"))).otherwise(NOTHING))],
+    }
+    asked = [f for f in PROMPT_SHAPE if f in rules]
+    shape = "{\n" + ",\n".join("  " + PROMPT_SHAPE[f] for f in asked) + "\n}"
+    facts = F.concat_ws("\n", F.lit("可用原数据："), *(x for f in asked for x in known[f]))
+    return F.concat_ws("\n\n", *map(F.lit, PROMPT_HEAD), facts, F.lit(f"需要生成的 JSON 格式：\n{shape}"), *(F.lit(f"{PROMPT_TITLE[f]}：\n{rules[f].strip()}") for f in asked))

@@ -97,3 +97,10 @@ def move_plan(sibling_ids: list[int], moved: int, index: int, source_ids: list[i
 def named_order(name: str = "name") -> list[Column]:
     """Siblings by place, then by name as Chinese dictionaries have it."""
     return [F.col("sort_order").asc(), F.collate(F.col(name), "zh").asc(), F.col("id").asc()]
+
+
+def path_labels(tree: DataFrame, elided: int | None = None) -> DataFrame:
+    """Nodes of a walked tree with label: the names from the root, slash-joined; ``elided`` has no row of its own."""
+    label = F.array_join(F.transform("place", lambda p: p["n"]), "/")
+    rows = tree.withColumn("label", label)
+    return rows.filter(F.col("id") != elided) if elided is not None else rows

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -192,3 +193,43 @@ def duplicate_or_similar(files: DataFrame, embeddings: DataFrame, threshold: flo
     order = [F.col("tier").asc(), F.col("best").desc(), F.col("latest").desc(), F.col("lead").asc(), F.col("part").asc(), *member_order]
     first = places.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter("_n = 1")
     return numbered(first, order).select("id", "rank")
+
+
+def is_ready(files: DataFrame, embeddings: DataFrame, model_id: str) -> DataFrame:
+    """(id, ready): whether a file has a ready embedding of its present content."""
+    own = candidates(files, embeddings.filter(F.col("model_id") == model_id)).select(F.col("id").alias("_id")).distinct()
+    return files.join(own, files["id"] == own["_id"], "left").select("id", F.col("_id").isNotNull().alias("ready"))
+
+
+def index_job(files: DataFrame, embeddings: DataFrame, model_id: str, contents: DataFrame, encode: Callable[[], Callable[[bytes], list[float]]], at: str, again: bool = False, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """``embeddings`` after an index run: what is to be done is encoded, results replace a file's row, failures become error rows.
+
+    ``contents`` has id and content (bytes). ``encode()`` is called once per
+    task and gives the encoder; one that raises is tried ``tries`` times, each
+    after ``wait`` seconds more than the last. ``again`` drops all embeddings
+    first. Files without content stay as they are.
+    """
+    from galena.operators.mutations import merge_last
+
+    base = embeddings.limit(0) if again else embeddings
+    todo = index_state(files, base, model_id).filter("pending").select("id", "size", "fs_modified_at", "content_hash").join(contents.select("id", "content"), "id")
+    schema = "file_id long, model_id string, dimensions int, embedding array<float>, source_size long, source_modified_at string, source_content_hash string, indexed_at string, status string, last_error string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = encode()
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                vector, error = None, None
+                for n in range(tries):
+                    try:
+                        vector, error = [float(x) for x in encoder(row.content)], None
+                        break
+                    except Exception as e:  # noqa: BLE001  an encoder's failure is a result
+                        error = str(e)
+                        time.sleep(wait * (n + 1) if n + 1 < tries else 0)
+                out.append((row.id, model_id, len(vector or []), vector, row.size, row.fs_modified_at, row.content_hash, at, "error" if error else "ready", error))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    done = todo.mapInPandas(run, schema)
+    return merge_last(base, written(done.select(*[c for c in done.columns if c in base.columns])), ["file_id"])

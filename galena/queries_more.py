@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galena.functions import formats, media, scalars
-from galena.operators import library, mutations, search, sync, tasks, trees, vectors
+from galena.operators import fuzzy, library, mutations, search, sync, tasks, trees, vectors
 from galena.operators.ranking import numbered
 from galena.plans import filters
 from galena.plans.filters import FilterSpec
-from galena.queries import CURRENT, REACH, _query_vector, files_of, query
+from galena.queries import COUNTS, CURRENT, REACH, _query_vector, files_of, query
+from galena.sources import scan
 from galena.sources.library import view
 from galena.streaming import events
 
@@ -512,6 +513,141 @@ def color_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.array_join(F.transform("c", lambda x: F.concat(x["color"], F.lit(":"), x["percentage"].cast("string"))), ",").alias("colors"))
 
 
+@query(
+    """SELECT id, CASE id % 9 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' WHEN 4 THEN 'image/avif' WHEN 5 THEN 'image/heif' WHEN 6 THEN 'image/svg+xml' WHEN 7 THEN 'image/bmp' ELSE 'application/pdf' END AS mime,
+    CASE id % 9 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' WHEN 2 THEN 'gif' WHEN 3 THEN 'webp' WHEN 4 THEN 'avif' WHEN 5 THEN 'heic' WHEN 6 THEN 'svg' WHEN 7 THEN 'bmp' ELSE 'mp4' END AS ext FROM files""",
+    "files",
+)
+def sniffed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats by the first bytes; the last by its content type or its name."""
+    heads = ["89504E470D0A1A0A00", "FFD8FFE000", "474946383961", "524946460000000057454250", "0000001866747970" + "61766966" + "00000000", "0000001866747970" + "68656963" + "00000000", "20203C737667", "424D0000", "00010203"]
+    head = F.get(F.array(*(F.unhex(F.lit(h)) for h in heads)), (F.col("id") % 9).cast("int"))
+    return files_of(spark, sf_dir).select("id", formats.sniff_mime(head, F.lit("a.pdf")).alias("mime"), formats.sniff_extension(head, F.lit("video/mp4; codecs=x")).alias("ext"))
+
+
+@query("SELECT id, CASE id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'png' WHEN 2 THEN 'jpg' WHEN 3 THEN 'rar' END AS ext FROM files", "files")
+def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = F.array(*map(F.lit, ("text/html; charset=utf-8", "image/apng", " IMAGE/JPG ", "application/vnd.rar", "application/octet-stream")))
+    return files_of(spark, sf_dir).select("id", formats.extension_for_content_type(F.get(types, (F.col("id") % 5).cast("int"))).alias("ext"))
+
+
+@query(
+    """SELECT url || '/a.png' AS image_url, url AS source_url FROM p UNION ALL SELECT url || '/b.png', url FROM p UNION ALL SELECT url || '/c.jpg', url FROM p UNION ALL SELECT url || '/d.webp', url FROM p
+    UNION ALL SELECT 'https://cdn.example.com/same.png', min(url) FROM p""".replace("FROM p", "FROM (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages) p")
+)
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several images a tag, of other elements and of styles; one that all pages share."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_replace("url", r"[?#].*$", "").alias("url"))
+    html = F.format_string("<img alt=x src='%s/a.png#top' data-src=\"%s/b.png\"><div data-lazy=%s/c.jpg data-x=1></div><p style='background:url(%s/d.webp)'><img src=https://cdn.example.com/same.png><img src=/relative.png>", *["url"] * 4)
+    return scan.page_images(p.withColumn("html", html))
+
+
+@query(
+    """SELECT id, CASE id % 4 WHEN 0 THEN '{"modelPath":"","fgclipMaxPatches":256}' WHEN 1 THEN '{"modelPath":"/m/x","fgclipMaxPatches":576}' WHEN 2 THEN '{"modelPath":"/m/x","fgclipMaxPatches":null}' ELSE '{"modelPath":"","fgclipMaxPatches":256}' END AS key,
+    id % 4 = 1 AS enabled, CASE id % 4 WHEN 1 THEN 'gpu' ELSE 'cpu' END AS device, CASE id % 4 WHEN 2 THEN 'auto' WHEN 1 THEN '8' ELSE '4' END AS threads FROM files""",
+    "files",
+)
+def search_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of the search model from JSON, and what embeddings depend on."""
+    raw = ("", '{"enabled":true,"modelPath":" /m/./x/ ","runtime":{"device":"gpu","intraThreads":8,"fgclipMaxPatches":576}}', '{"enabled":"yes","modelPath":"\'/m/x\'","runtime":{"device":"tpu","intraThreads":"Auto","fgclipMaxPatches":null}}', "not json")
+    c = scalars.search_config(F.get(F.array(*map(F.lit, raw)), (F.col("id") % 4).cast("int")))
+    f = files_of(spark, sf_dir).select("id", c.alias("c"))
+    return f.select("id", scalars.embedding_key(F.col("c")).alias("key"), "c.enabled", "c.device", "c.threads")
+
+
+@query("SELECT id, CASE WHEN folder_id IS NULL THEN '/library/x,/library/src1' ELSE '/library/src' || folder_id || CASE WHEN folder_id = 1 THEN ',/library/x' ELSE ',/library/x,/library/src1' END END AS paths FROM files WHERE coalesce(folder_id, 1) < 4", "files")
+def recent_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current library first, each once, only those that are there."""
+    f = files_of(spark, sf_dir).filter("coalesce(folder_id, 1) < 4")
+    there = F.array(*(F.lit(f"/library/{x}") for x in ("x", "src0", "src1", "src2", "src3")))
+    current = F.when(F.col("folder_id").isNotNull(), F.concat(F.lit("/library/src"), F.col("folder_id").cast("string"), F.lit("/")))
+    return f.select("id", F.array_join(scalars.recent_paths(current, F.array(F.lit("/library/x/"), F.lit("/gone"), F.lit("/library//src1"), F.lit("/library/x")), there), ",").alias("paths"))
+
+
+@query(
+    """SELECT id, '你是素材库整理助手。请根据图片内容和提供的信息整理素材元数据。' || chr(10) || chr(10) || '要求：' || chr(10) || '- 只返回合法 JSON。' || chr(10) || '- 不要输出解释。' || chr(10) || '- 不要编造图片中不可见或原数据中没有的信息。' || chr(10) || '- 中文优先。' || chr(10) || chr(10)
+    || '可用原数据：' || chr(10) || '当前文件名：' || name || chr(10) || '当前评价：' || CASE WHEN rating > 0 THEN rating || ' 分' ELSE '无' END || chr(10) || chr(10) || '需要生成的 JSON 格式：' || chr(10) || '{' || chr(10) || '  "filename": "string",' || chr(10) || '  "rating": 4' || chr(10) || '}' || chr(10) || chr(10)
+    || '文件名规则：' || chr(10) || 'short' || chr(10) || chr(10) || '评价规则：' || chr(10) || '1 to 5' AS prompt FROM files""",
+    "files",
+)
+def metadata_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.array().cast("array<string>")
+    return files_of(spark, sf_dir).select("id", scalars.metadata_prompt(F.col("name"), tags, F.col("description"), F.col("rating"), "", {"rating": "1 to 5", "filename": " short "}).alias("prompt"))
+
+
+# ---------------------------------------------------------------- trees and index runs
+
+
+@query(
+    """WITH RECURSIVE live AS (SELECT id, parent_id, name FROM folders WHERE deleted_at IS NULL),
+    t AS (SELECT id, name AS label FROM live WHERE parent_id IS NULL UNION ALL SELECT c.id, t.label || '/' || c.name FROM live c JOIN t ON c.parent_id = t.id) SELECT id, label FROM t WHERE id <> 1002""",
+    "folders",
+)
+def folder_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders flattened with the path of names; the default folder has no row."""
+    return trees.path_labels(trees.folder_tree(view(spark, sf_dir, "folders")), 1002).select("id", "label")
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT id AS ancestor, id AS descendant, 0 AS distance FROM tags UNION ALL SELECT t.ancestor, c.id, t.distance + 1 FROM t JOIN tags c ON c.parent_id = t.descendant) SELECT ancestor, descendant, distance FROM t""",
+    "tags",
+)
+def tag_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a tag and what lies below it."""
+    return trees.closure(trees.tag_tree(view(spark, sf_dir, "tags")))
+
+
+@query(CURRENT + " SELECT id, id IN (SELECT id FROM c WHERE model_id = 'clip-a') AS ready FROM files", "files", "file_visual_embeddings")
+def embedding_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.is_ready(files_of(spark, sf_dir), view(spark, sf_dir, "file_visual_embeddings"), "clip-a")
+
+
+@query(
+    COUNTS + """,
+    n AS (SELECT s.id, f.size FROM s JOIN files f ON f.id = s.id WHERE (NOT coalesce(status = 'ready' AND embedding IS NOT NULL, FALSE) OR coalesce(outdated, FALSE)) AND NOT (coalesce(status = 'error', FALSE) AND NOT coalesce(outdated, FALSE)) AND s.id % 2 = 0)
+    SELECT file_id, status, CAST(dimensions AS INT) AS dimensions FROM file_visual_embeddings WHERE file_id NOT IN (SELECT id FROM n)
+    UNION ALL SELECT id, CASE WHEN size % 5 = 0 THEN 'error' ELSE 'ready' END, CASE WHEN size % 5 = 0 THEN 0 ELSE 2 END FROM n""",
+    "files", "file_visual_embeddings",
+)
+def index_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index run with an encoder that fails on some sizes; every other file has content."""
+    f, e = files_of(spark, sf_dir), view(spark, sf_dir, "file_visual_embeddings")
+
+    def make():
+        def encode(content: bytes) -> list[float]:
+            size = int(content)
+            if size % 5 == 0:
+                raise ValueError(f"cannot read {size}")
+            return [float(size), 1.0]
+
+        return encode
+
+    contents = f.filter("id % 2 = 0").select("id", F.col("size").cast("string").cast("binary").alias("content"))
+    return vectors.index_job(f, e, "clip-a", contents, make, "2027", wait=0.0).select("file_id", "status", "dimensions")
+
+
+@query("SELECT CAST(count(*) FILTER (kind <> 'removed') AS BIGINT) AS scanned, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'updated') AS updated, count(*) FILTER (kind = 'moved') AS moved, count(*) FILTER (kind = 'removed') AS removed, count(*) FILTER (kind = 'skipped') AS skipped FROM (SELECT CASE event_type WHEN 'view' THEN 'added' WHEN 'click' THEN 'updated' WHEN 'signup' THEN 'moved' WHEN 'purchase' THEN 'removed' ELSE 'skipped' END AS kind FROM events)")
+def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in (("view", "added"), ("click", "updated"), ("signup", "moved"), ("purchase", "removed"), ("error", "skipped")) for x in kv)), F.col("event_type"))
+    return sync.sync_summary(spark.read.parquet(f"{sf_dir}/events.parquet").select(kind.alias("kind")))
+
+
+@query("SELECT id, CASE WHEN folder_id = 3 THEN NULL ELSE folder_id END AS folder_id FROM files", "files")
+def clear_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutations.update_where(files_of(spark, sf_dir), F.col("folder_id") == 3, folder_id=F.lit(None)).select("id", "folder_id")
+
+
+@query(
+    """WITH m AS (SELECT p_partkey AS id, lower(p_name) AS n, lower(p_brand) AS b FROM part),
+    r AS (SELECT id, CASE WHEN n = 'br' THEN 6 WHEN starts_with(n, 'br') THEN 5 WHEN contains(n, ' br') THEN 4 WHEN contains(n, 'br') THEN 3 WHEN regexp_matches(n, '(?s)b.*?r') THEN 1 ELSE 0 END AS x, CASE WHEN starts_with(b, 'br') THEN 5 ELSE 0 END AS y FROM m)
+    SELECT id, greatest(x, y) AS tier FROM r WHERE greatest(x, y) > 0"""
+)
+def fuzzy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of a text and an array of texts."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), "p_name", F.array(F.lit(None).cast("string"), F.col("p_brand")).alias("tags"))
+    return fuzzy.with_tiers(parts, "br", F.col("p_name"), F.col("tags")).select("id", "tier")
+
+
 # ---------------------------------------------------------------- events
 
 

@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galena.functions import formats
+from galena.functions.scalars import normalize_image_url
 
 URL = r"https?://[^\s\"'()<>]+"
 
 
-def directory(spark: SparkSession, path: str, sniff: bool = True) -> DataFrame:
+def directory(spark: SparkSession, path: str, sniff: bool = True, hidden: bool = False) -> DataFrame:
     """Supported files below ``path``: path, name, ext, size, modified_at.
 
-    Names and directories that begin with a dot are skipped. ``sniff`` reads
-    the first bytes of each file for its real format; else the name decides
-    and no content is read.
+    Names and directories that begin with a dot are skipped unless ``hidden``
+    (imports take them). ``sniff`` takes the first bytes of each file for its
+    real format; else the name decides and no content is read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     clean = F.regexp_replace("path", r"^file:/+", "/")
     named = files.withColumn("path", clean).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
-    shown = named.filter(~F.col("path").rlike(r"/\."))
+    shown = named if hidden else named.filter(~F.col("path").rlike(r"/\."))
     own = formats.normalize_extension(F.regexp_extract("name", r"\.([^.]+)$", 1))
     ext = F.coalesce(formats.sniff_extension(F.col("content")), own) if sniff else own
     out = shown.select("path", "name", ext.alias("ext"), F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("modified_at"))
@@ -39,19 +40,24 @@ def relative(files: DataFrame, root: str) -> DataFrame:
 
 
 def page_images(pages: DataFrame) -> DataFrame:
-    """(image_url, source_url): absolute image URLs of pages, each once; the smallest page URL is its source.
+    """(image_url, source_url): absolute image URLs of pages, each once, without fragments; the smallest page URL is its source.
 
-    Taken from src and data-* attributes of images, data-src of any element,
-    and url() of styles.
+    Taken from src, data-src, data-original and data-lazy of images (all that
+    a tag has), the first of the latter three of any other element, and url()
+    of styles.
     """
     html = F.coalesce("html", F.lit(""))
-    found = F.concat(
-        F.regexp_extract_all(html, F.lit(rf"(?i)<img\b[^>]*?\s(?:src|data-[a-z-]+)\s*=\s*[\"']?({URL})"), 1),
-        F.regexp_extract_all(html, F.lit(rf"(?i)\sdata-src\s*=\s*[\"']?({URL})"), 1),
+    named = lambda names: F.lit(rf"(?i)\s(?:{names})\s*=\s*[\"']?({URL})")
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<img\b[^>]*>"), 0)
+    others = F.regexp_extract_all(html, F.lit(r"(?i)<(?!img\b)[a-z][^>]*\sdata-(?:src|original|lazy)[^>]*>"), 0)
+    lazy = [F.nullif(F.regexp_extract(F.col("x"), rf"(?i)\sdata-{k}\s*=\s*[\"']?({URL})", 1), F.lit("")) for k in ("src", "original", "lazy")]
+    each = pages.select("url", F.explode(F.concat(
+        F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, named("src|data-src|data-original|data-lazy"), 1))),
         F.regexp_extract_all(html, F.lit(rf"(?i)url\(\s*[\"']?({URL})"), 1),
-    )
-    each = pages.select("url", F.explode(F.array_distinct(found)).alias("image_url"))
-    return each.groupBy("image_url").agg(F.min("url").alias("source_url"))
+    )).alias("image_url"))
+    rest = pages.select("url", F.explode(others).alias("x")).select("url", F.coalesce(*lazy).alias("image_url"))
+    found = each.unionByName(rest).withColumn("image_url", normalize_image_url(F.col("image_url"))).filter("image_url is not null")
+    return found.groupBy("image_url").agg(F.min("url").alias("source_url"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
