@@ -89,7 +89,7 @@ def test_pinyin(spark):
     assert found("mp") == [4]
 
 
-@pytest.mark.parametrize("name,query,tier", [("Music Player", "Music Player", 7), ("Music Player", "music player", 6), ("Café Noir", "cafe", 5), ("Straße", "x", None), ("ab", "b", 3), ("abc", "z", None), ("a-b c", "abc", 2), ("Music Player", "mus", 5), ("Music Player", "play", 4), ("Music Player", "sic", 3), ("Music Player", "mp", 2), ("Music Player", "mspr", 1), ("Music Player", "xyz", None), ("a.b", "a.b", 6), ("axb", "a.b", None)])
+@pytest.mark.parametrize("name,query,tier", [("Music Player", "Music Player", 7), ("Music Player", "music player", 6), ("Café Noir", "cafe", 5), ("Straße", "x", None), ("ab", "b", 3), ("abc", "z", None), ("a-b c", "abc", 2), ("Music Player", "mus", 5), ("Music Player", "play", 4), ("Music Player", "sic", 3), ("Music Player", "mp", 2), ("Music Player", "mspr", 1), ("Music Player", "xyz", None), ("a.b", "a.b", 7), ("A.b", "a.b", 6), ("axb", "a.b", None)])
 def test_tiers(spark, name, query, tier):
     assert spark.range(1).select(fuzzy.tier(F.lit(name), query)).first()[0] == tier
 
@@ -287,3 +287,91 @@ def test_gaps_are_filled_and_nothing_else(spark):
     new = spark.createDataFrame([(1, "n", "[1]", "x"), (2, "n", "[2]", "y")], "id long, content_hash string, color_distribution string, thumb_hash string")
     got = {r.id: (r.content_hash, r.color_distribution, r.thumb_hash) for r in tasks.fill_gaps(f, new).collect()}
     assert got == {1: ("n", "[1]", "t"), 2: ("h", "[2]", "y")}
+
+
+def test_index_job_retries_and_records_failures(spark):
+    f = files(spark, [{"id": k, "name": f"{k}.png", "content_hash": f"h{k}"} for k in (1, 2, 3)])
+    empty = spark.createDataFrame([], SCHEMAS["file_visual_embeddings"])
+    contents = spark.createDataFrame([(1, b"ok"), (2, b"bad"), (3, b"flaky")], "id long, content binary")
+
+    def make():
+        seen = []
+
+        def encode(content):
+            seen.append(content)
+            if content == b"bad" or (content == b"flaky" and seen.count(content) < 3):
+                raise ValueError(content.decode())
+            return [1.0, float(len(content))]
+
+        return encode
+
+    rows = {r.file_id: r for r in vectors.index_job(f, empty, "m", contents, make, "2027", wait=0.0).collect()}
+    assert [(rows[k].status, rows[k].dimensions, rows[k].last_error) for k in (1, 2, 3)] == [("ready", 2, None), ("error", 0, "bad"), ("ready", 2, None)]
+    assert rows[1].source_content_hash == "h1"
+    again = vectors.index_job(f, spark.createDataFrame(list(rows.values()), SCHEMAS["file_visual_embeddings"]), "m", contents, make, "2028", wait=0.0)
+    assert {r.file_id: r.indexed_at for r in again.collect()} == {1: "2027", 2: "2027", 3: "2027"}  # nothing is pending
+
+
+def test_fuzzy_keys_and_order(spark):
+    rows = spark.createDataFrame([(1, "zeta beta", ["x", None]), (2, None, ["beta", "b"]), (3, "Beta", None), (4, "a-beta", []), (5, "none", [])], "id long, name string, tags array<string>")
+    hits = fuzzy.with_tiers(rows, "Beta", F.col("name"), F.col("tags")).orderBy(*fuzzy.fuzzy_order()).collect()
+    assert [(r.id, r.tier, r.key) for r in hits] == [(3, 7, "Beta"), (2, 6, "beta"), (1, 4, "zeta beta"), (4, 3, "a-beta")]
+
+
+def test_best_forest_connects_what_all_edges_do():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n, m = 40, int(rng.integers(0, 120))
+        u, v = rng.integers(n, size=m), rng.integers(n, size=m)
+        u, v = u[u != v], v[u != v]
+        score = rng.integers(5, size=len(u)) / 5
+
+        def parts(edges, u=u, v=v):
+            root = list(range(n))
+
+            def find(k):
+                while root[k] != k:
+                    k = root[k]
+                return k
+
+            for e in edges:
+                root[find(u[e])] = find(v[e])
+            return {frozenset(k for k in range(n) if find(k) == r) for r in {find(k) for k in range(n)}}
+
+        chosen = vectors.best_forest(u, v, score, n)
+        whole = parts(range(len(u)))
+        assert parts(chosen) == whole and len(chosen) == n - len(whole)
+        best = lambda edges, p: max((score[e] for e in edges if u[e] in p), default=None)
+        assert all(best(chosen, p) == best(range(len(u)), p) for p in whole)
+
+
+def test_spaced_batch_against_a_loop(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"p{int(rng.integers(3))}" if k % 9 else None, datetime(2024, 1, 1) + timedelta(milliseconds=int(x)), k) for k, x in enumerate(rng.integers(0, 60_000, 300))]
+    got = {r.id: r.accepted for r in events.spaced_batch(spark.createDataFrame(rows, "path string, ts timestamp, id long"), ["path"], 3000).collect()}
+    last = {}
+    for path, ts, k in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        ok = path not in last or ts - last[path] >= timedelta(seconds=3)
+        last[path] = ts if ok else last[path]
+        assert got[k] == ok
+
+
+def test_repeated_incoming_rows_count_once(spark):
+    f = files(spark, [{"id": 1, "name": "a.png"}])
+    new = spark.createDataFrame([("/l/a.png", 5), ("/l/a.png", 7), ("/l/b.png", 1), ("/l/b.png", 2)], "normalized_path string, size long")
+    assert sorted((r.normalized_path, r.size) for r in mutations.upsert_files(f, new, [F.col("size").desc()]).collect()) == [("/l/a.png", 7), ("/l/b.png", 2)]
+    assert sorted((r.normalized_path, r.size) for r in mutations.upsert_files(f, new).collect()) == [("/l/a.png", 7), ("/l/b.png", 2)]
+
+
+def test_text_search_falls_back_to_names_without_a_model(spark):
+    from galena.operators import search
+
+    f, e = similar_library(spark)
+    tags = spark.createDataFrame([], SCHEMAS["tags"])
+    links = spark.createDataFrame([], SCHEMAS["file_tags"])
+    named = search.search_by_text(f, links, tags, e, FilterSpec(), "exact", None, configured=False)
+    assert [r.id for r in named.rows.orderBy("rank").collect()] == [1, 2] and named.total == 2
+    by_vector = search.search_by_text(f, links, tags, e, FilterSpec(), "x", ("clip-test", lambda t: [1.0, 0.0, 0.0]), configured=True, page_size=2)
+    assert [r.id for r in by_vector.rows.orderBy("rank").collect()] == [3, 2] and (by_vector.total, by_vector.total_pages) == (4, 2)
+    with pytest.raises(ValueError):
+        search.search_by_text(f, links, tags, e, FilterSpec(), "x", None, configured=True)
