@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from tempfile import mkdtemp
-from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from galena.session import shared_folder, written
+
+__all__ = ["SPACE", "WORD", "batches_of", "checkpointed", "shared_folder", "table", "text_of", "written"]
+
 #: One run of ASCII white space, and one word between such runs.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,34 +27,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, as ``spark.checkpoint.dir`` names it.
-
-    Where it names none, a session on one machine (``local[...]``) gets a
-    temporary folder; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or mkdtemp(prefix="galena-"))
-    return sc.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a compressed table in the shared folder; its size is known to the planner, and it takes less room than a checkpoint."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def batches_of(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = 1000, max_bytes: int = 1 << 24) -> DataFrame:
     """``df.mapInArrow(run, schema)`` on batches of at most ``rows`` rows and about ``max_bytes``, as texts can be long."""
 

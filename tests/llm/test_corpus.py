@@ -662,6 +662,38 @@ def test_pipeline(spark, sf_dir, tmp_path):
     packed(docs.collect())
 
 
+def test_pipeline_stages_on_hard_rows(spark, sf_dir, empty):
+    """Null ids, texts and sources, repeated rows and clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    own = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s, *_ in fixture_rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, own, sf_dir)
+        kept[name] = out.collect()
+        assert name == "packing" or out.columns == columns
+        assert stage(spark, empty.select(*columns), sf_dir).count() == 0
+    rows = {(r[0], r[1]) for r in fixture_rows()}
+    assert all({(r.doc_id, r.text) for r in kept[n]} <= rows for n in ("quality", "exact_dedup", "near_dedup", "mixing"))
+    normal = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    assert Counter(normal(r.text) for r in kept["exact_dedup"]) == Counter({normal(t): 1 for _, t in rows})
+    whole_choice(list(enumerate(t for _, t in sorted(rows, key=key))), [k for k, x in enumerate(sorted(rows, key=key)) if x in {(r.doc_id, r.text) for r in kept["near_dedup"]}])
+    packed(kept["packing"])
+
+
+def test_very_long_texts(spark):
+    long = words(0, 120_000)
+    docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in winnow.edited_fingerprints(docs).collect()}
+    assert got[1].n_chars == len(long) and got[1].near_next > 0.99 and got[3].fingerprint == ""
+    near = {r.doc_id: r for r in simhash.simhash_components(docs).collect()}
+    assert near[1].fingerprint == f"{simhash.fingerprint(long, 4):016x}" and near[2].component_id == 1
+    assert sorted(r.doc_id for r in near_dedup.near_duplicates(docs).collect()) == [1, 3]
+    assert exact_dedup.exact_dedup(docs).filter("kept").count() == 3
+    assert [r.n_removed for r in substring_dedup.repeat_report(docs).orderBy("doc_id").collect()] == [120_000, 120_000, 0]
+
+
 def test_sql(spark, sf_dir, duck):
     from conftest import normal
 
