@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import batches_of, checkpointed
+from galena.llm.common import batches_of, checkpointed, written
 from galena.llm.components import components
 
 
@@ -171,7 +171,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, blo
     names, are ignored.
     """
     marked = checkpointed(fingerprints(docs.select("doc_id", "text"), shingle))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    # a table, so that dealing it anew for the keys is not taken for done already
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     reach = components(links(nodes.select("fp"), distance, blocks)).select(F.col("node").alias("fp"), "component")
     root = nodes.join(reach, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     root = checkpointed(root)
