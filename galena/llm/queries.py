@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from galena.llm import centroids
 from galena.llm.common import table
 from galena.llm.exact_dedup import exact_dedup
 from galena.llm.html_text import page_texts
@@ -17,6 +18,7 @@ from galena.llm.simhash import simhash_components
 from galena.llm.substring_dedup import repeat_report
 from galena.llm.token_counts import token_counts
 from galena.llm.tokens import WORD_BPE
+from galena.llm.whitening import whitening_report
 from galena.llm.winnow import edited_fingerprints
 
 
@@ -60,6 +62,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_packing": op2_packing,
@@ -71,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +94,5 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
     "op5_secrets": report_sql(),
+    "op13_centroids": centroids.report_sql(),
 }
