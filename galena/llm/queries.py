@@ -17,6 +17,7 @@ from galena.llm.secrets import report_sql, secret_report
 from galena.llm.simhash import simhash_components
 from galena.llm.substring_dedup import repeat_report
 from galena.llm.token_counts import token_counts
+from galena.llm.token_files import token_report
 from galena.llm.tokens import WORD_BPE
 from galena.llm.whitening import whitening_report
 from galena.llm.winnow import edited_fingerprints
@@ -66,6 +67,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
     "op11_whitening": op11_whitening,
+    "op12_token_files": op12_token_files,
     "op13_centroids": op13_centroids,
 }
 
