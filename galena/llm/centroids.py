@@ -71,7 +71,7 @@ def first_centroids(rows: DataFrame, k: int, salt: str) -> np.ndarray:
     """
     hashed = rows.select(F.sha2(F.concat(F.lit(salt), F.col("vec_id").cast("string")), 256).alias("hash"), "x")
     found = hashed.orderBy(F.col("hash").asc_nulls_last(), "x").limit(k).collect()
-    return np.array([r.x for r in found], "int64").reshape(len(found), -1)
+    return np.array([r.x for r in found], "int64").reshape(len(found), len(found[0].x) if found else 0)
 
 
 def moved(rows: DataFrame, centroids: np.ndarray) -> np.ndarray:

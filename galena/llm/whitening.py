@@ -105,14 +105,15 @@ def moments(rows: DataFrame, fan_in: int = 16) -> dict[int, Moments]:
 def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(diagonal, off-diagonal, q) with q' a q tridiagonal, by Householder reflections."""
     a, q = a.copy(), np.eye(len(a))
+    least = np.abs(a).sum() * 1e-30
     for k in range(len(a) - 2):
         u = a[k + 1 :, k].copy()
+        if np.abs(u).max() <= least:  # nothing there but what rounding left
+            a[k + 1 :, k] = a[k, k + 1 :] = 0
+            continue
         edge = -copysign(np.linalg.norm(u), u[0])
         u[0] -= edge
-        length = np.linalg.norm(u)
-        if length == 0:
-            continue
-        u /= length
+        u /= np.linalg.norm(u)
         p = a[k + 1 :, k + 1 :] @ u
         w = 2 * (p - (u @ p) * u)
         a[k + 1 :, k + 1 :] -= np.outer(u, w) + np.outer(w, u)
