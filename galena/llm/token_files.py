@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from galena.llm.common import batches_of, shared_folder, text_of
+from galena.llm.common import shared_folder, text_of
 from galena.llm.rows import tag
 from galena.llm.tokens import WORD_BPE, word_ids
 from galena.sources.files import file_system, put
@@ -156,8 +156,19 @@ class Files(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
+    """Writes rows (doc_id, ids as binary) or, given a tokenizer file, (doc_id, text); ``end_id`` ends each text."""
+
     def __init__(self, options: dict):
         self.folder, self.bits, self.file_ids = options["path"], int(options.get("bits", 8)), int(options.get("file_ids", 1 << 22))
+        self.tokenizer, self.end = options.get("tokenizer"), np.array([int(options.get("end_id", 2))], "<u4").tobytes()
+
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+        """(doc_id, ids) of all rows; texts become ids here, in the task that writes them."""
+        of = word_ids(self.tokenizer).of if self.tokenizer else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                doc_ids, own = (batch.column(k).slice(at, 256).to_pylist() for k in (0, 1))
+                yield from zip(doc_ids, (of(t) + self.end for t in own) if of else (x or b"" for x in own), strict=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Files:
         store, folder = file_system(self.folder)
@@ -176,13 +187,12 @@ class TokenWriter(DataSourceArrowWriter):
                 files.append((name, len(doc_ids), room // 4, len(data)))
             doc_ids, each, room = [], [], 0
 
-        for batch in iterator:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids.append(doc_id)
-                each.append(ids or b"")
-                room += len(ids or b"")
-                if room >= 4 * self.file_ids:
-                    close()
+        for doc_id, ids in self.rows(iterator):
+            doc_ids.append(doc_id)
+            each.append(ids)
+            room += len(ids)
+            if room >= 4 * self.file_ids:
+                close()
         close()
         return Files(part, files)
 
@@ -236,7 +246,7 @@ class TokenReader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """``format("token_files")``: writes (doc_id, ids) in the order of partitions, reads (doc_id, start, ids)."""
+    """``format("token_files")``: writes (doc_id, ids or text) in the order of partitions, reads (doc_id, start, ids)."""
 
     @classmethod
     def name(cls) -> str:
@@ -269,15 +279,8 @@ def write_ids(docs: DataFrame, folder: str, path: str = WORD_BPE, end_id: int =
     place = [F.col("doc_id").asc_nulls_last(), "_tag", "_row"]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text"), tag(docs).alias("_tag"), F.monotonically_increasing_id().alias("_row"))
     ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place).select("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = word_ids(path).of
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([of(t) + end for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "ids"])
-
     docs.sparkSession.dataSource.register(TokenFiles)
-    batches_of(ordered, run, "doc_id long, ids binary").write.format("token_files").options(**options).mode("append").save(folder)
+    ordered.write.format("token_files").options(tokenizer=path, end_id=end_id, **options).mode("append").save(folder)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
