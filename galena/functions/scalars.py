@@ -172,11 +172,6 @@ def response_text(response: Column) -> Column:
     return F.when(content.startswith("["), joined).otherwise(content)
 
 
-def image_url_filename(url: Column) -> Column:
-    """Last path segment of a URL, decoded; null if there is none."""
-    return F.nullif(F.try_url_decode(F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"([^/]*)$", 1)), F.lit(""))
-
-
 def normalize_image_url(url: Column) -> Column:
     """Absolute http(s) URLs without their fragment; null for any others."""
     return F.when(url.rlike(r"^(?i)https?://[^\s/]+"), F.regexp_replace(F.trim(url), r"#.*$", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.functions import formats, media, scalars
+from galena.functions import formats, media, scalars, urls
 from galena.operators import fuzzy, library, mutations, search, sync, tasks, trees, vectors
 from galena.operators.ranking import numbered
 from galena.plans import filters
@@ -482,10 +482,25 @@ def saved_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", "o.sort_by", "o.direction")
 
 
-@query(r"SELECT url AS id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)$', 1)) AS filename, regexp_replace(url, '#.*$', '') AS clean FROM pages")
+@query(
+    r"""WITH p AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS s FROM pages),
+    v AS (SELECT page_id, 0 AS form, url, regexp_extract(rtrim(s, '/'), '([^/]+)$', 1) AS name FROM p
+          UNION ALL SELECT page_id, 1, s || '/a%3Ab%2F' || page_id || '+x/?q=/z.png', 'a_b_' || page_id || '+x' FROM p
+          UNION ALL SELECT page_id, 2, s || '//' || repeat('wört ', 40), repeat('wört ', 32) FROM p
+          UNION ALL SELECT page_id, 3, s || '/up/%2e%2E/' || page_id || '/', CAST(page_id AS VARCHAR) FROM p
+          UNION ALL SELECT page_id, 4, s || '/%E9', 'browser-image' FROM p
+          UNION ALL SELECT page_id, 5, 'no url ' || page_id, 'browser-image' FROM p)
+    SELECT page_id AS id, form, name || CASE WHEN regexp_matches(name, '\.[A-Za-z0-9]{1,8}$') THEN '' ELSE CASE page_id % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.svg' ELSE '' END END AS filename,
+           CASE WHEN form < 5 THEN regexp_replace(url, '#.*$', '') END AS clean FROM v"""
+)
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return p.select(F.col("url").alias("id"), F.lower(scalars.image_url_filename(F.col("url"))).alias("filename"), scalars.normalize_image_url(F.concat("url", F.lit("#x"))).alias("clean"))
+    """File names of images at the pages' URLs, and at hostile ones made of these."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("s", F.regexp_replace("url", r"[?#].*$", ""))
+    tails = [F.concat(F.lit("/a%3Ab%2F"), "page_id", F.lit("+x/?q=/z.png")), F.lit("//" + "wört " * 40), F.concat(F.lit("/up/%2e%2E/"), "page_id", F.lit("/")), F.lit("/%E9")]
+    each = F.array(F.col("url"), *(F.concat("s", t) for t in tails), F.concat(F.lit("no url "), "page_id"))
+    kind = F.element_at(F.create_map(F.lit(0), F.lit("IMAGE/JPEG; charset=x"), F.lit(1), F.lit("image/svg+xml"), F.lit(2), F.lit("text/html")), (F.col("page_id") % 4).cast("int"))
+    v = p.select("page_id", kind.alias("kind"), F.posexplode(each).alias("form", "url"))
+    return v.select(F.col("page_id").alias("id"), "form", urls.image_filename(F.col("url"), F.col("kind")).alias("filename"), scalars.normalize_image_url(F.concat("url", F.lit("#x"))).alias("clean"))
 
 
 @query("SELECT vec_id AS id, 256 AS bytes, round(list_sum(embedding::DOUBLE[]), 4) AS total, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) > 0 AS positive FROM embeddings")

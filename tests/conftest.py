@@ -52,7 +52,7 @@ def normal(rows, columns):
 
     def text(v):
         if v is None:
-            return ""
+            return "\0null"
         if isinstance(v, float):
             return f"{v:.6f}"
         return str(v)
