@@ -69,7 +69,7 @@ def spaced_batch(events: DataFrame, keys: list[str], spacing_ms: int = SPACING_M
 
 
 def spaced_stream(events: DataFrame, spacing_ms: int = SPACING_MS, late: str = "10 seconds") -> DataFrame:
-    """Accepted events (path, ts) of a stream: state holds a path's last accepted time.
+    """Accepted events (path, ts) of a stream: state holds a path's last accepted time (``machines.Spaced`` takes keys of several columns).
 
     State goes when the watermark is six spacings past that time. Events of a
     batch are taken in time order; one earlier than the last accepted is
@@ -97,7 +97,10 @@ def spaced_stream(events: DataFrame, spacing_ms: int = SPACING_MS, late: str = "
 
 
 def settled_deletes(events: DataFrame, delay_ms: int = DELAY_MS) -> DataFrame:
-    """(path, ts) of unlink events that no add or change of the path follows within ``delay_ms``."""
+    """(path, ts) of unlink events that no add or change of the path follows within ``delay_ms``; tables only.
+
+    ``timed.folded_stream`` with ``machines.Watch`` decides deletes in streams.
+    """
     unlink = events.filter(F.col("kind") == "unlink").select("path", "ts").distinct()
     back = events.filter(F.col("kind") != "unlink").select(F.col("path").alias("_path"), F.col("ts").alias("_ts"))
     # times in buckets as long as the delay: what cancels lies in the own bucket or the next
@@ -110,7 +113,7 @@ def settled_deletes(events: DataFrame, delay_ms: int = DELAY_MS) -> DataFrame:
 
 
 def stable_files(observations: DataFrame) -> DataFrame:
-    """(path, ts) of the first observation whose size and time equal those of the one before."""
+    """(path, ts) of the first observation whose size and time equal those of the one before; tables only (``machines.Watch`` in streams)."""
     from pyspark.sql import Window
 
     own = Window.partitionBy("path").orderBy("ts")
@@ -127,7 +130,7 @@ def batches_of_ids(events: DataFrame, gap: str = "800 milliseconds", late: str =
 
 
 def armed_windows(events: DataFrame, keys: list[str], span_ms: int) -> DataFrame:
-    """``events`` with ``armed``: the time of the event that began the span it falls in; the first event after a span begins the next."""
+    """``events`` with ``armed``: the time of the event that began the span it falls in; the first event after a span begins the next. Tables only (``machines.Throttle`` in streams)."""
     from pyspark.sql import Window
 
     own = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
