@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galena.functions import formats
 from galena.functions.scalars import normalize_image_url
+from galena.sources import listing
 
 URL = r"https?://[^\s\"'()<>]+"
 
@@ -15,19 +16,24 @@ def directory(spark: SparkSession, path: str, sniff: bool = True, hidden: bool =
     """Supported files below ``path``: path, name, ext, size, modified_at.
 
     Names and directories that begin with a dot are skipped unless ``hidden``
-    (imports take them). ``sniff`` takes the first bytes of each file for its
-    real format; else the name decides and no content is read.
+    (imports take them). ``sniff`` takes the first 4096 bytes of each file
+    that its name does not block for its real format; else the name decides
+    and no content is read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    clean = F.regexp_replace("path", r"^file:/+", "/")
-    named = files.withColumn("path", clean).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
-    shown = named if hidden else named.filter(~F.col("path").rlike(r"/\."))
-    own = formats.normalize_extension(F.regexp_extract("name", r"\.([^.]+)$", 1))
-    ext = F.coalesce(formats.sniff_extension(F.col("content")), own) if sniff else own
-    out = shown.select("path", "name", ext.alias("ext"), F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("modified_at"))
+    named = listing.tree(spark, path, hidden).filter("kind = 'file'").withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    own = formats.normalize_extension(F.regexp_extract("name", r"[^.]\.([^.]+)$", 1))
+    files = named.withColumn("ext", own).filter(~F.col("ext").isin(formats.BLOCKED))
+    if sniff:
+        files = listing.with_heads(files).withColumn("ext", F.coalesce(formats.sniff_extension(F.col("head")), "ext"))
+    out = files.select("path", "name", "ext", "size", F.date_format("modified_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("modified_at"))
     return out.filter(F.col("ext").isin(formats.SCAN_SUPPORTED) & ~F.col("ext").isin(formats.BLOCKED))
 
 
+def folders(spark: SparkSession, path: str) -> DataFrame:
+    """Folders below ``path`` but for hidden ones, empty ones too."""
+    return listing.tree(spark, path).filter("kind = 'dir'").select("path")
+
+
 def directories(files: DataFrame) -> DataFrame:
     """Distinct parent directories of ``files``."""
     return files.select(F.regexp_replace("path", r"/[^/]+$", "").alias("path")).distinct()
