@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +18,20 @@ IMAGE_EXTENSIONS = {
 }
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def clean(url: Column) -> Column:
     """Without spaces and controls at either end, and without tabs and line ends."""
     return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
 
 
-def part(url: Column, k: int) -> Column:
-    return F.regexp_extract(url, PARTS, k)
+def parts(url: Column) -> Column:
+    """Struct scheme, host, path, query, fragment; the scheme in lower case, query and fragment with their marks."""
+    names = ("scheme", "host", "path", "query", "fragment")
+    return F.struct(*((F.lower(x) if k == 0 else x).alias(n) for k, n in enumerate(names) for x in [F.regexp_extract(url, PARTS, k + 1)]))
 
 
 def without_dots(path: Column) -> Column:
@@ -33,10 +42,13 @@ def without_dots(path: Column) -> Column:
         kept = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(up, kept).when(here, done).otherwise(F.concat(done, F.array(s)))
 
-    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
-    joined = F.concat(F.lit("/"), F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/"))
-    # a path that ends in a dot segment names a folder
-    return F.when(path.rlike(r"(?i)(^|/)(\.|%2e){1,2}$") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+    def joined(p: Column) -> Column:
+        segments = F.split(F.regexp_replace(p, "^/", ""), "/")
+        out = F.concat(F.lit("/"), F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/"))
+        # a path that ends in a dot segment names a folder
+        return let(out, lambda x: F.when(p.rlike(r"(?i)(^|/)(\.|%2e){1,2}$") & ~x.endswith("/"), F.concat(x, F.lit("/"))).otherwise(x))
+
+    return let(path, joined)
 
 
 def escaped(text: Column) -> Column:
@@ -51,27 +63,30 @@ def resolve(base: Column, reference: Column) -> Column:
     Backslashes are slashes, the scheme and the host are in lower case, default
     ports go and dot segments are resolved, as in the address a browser gives.
     """
-    at, of = (F.regexp_replace(clean(x), r"\\", "/") for x in (base, reference))
-    of = F.regexp_replace(of, "^((?i)(?:https?:)?)//+", "$1//")  # more slashes than two count as two
-    scheme, base_scheme = F.lower(part(of, 1)), F.lower(part(at, 1))
-    own_path, own_host = part(of, 3), part(of, 2)
-    same = (scheme == "") | ((scheme == base_scheme) & (own_host == "") & ~own_path.startswith("/"))
-    absolute = (scheme != "") & ~same
-    host = F.when(absolute | (own_host != ""), own_host).otherwise(part(at, 2))
-    # an absolute URL may lack the two slashes
-    loose = absolute & (own_host == "")
-    host = F.when(loose, F.regexp_extract(own_path, "^/*([^/]*)", 1)).otherwise(host)
-    own_path = F.when(loose, F.regexp_extract(own_path, "^/*[^/]*(.*)$", 1)).otherwise(own_path)
-    inherits = ~absolute & (own_host == "")
-    merged = F.concat(F.regexp_extract(part(at, 3), r"^(.*/)[^/]*$", 1), own_path)
-    path = F.when(inherits & (own_path == ""), part(at, 3)).when(inherits & ~own_path.startswith("/"), merged).otherwise(own_path)
-    query = F.when(inherits & (own_path == "") & (part(of, 4) == ""), part(at, 4)).otherwise(part(of, 4))
-    used = F.when(absolute, scheme).otherwise(base_scheme)
-    host = F.lower(host)
-    host = F.when(used == "http", F.regexp_replace(host, ":(80)?$", "")).otherwise(F.regexp_replace(host, ":(443)?$", ""))
-    whole = F.concat(used, F.lit("://"), host, escaped(without_dots(path)), escaped(query), escaped(part(of, 5)))
-    hostless = of.rlike("^(?i)(?:https?:)?//$") | ~F.regexp_replace(host, "^.*@", "").rlike("^[^:]")
-    return F.when(used.isin("http", "https") & ~hostless, whole)
+    at = F.regexp_replace(clean(base), r"\\", "/")
+    of = F.regexp_replace(F.regexp_replace(clean(reference), r"\\", "/"), "^((?i)(?:https?:)?)//+", "$1//")  # more slashes than two count as two
+
+    def targets(p: Column) -> Column:
+        """Struct of what the outcome is made of; empty parts of a relative reference come from the base."""
+        own, up = p["of"], p["at"]
+        relative = (own["scheme"] == "") | ((own["scheme"] == up["scheme"]) & (own["host"] == "") & ~own["path"].startswith("/") & ~p["slashes"])
+        inherits = relative & (own["host"] == "")
+        loose = ~relative & (own["host"] == "")  # an absolute URL may lack the two slashes
+        host = F.when(loose, F.regexp_extract(own["path"], "^/*([^/]*)", 1)).when(inherits, up["host"]).otherwise(own["host"])
+        path = (
+            F.when(loose, F.regexp_extract(own["path"], "^/*[^/]*(.*)$", 1)).when(inherits & (own["path"] == ""), up["path"])
+            .when(inherits & ~own["path"].startswith("/"), F.concat(F.regexp_extract(up["path"], r"^(.*/)[^/]*$", 1), own["path"])).otherwise(own["path"])
+        )
+        query = F.when(inherits & (own["path"] == "") & (own["query"] == ""), up["query"]).otherwise(own["query"])
+        return F.struct(F.when(relative, up["scheme"]).otherwise(own["scheme"]).alias("scheme"), F.lower(host).alias("host"), path.alias("path"), query.alias("query"), own["fragment"].alias("fragment"), (p["slashes"] & (own["host"] == "")).alias("hostless"))
+
+    def whole(t: Column) -> Column:
+        host = F.when(t["scheme"] == "http", F.regexp_replace(t["host"], ":(80)?$", "")).otherwise(F.regexp_replace(t["host"], ":(443)?$", ""))
+        known = F.regexp_replace(t["host"], "^.*@", "").rlike("^[^:]") & ~t["hostless"]
+        return F.when(t["scheme"].isin("http", "https") & known, F.concat(t["scheme"], F.lit("://"), host, escaped(without_dots(t["path"])), escaped(t["query"]), escaped(t["fragment"])))
+
+    split = let(F.struct(at.alias("at"), of.alias("of")), lambda p: F.struct(parts(p["at"]).alias("at"), parts(p["of"]).alias("of"), p["of"].rlike("^(?i)(?:https?:)?//").alias("slashes")))
+    return let(split, lambda p: let(targets(p), whole))
 
 
 def prefix(text: Column, units: int) -> Column:
@@ -100,13 +115,18 @@ def image_filename(url: Column, content_type: Column) -> Column:
     it is an image's. URLs without a segment, that are no URL (null too), or
     whose segment is no percent-encoded UTF-8 are ``browser-image``.
     """
-    at = F.regexp_replace(clean(url), r"\\", "/")
-    path = F.when(part(at, 1) != "", without_dots(part(at, 3)))
+    at = parts(F.regexp_replace(clean(url), r"\\", "/"))
+    path = let(at, lambda p: F.when(p["scheme"] != "", without_dots(p["path"])))
     last = F.try_element_at(F.filter(F.split(path, "/"), lambda s: s != ""), F.lit(-1))
-    decoded = F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
-    # bytes that are no UTF-8 decode to a mark that the segment does not spell
-    broken = decoded.contains("�") & ~F.upper(last).contains("%EF%BF%BD") & ~last.contains("�")
-    name = F.coalesce(F.nullif(F.when(~broken, decoded), F.lit("")), F.lit(DEFAULT_NAME))
-    name = prefix(F.regexp_replace(name, r'[\\/:*?"<>|]+', "_"), MOST_UNITS)
-    ext = content_type_extension(content_type)
-    return F.when(name.rlike(r"(?i)\.[a-z0-9]{1,8}$") | ext.isNull(), name).otherwise(F.concat(name, F.lit("."), ext))
+
+    def decoded(own: Column) -> Column:
+        # bytes that are no UTF-8 decode to a mark that the segment does not spell
+        spelled = F.upper(own).contains("%EF%BF%BD") | own.contains("�")
+        return let(F.try_url_decode(F.replace(own, F.lit("+"), F.lit("%2B"))), lambda d: F.when(~d.contains("�") | spelled, d))
+
+    def with_extension(name: Column) -> Column:
+        ext = content_type_extension(content_type)
+        return F.when(name.rlike(r"(?i)\.[a-z0-9]{1,8}$") | ext.isNull(), name).otherwise(F.concat(name, F.lit("."), ext))
+
+    name = F.coalesce(F.nullif(let(last, decoded), F.lit("")), F.lit(DEFAULT_NAME))
+    return let(let(F.regexp_replace(name, r'[\\/:*?"<>|]+', "_"), lambda n: prefix(n, MOST_UNITS)), with_extension)

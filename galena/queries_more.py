@@ -547,8 +547,8 @@ def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT url || '/a.png' AS image_url, url AS source_url FROM p UNION ALL SELECT url || '/b.png', url FROM p UNION ALL SELECT url || '/c.jpg', url FROM p UNION ALL SELECT url || '/d.webp', url FROM p
-    UNION ALL SELECT 'https://cdn.example.com/same.png', min(url) FROM p""".replace("FROM p", "FROM (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages) p")
+    """SELECT url || '/a.png#top' AS image_url, url AS source_url FROM p UNION ALL SELECT url || '/b.png', url FROM p UNION ALL SELECT url || '/c.jpg', url FROM p UNION ALL SELECT url || '/d.webp', url FROM p
+    UNION ALL SELECT 'https://cdn.example.com/same.png', min(url) FROM p UNION ALL SELECT regexp_extract(url, '^[a-z]+://[^/]*') || '/relative.png', min(url) FROM p GROUP BY 1""".replace("FROM p", "FROM (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages) p")
 )
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several images a tag, of other elements and of styles; one that all pages share."""

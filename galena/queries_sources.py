@@ -110,3 +110,22 @@ def stored_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = listing.tree(spark, folder).filter("kind = 'file'").select(F.regexp_extract("path", r"([^/]+)\.webp$", 1).alias("key"), "size")
     uses = f.filter("key <> ''").groupBy("key").agg(F.count(F.lit(1)).alias("files"))
     return stored.join(uses, "key", "left").select("key", "size", "files")
+
+
+# ---------------------------------------------------------------- images of pages
+
+
+@query(
+    """WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS host, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)[^/]*$', 1) AS folder, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+    r AS (SELECT *, replace(replace(href, '&amp;', '&'), '&quot;', '"') AS h FROM p),
+    i AS (SELECT page_id, url, CASE WHEN regexp_matches(h, '^https?://') THEN h WHEN h LIKE '/%' THEN CASE page_id % 2 WHEN 0 THEN host ELSE 'https://cdn.example.com' END || h ELSE CASE page_id % 2 WHEN 0 THEN folder ELSE 'https://cdn.example.com/x/' END || h END AS image FROM r WHERE h <> '')
+    SELECT url, array_to_string(list_transform(string_split(image, ''), lambda c: CASE WHEN regexp_matches(c, '^[!-~]$') AND c NOT IN ('"', '<', '>', '`', '{', '}') THEN c ELSE url_encode(c) END), '') AS image_url, count(*) AS findings
+    FROM i GROUP BY ALL"""
+)
+def linked_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of real pages read as images, half of them under a base address; how often each is found."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    base = F.when(F.col("page_id") % 2 == 1, '<head><base href="https://CDN.example.com:443/./x/y/../z">').otherwise("<head>")
+    html = F.replace(F.regexp_replace("html", "<head>", base), F.lit("<a href="), F.lit("<img alt='a > b' src="))
+    found = scan.image_findings(p.select("url", html.alias("html")))
+    return found.groupBy("url", "image_url").agg(F.count(F.lit(1)).alias("findings"))

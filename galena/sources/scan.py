@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.functions import formats
-from galena.functions.scalars import normalize_image_url
+from galena.functions import formats, markup, urls
 from galena.sources import listing
 
-URL = r"https?://[^\s\"'()<>]+"
-
 
 def directory(spark: SparkSession, path: str, sniff: bool = True, hidden: bool = False) -> DataFrame:
     """Supported files below ``path``: path, name, ext, size, modified_at.
@@ -45,25 +45,38 @@ def relative(files: DataFrame, root: str) -> DataFrame:
     return files.withColumn("relative_dir", F.regexp_replace(F.substring(F.col("path"), F.lit(len(top) + 1), F.length("path")), r"/?[^/]*$", ""))
 
 
-def page_images(pages: DataFrame) -> DataFrame:
-    """(image_url, source_url): absolute image URLs of pages, each once, without fragments; the smallest page URL is its source.
+def image_findings(pages: DataFrame) -> DataFrame:
+    """(url, image_url, place, width, height): every image reference of each page (url, html), in the order a collector finds them.
 
-    Taken from src, data-src, data-original and data-lazy of images (all that
-    a tag has), the first of the latter three of any other element, and url()
-    of styles.
+    References are resolved as browsers do, relative ones too; only http(s)
+    images count.
     """
-    html = F.coalesce("html", F.lit(""))
-    named = lambda names: F.lit(rf"(?i)\s(?:{names})\s*=\s*[\"']?({URL})")
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<img\b[^>]*>"), 0)
-    others = F.regexp_extract_all(html, F.lit(r"(?i)<(?!img\b)[a-z][^>]*\sdata-(?:src|original|lazy)[^>]*>"), 0)
-    lazy = [F.nullif(F.regexp_extract(F.col("x"), rf"(?i)\sdata-{k}\s*=\s*[\"']?({URL})", 1), F.lit("")) for k in ("src", "original", "lazy")]
-    each = pages.select("url", F.explode(F.concat(
-        F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, named("src|data-src|data-original|data-lazy"), 1))),
-        F.regexp_extract_all(html, F.lit(rf"(?i)url\(\s*[\"']?({URL})"), 1),
-    )).alias("image_url"))
-    rest = pages.select("url", F.explode(others).alias("x")).select("url", F.coalesce(*lazy).alias("image_url"))
-    found = each.unionByName(rest).withColumn("image_url", normalize_image_url(F.col("image_url"))).filter("image_url is not null")
-    return found.groupBy("image_url").agg(F.min("url").alias("source_url"))
+    schema = "url string, base string, reference string, hangs boolean, place int, width int, height int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for url, html in zip(*(batch.column(k).slice(at, 64).to_pylist() for k in (0, 1)), strict=True):
+                    base, found = markup.image_references(html)
+                    rows += [(url, base, reference, hangs, place, width, height) for place, (reference, hangs, width, height) in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()))], names=[x.split()[0] for x in schema.split(", ")])
+
+    found = pages.select("url", "html").mapInArrow(run, schema)
+    # a base that is no http(s) address is none
+    base = F.when((F.col("base") != "") & F.col("hangs"), F.coalesce(urls.resolve(F.col("url"), F.col("base")), "url")).otherwise(F.col("url"))
+    return found.select("url", urls.resolve(base, F.col("reference")).alias("image_url"), "place", "width", "height").filter("image_url IS NOT NULL")
+
+
+def images_of_pages(pages: DataFrame) -> DataFrame:
+    """(url, image_url, place, width, height): images of each page, each once; the first finding gives place and size."""
+    first = F.min(F.struct("place", "width", "height"))
+    return image_findings(pages).groupBy("url", "image_url").agg(first.alias("f")).select("url", "image_url", "f.place", "f.width", "f.height")
+
+
+def page_images(pages: DataFrame) -> DataFrame:
+    """(image_url, source_url): images of all pages, each once; the smallest page URL is its source."""
+    return images_of_pages(pages).groupBy("image_url").agg(F.min("url").alias("source_url"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:

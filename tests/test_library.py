@@ -241,7 +241,7 @@ def test_scans(spark, tmp_path):
     assert [r.relative_dir for r in scan.relative(got, str(tmp_path)).collect()] == ["a", "a"]
     assert scan.directories(got).count() == 1
     pages = spark.createDataFrame([("http://p/2", "<img class=x src='https://i/a.png'><div data-src=\"https://i/b.png\" style=\"background:url(https://i/c.png)\"><img src='/rel.png'>"), ("http://p/1", "<img data-original=https://i/a.png>"), ("http://p/3", None)], "url string, html string")
-    assert {(r.image_url, r.source_url) for r in scan.page_images(pages).collect()} == {("https://i/a.png", "http://p/1"), ("https://i/b.png", "http://p/2"), ("https://i/c.png", "http://p/2")}
+    assert {(r.image_url, r.source_url) for r in scan.page_images(pages).collect()} == {("https://i/a.png", "http://p/1"), ("https://i/b.png", "http://p/2"), ("https://i/c.png", "http://p/2"), ("http://p/rel.png", "http://p/2")}
 
 
 def test_move_candidates_prefer_missing(spark):
