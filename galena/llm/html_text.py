@@ -4,8 +4,10 @@ A tree builder with implied end tags makes the element tree; a renderer walks
 it and writes all visible text: block elements on lines of their own with
 their spacing, list items with bullets or numbers and indents, preformatted
 text as it is, and tables with their columns aligned. Both are iterative and
-take time in proportion to the page, whatever its nesting; only indents stop
-growing at ``MOST_INDENT`` columns. Each page is rendered by itself; nothing is
+take time in proportion to the page, whatever its nesting; for that indents
+stop growing at ``MOST_INDENT`` columns and blanks before a table cell at
+``MOST_BLANK``, both parameters that can be off. Columns that cells from above
+take are kept as intervals. Each page is rendered by itself; nothing is
 shuffled.
 """
 
@@ -13,10 +15,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from heapq import heappop, heappush
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +52,7 @@ BARRIER = frozenset({"table", "td", "th", "caption", "button", "object", "templa
 #: Text and elements directly in these, other than those of the second set, go before their table.
 TABLE_PARTS = frozenset("table thead tbody tfoot tr".split())
 IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th style script template form".split())
-MOST_INDENT = 64
+MOST_INDENT, MOST_BLANK = 64, 1000  # so that text and time stay in proportion to the page
 
 
 class Node:
@@ -145,16 +150,31 @@ class TreeBuilder(HTMLParser):
 _DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 _VISIBLE = re.compile(r"(?:^|[;\s])visibility\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 _BLANK, _SOLID = " \t\n\r\f", re.compile(r"[^ \t\n\r\f]+")  # no-break spaces are text
-_SIMPLE = re.compile(r"[.#]?[A-Za-z][\w-]*")
+_COMPOUND = re.compile(r"([A-Za-z][\w-]*|\*?)((?:[.#][\w-]+)*)")
+_PART = re.compile(r"[.#][\w-]+")
 _SCREEN = re.compile(r"@(?:media|supports|layer|container)\b(?![^{]*\bprint\b)", re.I)
 
-#: What is known of a selector: for display and visibility, (important, weight, order, value).
-Rules = dict[str, list[tuple[bool, int, int, str] | None]]
+@dataclass
+class Rule:
+    """A compound selector (tag, .classes, #ids) and what it says of display and visibility: (important, order, value)."""
+
+    tag: str
+    parts: frozenset[str]
+    says: list[tuple[bool, int, str] | None]
+
+    @property
+    def weight(self) -> tuple[int, int, int]:
+        ids = sum(p[0] == "#" for p in self.parts)
+        return ids, len(self.parts) - ids, bool(self.tag)
+
+
+#: Rules by one of their parts, or by their tag.
+Rules = dict[str, list[Rule]]
 
 
 def style_rules(sheets: list[str]) -> Rules:
-    """Rules of simple selectors (tag, .class, #id) for display and visibility; what is for print only is left out."""
-    rules: Rules = {}
+    """Rules of compound selectors for display and visibility; what is for print only is left out."""
+    rules: dict[tuple[str, frozenset[str]], Rule] = {}
     order = 0
     for sheet in sheets:
         closed, head = [], ""  # of each block that is open, whether its rules hold
@@ -165,34 +185,40 @@ def style_rules(sheets: list[str]) -> Rules:
                 elif text.strip().startswith("@"):
                     closed.append(bool(_SCREEN.match(text.strip())))
                 else:
-                    closed, head, body = [*closed, True], text.strip() or " ", ""
+                    closed, head, body = [*closed, True], text.strip() or " ", []
                 continue
             if head and all(closed):
-                body += text + ";"
+                body.append(text)
             if mark == "}" and closed:
                 holds = all(closed)
                 closed.pop()
                 if head and holds:
                     order += 1
-                    for name in map(str.strip, head.split(",")):
-                        if _SIMPLE.fullmatch(name):
-                            own = rules.setdefault(name if name[0] in ".#" else name.lower(), [None, None])
-                            for k, pattern in enumerate((_DISPLAY, _VISIBLE)):
-                                for value, important in pattern.findall(body):
-                                    new = (bool(important), {"#": 2, ".": 1}.get(name[0], 0), order, value.lower())
-                                    own[k] = new if own[k] is None or new[:3] >= own[k][:3] else own[k]
+                    said = [[(bool(i), order, v.lower()) for v, i in pattern.findall(";".join(body))] for pattern in (_DISPLAY, _VISIBLE)]
+                    for name in map(str.strip, head.split(",")) if any(said) else ():
+                        if name and (m := _COMPOUND.fullmatch(name)):
+                            key = m[1].lower().strip("*"), frozenset(_PART.findall(m[2]))
+                            own = rules.setdefault(key, Rule(*key, [None, None]))
+                            for k, found in enumerate(said):
+                                own.says[k] = max([*found, *([own.says[k]] if own.says[k] else [])], key=lambda x: x[:2], default=None)
                     head = ""
-    return rules
+    uses = Counter(p for r in rules.values() for p in r.parts)
+    out: Rules = defaultdict(list)
+    for r in rules.values():  # by its rarest part
+        out[min(r.parts, key=lambda p: (uses[p], p), default=r.tag)].append(r)
+    return dict(out)
 
 
 def styled(rules: Rules, tag: str, attrs: dict[str, str | None]) -> tuple[str | None, str | None]:
     """Display and visibility of an element, null where nothing says: the important, then the more special, then the later rule."""
-    names = [tag, *("." + c for c in (attrs.get("class") or "").split()), f"#{attrs.get('id')}"]
-    found = [rules[n] for n in names if n in rules] if rules else []
+    found = []
+    if rules:
+        parts = {*("." + c for c in (attrs.get("class") or "").split()), f"#{attrs.get('id')}"}
+        found = [r for n in (tag, *parts) for r in rules.get(n, ()) if r.tag in ("", tag) and r.parts <= parts]
     out = []
     for k, pattern in enumerate((_DISPLAY, _VISIBLE)):
-        own = [(bool(i), 3, 0, v.lower()) for v, i in pattern.findall(attrs.get("style") or "")]
-        best = max([*(r[k] for r in found if r[k]), *own], default=None)
+        own = [(bool(i), (9, 0, 0), n, v.lower()) for n, (v, i) in enumerate(pattern.findall(attrs.get("style") or ""))]
+        best = max([*((r.says[k][0], r.weight, *r.says[k][1:]) for r in found if r.says[k]), *own], key=lambda x: x[:3], default=None)
         out.append(best and best[3])
     return out[0], out[1]
 
@@ -204,9 +230,10 @@ def _width(line: str) -> int:
 class Flow:
     """Lines of text; collapses white space within a line and blank lines between blocks."""
 
-    def __init__(self) -> None:
+    def __init__(self, most_indent: int | None = MOST_INDENT) -> None:
         self.lines: list[str] = []
         self.line: list[str] = []
+        self.most_indent = most_indent
         self.indent, self.space, self.blank, self.bullet = "", False, False, ""
 
     def text(self, data: str) -> None:
@@ -247,10 +274,53 @@ class Flow:
     def deeper(self, columns: int) -> str:
         """Indent by so many columns more, up to the most there are; returns the indent before."""
         before = self.indent
-        self.indent = before + " " * min(columns, max(0, MOST_INDENT - len(before)))
+        self.indent = before + " " * (columns if self.most_indent is None else min(columns, max(0, self.most_indent - len(before))))
         return before
 
 
+class Columns:
+    """Columns that no cell from above takes, as gaps; what a cell takes comes back after its last row."""
+
+    def __init__(self) -> None:
+        self.starts, self.ends = [0], {0: 1 << 60}  # of gaps, in order
+        self.taken: list[tuple[int, int, int]] = []  # heap of (row, from, to)
+
+    def first(self, at: int) -> int:
+        """The first free column from ``at``."""
+        k = bisect_right(self.starts, at) - 1
+        return at if k >= 0 and self.ends[self.starts[k]] > at else self.starts[k + 1]
+
+    def take(self, a: int, b: int, until: int) -> None:
+        """Take what is free of columns [a, b) until row ``until``; what another cell has is that one's."""
+        k = max(0, bisect_right(self.starts, a) - 1)
+        while k < len(self.starts) and self.starts[k] < b:
+            start = self.starts[k]
+            end = self.ends[start]
+            low, high = max(a, start), min(b, end)
+            if low >= high:
+                k += 1
+                continue
+            heappush(self.taken, (until, low, high))
+            left = [(x, y) for x, y in ((start, low), (high, end)) if x < y]
+            del self.ends[start]
+            self.starts[k : k + 1] = [x for x, _ in left]
+            self.ends |= dict(left)
+            k += start < low
+
+    def row(self, r: int) -> None:
+        """Give back what was taken until row ``r``."""
+        while self.taken and self.taken[0][0] <= r:
+            _, a, b = heappop(self.taken)
+            k = bisect_right(self.starts, a)
+            if k < len(self.starts) and self.starts[k] == b:
+                b = self.ends.pop(self.starts.pop(k))
+            if k and self.ends[self.starts[k - 1]] == a:
+                self.ends[self.starts[k - 1]] = b
+            else:
+                self.starts.insert(k, a)
+                self.ends[a] = b
+
+
 class Table:
     """Rows of cells (lines, columns, rows they span)."""
 
@@ -259,40 +329,48 @@ class Table:
 
     def placed(self) -> Iterator[list[tuple[int, list[str], int]]]:
         """Each row's cells as (column, lines, span); a column that a cell from above still takes is passed over."""
-        taken: dict[int, int] = {}  # column to rows it is still taken for
-        for row in self.rows:
-            at, out, new = 0, [], {}
+        columns = Columns()
+        for r, row in enumerate(self.rows):
+            columns.row(r)
+            at, out, down_from = 0, [], []
             for cell, span, down in row:
-                while taken.get(at, 0):
-                    at += 1
+                at = columns.first(at)
                 out.append((at, cell, span))
                 if down != 1:
-                    new |= {at + i: down - 1 if down else len(self.rows) for i in range(span)}
+                    down_from.append((at, at + span, r + down if down else len(self.rows)))
                 at += span
-            taken = {c: n - 1 for c, n in taken.items() if n > 1} | new
+            for own in down_from:
+                columns.take(*own)
             yield out
 
-    def lines(self) -> list[str]:
-        """Rows with each column as wide as its widest cell; columns two spaces apart."""
+    def lines(self, most_blank: int | None) -> list[str]:
+        """Rows with each column as wide as its widest cell; columns two spaces apart, at most ``most_blank`` in a row."""
         rows, width = list(self.placed()), defaultdict(int)
         for row in rows:
             for at, cell, span in row:
                 if span == 1:
                     width[at] = max([width[at], *map(_width, cell)])
+        wide_columns = sorted(width)
+        before = [0, *accumulate(width[c] for c in wide_columns)]
+
+        def place(column: int) -> int:
+            return 2 * column + before[bisect_left(wide_columns, column)]
+
         out = []
         for row in rows:
+            each: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
+            for at, cell, span in row:
+                for k, own in enumerate(cell):
+                    each[k].append((at, span, own))
             for k in range(max((len(c) for _, c, _ in row), default=0)):
-                line, wide, have, column = "", 0, 0, 0  # wide: of the line; have: where the next cell begins
-                for at, cell, span in row:
-                    while column < at:  # taken from above: left blank
-                        have, column = have + width[column] + 2, column + 1
-                    own = cell[k] if k < len(cell) else ""
+                line, wide, have, column = [], 0, 0, 0  # wide: of the line; have: where ``column`` begins
+                for at, span, own in each[k]:
+                    have += place(at) - place(column)
                     if own:
-                        line += " " * (have - wide) + own
+                        line.append(" " * min(have - wide, have - wide if most_blank is None else most_blank) + own)
                         wide = have + _width(own)
-                    have = max(have + sum(width[at + i] for i in range(span)) + 2 * span, wide + 2 if own else 0)
-                    column = at + span
-                out.append(line.rstrip())
+                    have, column = max(have + place(at + span) - place(at), wide + 2 if own else 0), at + span
+                out.append("".join(line).rstrip())
         return out
 
 
@@ -300,15 +378,53 @@ def _number(value: str | None, least: int, most: int) -> int:
     return min(most, max(least, int(value))) if value and re.fullmatch(r"\d{1,9}", value.strip()) else least
 
 
-def render(html: str | None) -> str:
-    """All visible text of a page; an empty string for null, empty or wholly hidden pages."""
+def _letters(n: int) -> str:
+    out = ""
+    while n > 0:
+        n, k = divmod(n - 1, 26)
+        out = chr(97 + k) + out
+    return out
+
+
+def _roman(n: int) -> str:
+    out = ""
+    for value, name in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        out += name * (n // value)
+        n %= value
+    return out
+
+
+def ordinal(n: int, kind: str | None) -> str:
+    """Number of a list item as its list's type has it; what a type can't tell is a plain number."""
+    if kind in ("a", "A") and n > 0:
+        return _letters(n) if kind == "a" else _letters(n).upper()
+    if kind in ("i", "I") and 0 < n < 4000:
+        return _roman(n) if kind == "i" else _roman(n).upper()
+    return str(n)
+
+
+def in_order(children: list) -> list:
+    """Children of a table as they show: its first head first, its first foot last."""
+    head = next((c for c in children if isinstance(c, Node) and c.tag == "thead"), None)
+    foot = next((c for c in children if isinstance(c, Node) and c.tag == "tfoot"), None)
+    rest = [c for c in children if c is not head and c is not foot]
+    front = next((k for k, c in enumerate(rest) if isinstance(c, Node) and c.tag in ("tbody", "tr")), len(rest))
+    return [*rest[:front], *([head] if head else []), *rest[front:], *([foot] if foot else [])]
+
+
+def render(html: str | None, most_indent: int | None = MOST_INDENT, most_blank: int | None = MOST_BLANK) -> str:
+    """All visible text of a page; an empty string for null, empty or wholly hidden pages.
+
+    Indents stop at ``most_indent`` columns and blanks before a table cell at
+    ``most_blank``; None: never, however deep or wide the page is.
+    """
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
     rules = style_rules(builder.sheets)
-    flows: list[Flow] = [Flow()]
+    flows: list[Flow] = [Flow(most_indent)]
     tables: list[Table] = []
-    lists: list[list] = []  # [ordered, next number]
+    lists: list[list] = []  # [ordered, next number, step, type]
     todo: list[tuple[Node | str, bool, bool, object]] = [(builder.root, True, False, None)]
     while todo:
         node, seen, pre, closing = todo.pop()
@@ -336,9 +452,10 @@ def render(html: str | None) -> str:
         if tag == "table":
             flow.block(True)
             tables.append(Table())
+            children = in_order(children)
 
             def close(flow: Flow = flow) -> None:
-                for line in tables.pop().lines():
+                for line in tables.pop().lines(most_blank):
                     flow.put(line)
                 flow.block(True)
         elif tag == "tr" and tables:
@@ -346,7 +463,7 @@ def render(html: str | None) -> str:
         elif tag in ("td", "th") and tables:
             if not tables[-1].rows:
                 tables[-1].rows.append([])
-            flows.append(Flow())
+            flows.append(Flow(most_indent))
 
             def close(row: list = tables[-1].rows[-1], span: int = _number(attrs.get("colspan"), 1, 1000), down: int = _number(attrs.get("rowspan"), 0, 65534) if attrs.get("rowspan") else 1) -> None:
                 cell = flows.pop()
@@ -354,7 +471,9 @@ def render(html: str | None) -> str:
                 row.append((cell.lines, span, down))
         elif tag in ("ul", "ol", "menu"):
             flow.block(not lists)
-            lists.append([tag == "ol", _number(attrs.get("start"), 1, 10**9)])
+            step = -1 if tag == "ol" and "reversed" in attrs else 1
+            first = _number(attrs["start"], 1, 10**9) if attrs.get("start") else sum(isinstance(c, Node) and c.tag == "li" for c in children) if step < 0 else 1
+            lists.append([tag == "ol", first, step, attrs.get("type")])
 
             def close(flow: Flow = flow) -> None:
                 lists.pop()
@@ -364,7 +483,7 @@ def render(html: str | None) -> str:
             bullet = "- "
             if lists and lists[-1][0]:
                 number = _number(attrs.get("value"), lists[-1][1], 10**9) if attrs.get("value") else lists[-1][1]
-                bullet, lists[-1][1] = f"{number}. ", number + 1
+                bullet, lists[-1][1] = f"{ordinal(number, lists[-1][3])}. ", number + lists[-1][2]
             before, flow.bullet = flow.deeper(len(bullet)), bullet
 
             def close(flow: Flow = flow, before: str = before) -> None:
