@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from galena.session import shared_folder, written
 
-__all__ = ["SPACE", "WORD", "batches_of", "checkpointed", "shared_folder", "table", "text_of", "written"]
+__all__ = ["SPACE", "WORD", "array_sum", "batches_of", "checkpointed", "shared_folder", "table", "text_of", "written"]
 
 #: One run of ASCII white space, and one word between such runs.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -43,3 +46,29 @@ def batches_of(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
                 yield batch.slice(at, step)
 
     return df.mapInArrow(lambda batches: run(cut(batches)), schema)
+
+
+def array_sum(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size: int, fan_in: int = 64) -> np.ndarray:
+    """Sum of ``part`` (``size`` doubles) over all batches of ``rows``, a table; tasks' sums meet ``fan_in`` at a time."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                total += part(batch.slice(at, 2000))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sum"])
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size)
+        for x in frame.sort_values("part")["sum"]:
+            total += np.frombuffer(x)
+        return pd.DataFrame({"part": [int(frame["part"].iloc[0]) // fan_in], "sum": [total.tobytes()]})
+
+    sums, parts = rows.mapInArrow(fold, "part int, sum binary"), max(1, rows.rdd.getNumPartitions())
+    while parts > fan_in:
+        sums = sums.groupBy(F.floor(F.col("part") / fan_in).alias("_to")).applyInPandas(merged, "part int, sum binary")
+        parts = -(-parts // fan_in)
+    total = np.zeros(size)
+    for r in sorted(sums.collect(), key=lambda r: r.part):
+        total += np.frombuffer(r["sum"])
+    return total

@@ -11,16 +11,20 @@ positive-against-unlabelled classifier. Then the non-negative unbiased risk
 text: surface features with their squares and products, and hashed words (the
 share of a text's words that fall to each of ``BUCKETS`` buckets).
 
-Only fitting is bounded: at most about ``max_positive`` labelled and
-``max_unlabelled`` other rows, chosen by a hash of doc_id, reach the driver,
-as ``WIDTH`` numbers each. The class prior counts all rows that are not held
-out, and scoring reads every whole text; nothing but counts is shuffled.
+Texts are read once and kept as ``WIDTH`` numbers each in the shared folder.
+All rows that are not held out are the unlabelled text, in the scaling of
+features, the class prior and the risk alike: with the logistic loss R+(1) -
+R+(0) is linear in the weights, so Newton steps find the minimum, each of them
+one pass in which tasks sum loss, gradient and curvature (see :func:`fit`).
+Only trusted positives are bounded: about ``max_positive`` of them, chosen by
+a hash of doc_id, reach the driver. Scores are the same whatever the
+partitioning, but for the rounding of sums.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 from zlib import crc32
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import batches_of
+from galena.llm.common import array_sum, batches_of, written
 
 FEATURES = ("words", "letters", "capitals", "digits", "stops", "marks", "bars", "marked_words", "different", "most_common", "repeated_next", "line_copies", "word_length", "line_words", "sentence_words")
 BUCKETS = 64
@@ -94,16 +98,20 @@ def features(text: str | None) -> list[float]:
 def measured(docs: DataFrame) -> DataFrame:
     """Columns of ``docs`` but text, and ``x``: the features."""
     keep = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*keep, F.array(F.lit(0.0)).alias("x")).schema
+    schema = docs.select(*keep, F.array(F.lit(0.0).cast("float")).alias("x")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            x = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), x], names=[*keep, "x"])
 
     return batches_of(docs, run, schema)
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, WIDTH)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -128,30 +136,49 @@ class Model:
         return _sigmoid(self.design(x) @ self.weights)
 
 
-def _adam(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    for t in range(1, steps + 1):
-        g = gradient(w)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * min(1, 3 * (1 - t / (steps + 1)))
-    return w
+def sums_of(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray], ws: list[np.ndarray], halves: bool = False) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
+    """For each of ``ws``: count, mean loss log(1 + exp(z)), its gradient and curvature over the design rows of ``rows`` (x, half).
+
+    With ``halves`` the k-th weights see the rows of half k alone.
+    """
+    d = len(ws[0])
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        x = of(_matrix(batch))
+        half = np.asarray(batch.column("half").to_numpy(zero_copy_only=False)) if halves else None
+        out = []
+        for k, w in enumerate(ws):
+            own = x[half == k] if halves else x
+            z = own @ w
+            s = _sigmoid(z)
+            out += [[len(own), np.logaddexp(0, z).sum()], own.T @ s, (own.T @ (own * (s * (1 - s))[:, None])).ravel()]
+        return np.concatenate(out)
+
+    total = array_sum(rows, part, len(ws) * (2 + d + d * d)).reshape(len(ws), -1)
+    return [(t[0], t[1] / max(1, t[0]), t[2 : 2 + d] / max(1, t[0]), t[2 + d :].reshape(d, d) / max(1, t[0])) for t in total]
 
 
-def half_models(p: np.ndarray, u: np.ndarray, steps: int = 200) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(weights, scores, positives) of two linear positive-against-unlabelled classifiers, each fitted on half of the rows.
+def half_models(p: np.ndarray, rows: DataFrame, of: Callable[[np.ndarray], np.ndarray], passes: int = 12) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(weights, scores, positives) of two linear positive-against-unlabelled classifiers, each fitted on half of the rows (x, half).
 
     ``scores`` are those that 40 % or more of the other half's positives
     reach, ``positives`` the shares that do. So no row is judged by what it
     taught.
     """
+    own = [p[k::2] for k in (0, 1)]
+    ws = [np.zeros(p.shape[1]) for _ in own]
+    for _ in range(passes):
+        steps = []
+        for a, w, (_, _, g, h) in zip(own, ws, sums_of(rows, of, ws, True), strict=True):
+            s = _sigmoid(-a @ w)
+            g = g - a.T @ s / max(1, len(a)) + 0.02 * w
+            h = h + a.T @ (a * (s * (1 - s))[:, None]) / max(1, len(a)) + 0.02 * np.eye(len(w))
+            steps.append(np.linalg.solve(h, -g))
+        ws = [w + s * min(1, 2 / max(1e-9, np.abs(s).max())) for w, s in zip(ws, steps, strict=True)]
+        if max(np.abs(s).max() for s in steps) < 1e-4:
+            break
     out = []
-    for k in (0, 1):
-        a, b = p[k::2], u[k::2]
-
-        def gradient(w: np.ndarray, a: np.ndarray = a, b: np.ndarray = b) -> np.ndarray:
-            return -a.T @ _sigmoid(-a @ w) / max(1, len(a)) + b.T @ _sigmoid(b @ w) / max(1, len(b)) + 0.02 * w
-
-        w = _adam(gradient, p.shape[1], steps)
+    for k, w in enumerate(ws):
         positive = p[1 - k :: 2] @ w
         if len(positive):
             at = np.quantile(positive, np.linspace(0, 0.6, 25))
@@ -166,21 +193,16 @@ def class_prior(halves: list[tuple[np.ndarray, np.ndarray, np.ndarray]], above:
 
 
 def shares_above(rows: DataFrame, model: Model, halves: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """Of all ``rows`` (half, text) the shares that reach each score of their half's model; counted in tasks, summed on Spark."""
+    """Of all ``rows`` (half, x) the shares that reach each score of the other half's model; counted in tasks, summed on Spark."""
+    sizes = [1 + len(at) for _, at, _ in halves]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            half = np.asarray(batch.column("half").to_numpy(zero_copy_only=False))
-            x = model.linear(np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, WIDTH))
-            out = []
-            for k, (w, at, _) in enumerate(halves):
-                own = x[half == k] @ w
-                out += [(k, i, int(n)) for i, n in enumerate([own.size, *(own[:, None] >= at).sum(axis=0)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [[], [], []])], names=["k", "i", "n"])
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        half, x = np.asarray(batch.column("half").to_numpy(zero_copy_only=False)), model.linear(_matrix(batch))
+        own = [x[half == 1 - k] @ w for k, (w, _, _) in enumerate(halves)]
+        return np.concatenate([[z.size, *(z[:, None] >= at).sum(axis=0)] for z, (_, at, _) in zip(own, halves, strict=True)]).astype("float64")
 
-    counted = batches_of(rows, run, "k long, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect()
-    counts = {(r.k, r.i): r.n for r in counted}
-    return [np.array([counts.get((k, i + 1), 0) for i in range(len(at))]) / max(1, counts.get((k, 0), 0)) for k, (_, at, _) in enumerate(halves)]
+    counts = np.split(array_sum(rows, part, sum(sizes)), np.cumsum(sizes)[:-1]) if halves else []
+    return [c[1:] / max(1, c[0]) for c in counts]
 
 
 def pu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
@@ -196,18 +218,55 @@ def blank_model() -> Model:
     return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(1 + WIDTH + len(FEATURES) * (len(FEATURES) + 1) // 2), 0.5)
 
 
-def fit(model: Model, p: np.ndarray, u: np.ndarray, steps: int = 400, decay: float = 5e-4) -> Model:
-    """Minimise the non-negative risk on design rows ``p`` and ``u``, the prior being the model's."""
-    own = 1 + len(FEATURES)
-    few = np.r_[np.zeros(own), np.full(BUCKETS, 20.0), np.ones(p.shape[1] - own - BUCKETS)]  # few rows: hardly any words or products
-    decay = decay + few / len(p)
+def fit(model: Model, p: np.ndarray, rows: DataFrame, decay: float = 5e-4, search: int = 4) -> Model:
+    """Minimise the non-negative risk on design rows ``p`` and all of ``rows`` (x), the prior being the model's.
+
+    At its least the bracket R_u(0) - prior * R+(0) is zero, or above and then
+    counts in full. For a weight v of the bracket between 0 and 1,
+
+        (1 - v) * prior * R+(1) - v * prior * mean(z+) + v * R_u(0)
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        _, negative, down, up = pu_risk(w, p, u, model.prior)
-        # below zero the negative part is overfitted: step back from it
-        return (down + up if negative >= 0 else -up) + decay * w
+    is convex, and the bracket at its minimum falls as v rises: the largest v
+    that leaves it at zero or above is sought, each minimum starting from the
+    last. Nobody but the tasks sees rows.
+    """
+    own, prior, mean, d = 1 + len(FEATURES), model.prior, p.mean(axis=0), p.shape[1]
+    few = np.r_[np.zeros(own), np.full(BUCKETS, 20.0), np.ones(d - own - BUCKETS)]  # few rows: hardly any words or products
+    decay = decay + few / len(p)
 
-    model.weights = _adam(gradient, p.shape[1], steps)
+    def minimum(v: float, w: np.ndarray, seen: tuple | None) -> tuple[np.ndarray, tuple]:
+        """The minimum for ``v`` from ``w``, and the sums there."""
+        for _ in range(20):
+            _, _, g, h = seen = seen or sums_of(rows, model.design, [w])[0]
+            s = _sigmoid(-p @ w)
+            down = (1 - v) * prior * (p.T @ s) / len(p) + v * prior * mean - v * g - decay * w
+            bend = (1 - v) * prior * (p.T @ (p * (s * (1 - s))[:, None])) / len(p) + v * h + np.diag(decay) + 1e-9 * np.eye(d)
+            step = np.linalg.solve(bend, down)
+            if np.abs(step).max() < 1e-2:
+                break
+            w, seen = w + step * min(1.0, 4 / np.abs(step).max()), None
+        return w, seen or sums_of(rows, model.design, [w])[0]
+
+    def bracket(w: np.ndarray, seen: tuple) -> float:
+        return seen[1] - prior * np.logaddexp(0, p @ w).mean()
+
+    low, high = 0.0, 1.0
+    v, (w, seen) = 0.01, minimum(0.01, np.zeros(d), None)
+    best = w
+    while bracket(w, seen) >= 0 and v < 1:
+        low, best, v = v, w, min(1.0, 4 * v)
+        w, seen = minimum(v, w, seen)
+    if bracket(w, seen) >= 0:
+        low, best, search = v, w, 0
+    high = v
+    for _ in range(search):
+        v = (low * high) ** 0.5 if low else high / 4
+        w, seen = minimum(v, w, seen)
+        if bracket(w, seen) >= 0:
+            low, best = v, w
+        else:
+            high = v
+    model.weights = best
     return model
 
 
@@ -220,45 +279,37 @@ def _part(total: int, most: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, most / max(1, total)) * (1 << 30))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 20_000, max_unlabelled: int = 20_000) -> Model:
-    """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), both outside the held-out rows.
+def train(rows: DataFrame, labels: DataFrame, max_positive: int = 20_000) -> Model:
+    """Fit on ``rows`` (doc_id, x; a table) and ``labels`` (doc_id, quality), both outside the held-out rows.
 
     A document labelled both 0 and 1 is not trusted. Null ids and labels are ignored.
     """
     trusted = labels.filter(~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = 1 and high = 1").select("doc_id")
     trusted = trusted.filter(_part(trusted.count(), max_positive))
-    base = docs.select("doc_id", "text")
-    rest = base.filter(~held_out() & F.col("doc_id").isNotNull())
-    positive = base.join(F.broadcast(trusted), "doc_id")  # about max_positive ids
-    unlabelled = rest.filter(_part(rest.count(), max_unlabelled))
-
-    def matrix(rows: DataFrame) -> np.ndarray:
-        got = measured(rows.select("doc_id", "text")).collect()
-        return np.array([r.x for r in sorted(got, key=lambda r: (r.doc_id, r.x))]).reshape(-1, WIDTH)
-
-    p, u = matrix(positive), matrix(unlabelled)
-    if not len(p) or not len(u):
+    rest = rows.filter(~held_out() & F.col("doc_id").isNotNull())
+    found = rest.select("doc_id", "x").join(F.broadcast(trusted), "doc_id").collect()  # about max_positive rows
+    p = np.array([r.x for r in sorted(found, key=lambda r: (r.doc_id, r.x))], "float64").reshape(-1, WIDTH)
+    if not len(p):
         return blank_model()
-    both = np.vstack([p, u])
-    model = Model(both.mean(axis=0), both.std(axis=0) + 1e-6, np.empty(0), 0.5)
-    halves = half_models(model.linear(p), model.linear(u))
-    half = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(max(1, len(halves)))).cast("int").alias("half")
-    model.prior = class_prior(halves, shares_above(rest.select(half, "text"), model, halves))
-    return fit(model, model.design(p), model.design(u))
+    n, *sums = np.split(array_sum(rest.select("x"), lambda b: np.concatenate([[b.num_rows], _matrix(b).sum(axis=0), np.square(_matrix(b)).sum(axis=0)]), 1 + 2 * WIDTH), [1, 1 + WIDTH])
+    mean = sums[0] / n
+    model = Model(mean, np.sqrt(np.maximum(0, sums[1] / n - mean * mean)) + 1e-6, np.empty(0), 0.5)
+    halved = rest.select("x", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2)).cast("int").alias("half"))
+    halves = half_models(model.linear(p), halved, model.linear)
+    model.prior = class_prior(halves, shares_above(halved, model, halves))
+    return fit(model, model.design(p), rest.select("x"))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Columns of ``docs`` with ``score`` in place of ``text``."""
-    keep = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*keep, F.lit(0.0).alias("score")).schema
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """Columns of ``rows`` with ``score`` in place of ``x``."""
+    keep = [c for c in rows.columns if c != "x"]
+    schema = rows.select(*keep, F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            score = model.score(np.array([features(t) for t in texts]).reshape(-1, WIDTH))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(_matrix(batch)))], names=[*keep, "score"])
 
-    return batches_of(docs, run, schema)
+    return batches_of(rows, run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
@@ -270,19 +321,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *
     positives all scores are 0.5. Further columns, of whatever names, are
     ignored.
     """
-    model = train(docs, labels, **options)
-    out = scored(docs.select("doc_id", "text"), model)
+    rows = written(measured(docs.select("doc_id", "text")))
+    out = scored(rows, train(rows, labels, **options))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns; see :func:`quality_scores`."""
-    model = train(docs, labels, **options)
+    model = train(written(measured(docs.select("doc_id", "text"))), labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            score = model.score(np.array([features(t) for t in texts]).reshape(-1, WIDTH))
+            score = model.score(np.array([features(t) for t in texts], "float32").astype("float64").reshape(-1, WIDTH))
             yield batch.filter(pa.array(score >= threshold))
 
     return batches_of(docs, run, docs.schema)

@@ -607,7 +607,7 @@ def test_quality(spark, sf_dir, docs, empty):
     assert quality.accepted(docs, few).columns == docs.columns
 
 
-def test_risk_and_its_gradient():
+def test_risk_and_its_gradient(spark):
     """The risk by its definition, its gradient by differences; the prior of a known mixture."""
     rng = np.random.default_rng(5)
     p, u, w, prior = rng.normal(size=(30, 6)), rng.normal(size=(50, 6)), rng.normal(size=6), 0.4
@@ -623,18 +623,43 @@ def test_risk_and_its_gradient():
         good = rng.random(8000) < share
         x[good, 1] += 4
         own = np.hstack([np.ones((3000, 1)), rng.normal(size=(3000, 2)) + [4, 0]])
-        halves = quality.half_models(own, x)
-        assert abs(quality.class_prior(halves, [(x @ m[0][:, None] >= m[1]).mean(axis=0) for m in halves]) - share) < 0.06
+        of, half = (lambda m: np.hstack([np.ones((len(m), 1)), m[:, :2]])), np.arange(8000) % 2
+        rows = spark.createDataFrame([([*map(float, r[1:]), *[0.0] * (quality.WIDTH - 2)], int(h)) for r, h in zip(x, half, strict=True)], "x array<float>, half int").repartition(3)
+        halves = quality.half_models(own, rows, of)
+        assert abs(quality.class_prior(halves, [(x[half == 1 - k] @ m[0][:, None] >= m[1]).mean(axis=0) for k, m in enumerate(halves)]) - share) < 0.06
+
+
+def test_fit_finds_the_least_risk_whatever_the_partitioning(spark):
+    """No direction from the fitted weights lowers the non-negative risk at a bracket of zero or above; tasks change nothing."""
+    rng = np.random.default_rng(8)
+    u = rng.normal(size=(300, quality.WIDTH)).astype("float32")
+    u[:180, :3] += 1.5
+    base = quality.Model(u.mean(axis=0).astype(float), u.std(axis=0).astype(float), np.empty(0), 0.6)
+    p, wide = base.design(u[:60].astype(float)), base.design(u.astype(float))
+    rows = spark.createDataFrame([(r.tolist(),) for r in u], "x array<float>")
+    few = np.r_[np.zeros(1 + len(quality.FEATURES)), np.full(quality.BUCKETS, 20.0), np.ones(p.shape[1] - 1 - len(quality.FEATURES) - quality.BUCKETS)]
+    decay = 5e-4 + few / len(p)
+    found = []
+    for n in (1, 5):
+        path = rows.repartition(n)
+        found.append(quality.fit(quality.Model(base.mean, base.scale, np.empty(0), 0.6), p, path, search=9).weights)
+    assert np.allclose(*found, atol=1e-5)
+    positive, bracket, down, up = quality.pu_risk(found[0], p, wide, 0.6)
+    assert 0 <= bracket < 0.02
+    # of the pull of the bracket some share between 0 and 1 balances the other pulls
+    rest = down + decay * found[0]
+    share = -(rest @ up) / (up @ up)
+    assert 0 <= share <= 1 and np.abs(rest + share * up).max() < 0.02
 
 
 def test_quality_of_long_texts_and_shares_over_all_rows(spark):
     assert len(quality.features("word. " * 300_000)) == len(quality.features(None)) == quality.WIDTH
-    rows = [(k % 2, f"text {k} " * (k % 5)) for k in range(60)]
+    rows = [(k % 2, [float(v) for v in quality.features(f"text {k} " * (k % 5))]) for k in range(60)]
     model = quality.blank_model()
     halves = [(np.arange(1.0, 2 + quality.WIDTH), np.array([-1.0, 40.0]), np.ones(2)), (-np.arange(1.0, 2 + quality.WIDTH), np.array([0.0]), np.ones(1))]
-    got = quality.shares_above(spark.createDataFrame(rows, "half int, text string").repartition(3), model, halves)
+    got = quality.shares_above(spark.createDataFrame(rows, "half int, x array<float>").repartition(3), model, halves)
     for k, (w, at, _) in enumerate(halves):
-        x = model.linear(np.array([quality.features(t) for h, t in rows if h == k])) @ w
+        x = model.linear(np.array([x for h, x in rows if h == 1 - k], "float32").astype(float)) @ w
         assert np.allclose(got[k], (x[:, None] >= at).mean(axis=0))
 
 
