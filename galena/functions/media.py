@@ -124,6 +124,59 @@ def thumb_hash_text(width: pd.Series, height: pd.Series, rgba: pd.Series) -> pd.
     return pd.Series([None if b is None else base64.b64encode(thumb_hash(int(w), int(h), b)).decode() for w, h, b in zip(width, height, rgba, strict=True)])
 
 
+def thumb_hash_pixels(data: bytes) -> tuple[int, int, bytes] | None:
+    """(width, height, RGBA) that a ThumbHash stands for, 32 along its longer side; null for what is no hash.
+
+    Coefficients are unpacked into a triangle of a matrix for each channel and
+    brought back by an inverse cosine transform, one product along each axis.
+    Entries past the end count as zero.
+    """
+    if len(data) < 5:
+        return None
+    head, more = int.from_bytes(data[:3], "little"), int.from_bytes(data[3:5], "little")
+    has_alpha, wide, own = head >> 23, more >> 15, more & 7
+    limit = 5 if has_alpha else 7
+    if not own:
+        return None
+    ratio = limit / own if wide else own / limit
+    width, height = (int(np.floor(v + 0.5)) for v in ((32, 32 / ratio) if ratio > 1 else (32 * ratio, 32)))
+    digits = iter([d for x in data[6 if has_alpha else 5 :] for d in (x & 15, x >> 4)])
+
+    def channel(across: int, down: int, mean: float, scale: float) -> np.ndarray:
+        c = np.zeros((down, across))
+        for y in range(down):
+            for x in range(across):
+                if (x or y) and x * down < across * (down - y):
+                    c[y, x] = 2 * (next(digits, 0) / 7.5 - 1) * scale
+        c[0, 0] = mean
+        fx = np.cos(np.pi / width * np.outer(np.arange(across), np.arange(width) + 0.5))
+        fy = np.cos(np.pi / height * np.outer(np.arange(down), np.arange(height) + 0.5))
+        return fy.T @ c @ fx
+
+    light = channel(max(3, limit if wide else own), max(3, own if wide else limit), (head & 63) / 63, (head >> 18 & 31) / 31)
+    p = channel(3, 3, (head >> 6 & 63) / 31.5 - 1, (more >> 3 & 63) / 63 * 1.25)
+    q = channel(3, 3, (head >> 12 & 63) / 31.5 - 1, (more >> 9 & 63) / 63 * 1.25)
+    first = data[5] if len(data) > 5 else 0
+    alpha = channel(5, 5, (first & 15) / 15, (first >> 4) / 15) if has_alpha else np.ones((height, width))
+    b = light - 2 / 3 * p
+    r = (3 * light - b + q) / 2
+    return width, height, np.floor(255 * np.clip(np.stack([r, r - q, b, alpha], axis=-1), 0, 1)).astype("uint8").tobytes()
+
+
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("rgba", T.BinaryType())]))
+def thumb_hash_image(text: pd.Series) -> pd.DataFrame:
+    """Struct width, height and RGBA bytes of a ThumbHash in base 64; nulls for what is none."""
+
+    def one(t: str | None) -> tuple:
+        try:
+            found = None if t is None else thumb_hash_pixels(base64.b64decode(t, validate=True))
+        except ValueError:
+            found = None
+        return found or (None, None, None)
+
+    return pd.DataFrame([one(t) for t in text], columns=["width", "height", "rgba"])
+
+
 def thumb_hash_ratio(text: Column) -> Column:
     """Width by height as a ThumbHash has it."""
     raw = F.hex(F.unbase64(text))

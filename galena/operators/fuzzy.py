@@ -51,23 +51,52 @@ def spread(name: Column, query: str) -> Column:
     return F.length(F.regexp_extract(F.lower(folded(name)), in_order(_bare(query).lower()), 0))
 
 
+#: The first character of each initial letter in the GB 2312 order of sounds, from a to z; none begins with i, u or v.
+FIRST_OF_INITIAL = dict(zip("abcdefghjklmnopqrstwxyz", "啊芭擦搭蛾发噶哈击喀垃妈拿哦啪期然撒塌挖昔压匝", strict=True))
+
+
+@cache
+def initial_sounds() -> dict[str, list[str]]:
+    """The initial letter of each of the 3,755 common characters, which GB 2312 lists in the order of their sounds.
+
+    Enough for searches by initials; a table of whole sounds is a parameter.
+    """
+    codes = {c.encode("gb2312"): letter for letter, c in FIRST_OF_INITIAL.items()}
+    out, letter = {}, ""
+    for row in range(0xB0, 0xD8):
+        for cell in range(0xA1, 0xFF if row < 0xD7 else 0xFA):
+            code = bytes((row, cell))
+            letter = codes.get(code, letter)
+            out[code.decode("gb2312")] = [letter]
+    return out
+
+
 def best_pinyin(name: str, query: str, sounds: dict[str, list[str]]) -> tuple[int, int, int] | None:
-    """(start, span, end) of the best match of ``query`` by full or initial sounds of the characters."""
-    best = None
-    for start in range(len(name)):
-        todo = [(start, query)]
-        while todo:
-            at, rest = todo.pop()
-            if not rest:
-                found = (start, at - 1 - start, at - 1)
-                best = found if best is None or found < best else best
-                continue
-            if at >= len(name):
-                continue
-            for sound in sounds.get(name[at], [name[at].lower()]):
-                todo += [(at + 1, rest[len(cut) :]) for cut in {sound, sound[:1]} if cut and rest.startswith(cut)]
-                if at > start and len(rest) < len(sound) and sound.startswith(rest):
-                    todo.append((at + 1, ""))
+    """(start, span, end) of the best match of ``query`` by full or initial sounds of the characters, the last sound perhaps unfinished.
+
+    From the last character to the first, ends[k] is the least end of a match
+    of query[k:] that begins there: time is that of name, query and sounds.
+    """
+    n, best = len(query), None
+    ends: list[int | None] = [None] * n + [-1]  # past the name only nothing matches
+    for at in range(len(name) - 1, -1, -1):
+        own: list[int | None] = [None] * n
+        begin: int | None = None
+        for sound in sounds.get(name[at], [name[at].lower()]):
+            for k in range(n):
+                for cut in {sound, sound[:1]}:
+                    if cut and query.startswith(cut, k):
+                        rest = k + len(cut)
+                        end = at if rest == n else ends[rest]
+                        if end is not None:
+                            own[k] = end if own[k] is None else min(own[k], end)
+                            if k == 0:
+                                begin = end if begin is None else min(begin, end)
+                if n - k < len(sound) and sound.startswith(query[k:]):
+                    own[k] = at  # the least end there is
+        if begin is not None:
+            best = at, begin - at, begin
+        ends = [*own, -1]
     return best
 
 

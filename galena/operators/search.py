@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.functions.scalars import json_object
@@ -99,3 +99,28 @@ def saved_order(preferences: Column) -> Column:
     old = F.coalesce(*(F.when(p["sortBy"] == name, pair) for name, pair in zip(OLD_ORDERS, pairs, strict=True)))
     new = F.when(p["sortBy"].isin(*SORTABLE), F.struct(p["sortBy"].alias("sort_by"), F.when(p["sortDirection"].isin("asc", "desc"), p["sortDirection"]).otherwise("desc").alias("direction")))
     return F.coalesce(old, new, pairs[0])
+
+
+def prewarm(ranked: DataFrame, viewports: DataFrame, bucket: int = 64) -> DataFrame:
+    """(view, id, place): rows that each viewport shows, and as many ahead of it, 12 to 36, as it shows.
+
+    ``ranked`` has id and rank from 1; ``viewports`` has view, first and last
+    (ranks it shows, from 1; last before first: none) and forward. Ahead is
+    past the last row, or before the first; what is shown comes first in
+    place. Bands meet rows by buckets of ranks, so a viewport's cost is that of
+    its rows.
+    """
+    total = ranked.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("n"))
+    v = viewports.crossJoin(F.broadcast(total))  # one row
+    shows = F.col("last") >= F.col("first")
+    low, high = F.when(shows, F.col("first")).otherwise(F.lit(1)), F.when(shows, F.col("last")).otherwise(F.lit(0))
+    n = F.greatest(F.least(high, F.col("n")) - low + 1, F.lit(0))
+    ahead = F.greatest(F.lit(12), F.least(F.lit(36), n))
+    band = lambda a, b, part: F.struct(F.greatest(a, F.lit(1)).cast("long").alias("a"), F.least(b, F.col("n")).cast("long").alias("b"), F.lit(part).alias("part"))
+    bands = F.array(band(low, high, 0), F.when(F.col("forward"), band(high + 1, high + ahead, 1)).otherwise(band(low - ahead, low - 1, 1)))
+    each = v.select("view", F.explode(bands).alias("s")).select("view", "s.*").filter("a <= b")
+    each = each.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("a") / bucket), F.floor(F.col("b") / bucket))))
+    rows = ranked.select("id", "rank", F.floor(F.col("rank") / bucket).alias("_bucket"))
+    met = each.join(rows, "_bucket").filter("rank BETWEEN a AND b")
+    place = F.row_number().over(Window.partitionBy("view").orderBy("part", "rank"))
+    return met.select("view", "id", place.alias("place"))

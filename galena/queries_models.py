@@ -7,7 +7,10 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galena.functions import media
 from galena.functions import tensors as images
+from galena.operators import fuzzy, search
+from galena.operators.ranking import numbered
 from galena.queries import query
 from galena.session import shared_folder
 from galena.sources import listing, tensors
@@ -103,3 +106,45 @@ def image_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels_of(spark, sf_dir).withColumn("t", images.image_patches(F.lit(8), F.lit(8), F.col("rgb")))
     corner = lambda at: F.round(F.get("t.patches", at), 5).cast("double")
     return p.select("id", "t.max_patches", "t.grid_height", "t.grid_width", F.aggregate("t.mask", F.lit(0), lambda s, x: s + x).alias("valid"), corner(F.lit(0)).alias("first"), corner(F.lit(121 * 768 - 1)).alias("last"))
+
+
+@query("SELECT vec_id AS id, 32 AS width, 32 AS height, TRUE AS near FROM embeddings")
+def hash_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images through a ThumbHash and back: their size by the format, their mean within its rounding."""
+    p = pixels_of(spark, sf_dir)
+    rgba = F.unhex(F.regexp_replace(F.hex("rgb"), "(.{6})", "$1FF"))
+    back = p.select("id", "rgb", media.thumb_hash_image(media.thumb_hash_text(F.lit(8), F.lit(8), rgba)).alias("t"))
+    mean = lambda data, step: F.aggregate(F.sequence(F.lit(1), F.length(data), F.lit(step)), F.lit(0.0), lambda s, k: s + F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 10).cast("double")) / (F.length(data) / step)
+    near = F.abs(mean(F.col("rgb"), 3) - mean(F.col("t.rgba"), 4)) < 255 / 126 + 3
+    return back.select("id", "t.width", "t.height", near.alias("near"))
+
+
+@query(
+    """WITH n AS (SELECT id, translate(CAST(id AS VARCHAR), '0123456789', 'lyesswlqbj') AS sounds FROM files),
+    h AS (SELECT id, instr(sounds, 'ss') - 1 AS start FROM n WHERE contains(sounds, 'ss'))
+    SELECT id, row_number() OVER (ORDER BY start, id) AS place FROM h""",
+    "files",
+)
+def pinyin_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of Chinese figures found by the initials of their sounds, the earliest match first."""
+    own = F.concat(F.translate(F.col("id").cast("string"), "0123456789", "零一二三四五六七八九"), F.lit(".jpg"))
+    found = fuzzy.fuzzy_files(view(spark, sf_dir, "files").select("id", own.alias("name")), "ss", fuzzy.initial_sounds())
+    return numbered(found.select("id", "tier", "pinyin", "spread", "key"), fuzzy.fuzzy_order(), "place").select("id", "place")
+
+
+@query(
+    """WITH r AS (SELECT id, row_number() OVER (ORDER BY size DESC, $TAIL) AS rank, count(*) OVER () AS n FROM files WHERE $ACTIVE),
+    v AS (SELECT event_id AS view, 1 + event_id * 13 % 900 AS first, event_id * 13 % 900 + user_id % 50 AS last, event_type <> 'view' AS forward FROM events WHERE event_type IN ('view', 'purchase')),
+    w AS (SELECT *, CASE WHEN last >= first THEN first ELSE 1 END AS low, CASE WHEN last >= first THEN last ELSE 0 END AS high FROM v),
+    x AS (SELECT *, greatest(12, least(36, greatest(0, least(high, (SELECT max(n) FROM r)) - low + 1))) AS ahead FROM w),
+    m AS (SELECT view, id, CASE WHEN rank BETWEEN low AND high THEN 0 ELSE 1 END AS part, rank FROM x JOIN r ON rank BETWEEN low AND high OR forward AND rank BETWEEN high + 1 AND high + ahead OR NOT forward AND rank BETWEEN low - ahead AND low - 1)
+    SELECT view, id, row_number() OVER (PARTITION BY view ORDER BY part, rank) AS place FROM m""",
+    "files",
+)
+def prewarmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that viewports show and those ahead of them; the viewports are events."""
+    ranked = numbered(view(spark, sf_dir, "files").filter("deleted_at IS NULL AND missing_at IS NULL").select("id", "size", "imported_at"), [F.col("size").desc(), F.col("imported_at").desc(), F.col("id").asc()])
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_type").isin("view", "purchase"))
+    start = F.col("event_id") * 13 % 900
+    views = e.select(F.col("event_id").alias("view"), (start + 1).alias("first"), (start + F.col("user_id") % 50).alias("last"), (F.col("event_type") != "view").alias("forward"))
+    return search.prewarm(ranked, views)
