@@ -146,36 +146,6 @@ def index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(s, [F.col("imported_at").desc(), F.col("id").asc()]).select("id", "rank")
 
 
-@query("SELECT f.id, e.temp_path, f.normalized_path FROM folders f JOIN folder_trash_entries e ON e.folder_id = f.id", "folders", "folder_trash_entries")
-def trashed_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, f = view(spark, sf_dir, "folder_trash_entries"), view(spark, sf_dir, "folders")
-    return f.join(e.drop("deleted_at"), F.col("id") == F.col("folder_id")).select("id", "temp_path", "normalized_path")
-
-
-@query(
-    """SELECT id, coalesce(description, '') AS description, coalesce(rating, 0) AS rating, coalesce(nullif(dominant_color, ''), '') AS dominant_color,
-    coalesce(content_hash, '') AS content_hash, folder_id IS NULL AS unfiled FROM files""",
-    "files",
-)
-def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as records: what is null has its default."""
-    return files_of(spark, sf_dir).select("id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("description", "dominant_color", "content_hash")), F.coalesce("rating", F.lit(0)).alias("rating"), F.col("folder_id").isNull().alias("unfiled"))
-
-
-@query("SELECT id, name, coalesce(is_system, 0) AS is_system, coalesce(sort_order, 0) AS sort_order FROM folders", "folders")
-def folder_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "folders").select("id", "name", F.coalesce("is_system", F.lit(0)).alias("is_system"), F.coalesce("sort_order", F.lit(0)).alias("sort_order"))
-
-
-@query("""SELECT id, 2 AS n, dominant_color AS first, CAST(60 AS DOUBLE) AS share FROM files WHERE dominant_color <> ''""", "files")
-def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Palettes from their JSON text."""
-    f = files_of(spark, sf_dir).filter("dominant_color <> ''")
-    text = F.concat(F.lit('[{"color":"'), F.col("dominant_color"), F.lit('","percentage":60.0},{"color":"#000000","percentage":40}]'))
-    p = F.from_json(text, "array<struct<color:string,percentage:double>>")
-    return f.select("id", p.alias("p")).select("id", F.size("p").alias("n"), F.col("p")[0]["color"].alias("first"), F.col("p")[0]["percentage"].alias("share"))
-
-
 # ---------------------------------------------------------------- changes
 
 

@@ -321,3 +321,28 @@ def remove_files(paths: DataFrame, root: str) -> int:
             yield pa.RecordBatch.from_pydict({"n": [len(there)]})
 
     return paths.select("path").distinct().mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def copy_files(pairs: DataFrame, move: bool = False) -> int:
+    """Copy files (source, target: paths), or move them, each whole or not at all; sources that are gone are passed over. The number done."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            done = 0
+            for source, target in zip(part.column("source").to_pylist(), part.column("target").to_pylist(), strict=True):
+                if not source or not target or source == target:
+                    continue
+                store, own = file_system(source)
+                _, to = file_system(target)
+                if store.get_file_info(own).type != fs.FileType.File:
+                    continue
+                store.create_dir(to.rpartition("/")[0], recursive=True)
+                if move:
+                    store.move(own, to)
+                else:
+                    store.copy_file(own, f"{to}.part")
+                    store.move(f"{to}.part", to)
+                done += 1
+            yield pa.RecordBatch.from_pydict({"n": [done]})
+
+    return pairs.select("source", "target").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
