@@ -127,10 +127,9 @@ def with_tiers(rows: DataFrame, query: str, *keys: Column, sounds: dict[str, lis
     return hits.filter("tier is not null or pinyin is not null").withColumn("tier", F.coalesce("tier", F.lit(PINYIN)))
 
 
-def fuzzy_order(place: Column | None = None) -> list[Column]:
-    """Best first: tier, spread, the matched text in dictionary order, then ``place`` (the order before the search; else the id)."""
-    place = F.col("id") if place is None else place
-    return [F.col("tier").desc(), F.col("pinyin").asc(), F.col("spread").asc(), F.collate(F.when(F.col("tier") > PINYIN, F.col("key")), "UNICODE").asc(), place.asc()]
+def fuzzy_order(*before: Column) -> list[Column]:
+    """Best first: tier, spread, the matched text in dictionary order, then the order ``before`` the search; else the id."""
+    return [F.col("tier").desc(), F.col("pinyin").asc(), F.col("spread").asc(), F.collate(F.when(F.col("tier") > PINYIN, F.col("key")), "UNICODE").asc(), *(before or [F.col("id").asc()])]
 
 
 def fuzzy_files(files: DataFrame, query: str, sounds: dict[str, list[str]] | None = None) -> DataFrame:

@@ -49,8 +49,7 @@ def search_files(
         found, order = scoped(files, file_tags, embeddings, spec, sort_by, direction)
         return _page(found, order, file_tags, tags, page, page_size)
     inside, order = scoped(files, file_tags, embeddings, replace(spec, query=None), sort_by, direction)
-    hits = fuzzy.fuzzy_files(numbered(inside, order, "_place"), query, sounds)
-    return _page(hits, fuzzy.fuzzy_order(F.col("_place")), file_tags, tags, page, page_size)
+    return _page(fuzzy.fuzzy_files(inside, query, sounds), fuzzy.fuzzy_order(*order), file_tags, tags, page, page_size)
 
 
 def search_by_vector(

@@ -94,9 +94,9 @@ def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(page, F.round("score", 6).alias("score"))
 
 
-@query("SELECT id FROM (SELECT id FROM files WHERE id IN (5, 3, 99, 17, 40)) s WHERE id IN (SELECT id FROM files WHERE $ACTIVE AND rating >= 1)", "files")
+@query("SELECT id FROM files WHERE id IN (SELECT unnest(range(3, 400, 7))) AND id IN (SELECT id FROM files WHERE $ACTIVE AND rating >= 1)", "files")
 def selection_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = library.multi_get(files_of(spark, sf_dir), [5, 3, 99, 17, 40]).select("id", "pos")
+    chosen = library.multi_get(files_of(spark, sf_dir), list(range(3, 400, 7))).select("id", "pos")
     return search.selection_kept(chosen, files_of(spark, sf_dir).filter(filters.predicate(FilterSpec(min_rating=1)))).select("id")
 
 
@@ -638,15 +638,15 @@ def fuzzy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH RECURSIVE e AS (SELECT ts, event_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM fs_events WHERE path = 'file7'),
-    f AS (SELECT n, event_id, ts, ts AS armed FROM e WHERE n = 1
-          UNION ALL SELECT e.n, e.event_id, e.ts, CASE WHEN e.ts - f.armed >= INTERVAL 6 HOUR THEN e.ts ELSE f.armed END FROM f JOIN e ON e.n = f.n + 1)
+    WITH RECURSIVE e AS (SELECT path, ts, event_id, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) AS n FROM fs_events),
+    f AS (SELECT path, n, event_id, ts, ts AS armed FROM e WHERE n = 1
+          UNION ALL SELECT e.path, e.n, e.event_id, e.ts, CASE WHEN e.ts - f.armed >= INTERVAL 6 HOUR THEN e.ts ELSE f.armed END FROM f JOIN e ON e.path = f.path AND e.n = f.n + 1)
     SELECT event_id, armed FROM f""",
     "fs_events",
 )
 def armed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that their first event begins: throttled scans, summaries and refreshes."""
-    own = view(spark, sf_dir, "fs_events").filter("path = 'file7'").select("path", "ts", "event_id")
+    own = view(spark, sf_dir, "fs_events").select("path", "ts", "event_id")
     return events.armed_windows(own, ["path"], 6 * 3600 * 1000).select("event_id", F.col("armed").cast("timestamp_ntz").alias("armed"))
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from tempfile import mkdtemp
 from uuid import uuid4
 
@@ -39,8 +42,32 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folder of the tables of the innermost :func:`scratch`.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one for tables that are ``written`` inside; it goes at the end.
+
+    Write the result elsewhere before: what is read from such a table is gone
+    with it.
+    """
+    from galena.sources.files import file_system
+
+    folder = f"{shared_folder(spark)}/scratch-{uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        store, own = file_system(folder)
+        if store.get_file_info(own).type.name == "Directory":
+            store.delete_dir(own)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and its size is known to the planner."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
+    path = f"{_scratch.get() or shared_folder(df.sparkSession)}/{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

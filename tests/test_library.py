@@ -375,3 +375,15 @@ def test_text_search_falls_back_to_names_without_a_model(spark):
     assert [r.id for r in by_vector.rows.orderBy("rank").collect()] == [3, 2] and (by_vector.total, by_vector.total_pages) == (4, 2)
     with pytest.raises(ValueError):
         search.search_by_text(f, links, tags, e, FilterSpec(), "x", None, configured=True)
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    from galena.session import scratch, written
+
+    with scratch(spark) as folder:
+        own = Path(folder.removeprefix("file:"))
+        written(written(spark.range(5)).filter("id > 1")).write.parquet(f"{tmp_path}/out")
+        assert len(list(own.iterdir())) == 2
+    assert not own.exists() and spark.read.parquet(f"{tmp_path}/out").count() == 3
