@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from galena.functions import formats
 from galena.functions.scalars import dot
+from galena.operators.cells import SLACK, choose_pivots, meetings, placed
 from galena.operators.components import smallest_reachable
 from galena.operators.ranking import numbered
 from galena.plans.filters import is_active
@@ -116,22 +117,48 @@ def best_forest(u: np.ndarray, v: np.ndarray, score: np.ndarray, n: int) -> np.n
             tree = to[tree]
 
 
-def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1024, links_only: bool = False) -> DataFrame:
+def without_copies(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with one of each group of equal vectors, the smallest id, and (model_id, dimensions, a, b, score) that tie the others to it.
+
+    Vectors too short to be similar to their own copy all stay.
+    """
+    key, own = ["model_id", "dimensions"], dot(F.col("embedding"), F.col("embedding"))
+    ties = (own >= threshold) & ~F.isnan(own)
+    firsts = written(rows.filter(ties).groupBy(*key, "embedding").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+    crowds = firsts.filter("n > 1").select(*key, "embedding", "first")
+    copies = rows.filter(ties).join(crowds, [*key, "embedding"]).filter(F.col("id") != F.col("first"))
+    links = copies.select(*key, F.col("first").alias("a"), F.col("id").alias("b"), own.alias("score"))
+    return firsts.select(*key, F.col("first").alias("id"), "embedding").unionByName(rows.filter(~ties)), links
+
+
+def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1024, links_only: bool = False, most_pivots: int = 2048) -> DataFrame:
     """(model_id, dimensions, a, b, score) of pairs at or above ``threshold``, a before b.
 
-    All pairs are compared, a block of rows against a block, as matrix
-    products; a task holds two blocks. ``links_only`` gives the best pairs that
-    connect all that are similar, at most ``2 * block`` of them for a pair of
-    blocks, so a group of copies does not yield all its pairs. Every group's
-    best pair is among them.
+    Exact: no pair is missed. A product of at least ``threshold`` bounds the
+    distance of two vectors by their lengths, so a vector meets only the cells
+    of :mod:`galena.operators.cells` in its reach, and within them a block of
+    rows meets a block, as matrix products; a task holds two blocks. Where
+    vectors cluster and the threshold is high that is a small part of all
+    pairs; where every cell is in reach all blocks meet. ``most_pivots`` bears
+    on speed only: the numbers that the driver and each task hold are at most
+    that many vectors.
+
+    ``links_only`` gives the best pairs that connect all that are similar, at
+    most ``2 * block`` of them for a pair of blocks, and equal vectors are one,
+    so a group of copies does not yield all its pairs. Every group's best pair
+    is among them. Vectors that hold a value that is not a number have no pair.
     """
     key = ["model_id", "dimensions"]
-    size = cands.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / block).cast("int")
-    rows = cands.select(*key, "id", "embedding").join(size, key)  # one row per model: small, but left to the planner
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    dealt = rows.withColumn("p", F.explode(pairs)).select(*key, "own", "id", "embedding", "p.i", "p.j")
+    square = dot(F.col("embedding"), F.col("embedding"))
+    rows = cands.select(*key, "id", "embedding").filter(~F.isnan(square))
+    rows, copies = without_copies(rows, threshold) if links_only else (rows, None)
+    rows = written(rows.withColumn("square", square))
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("most"))
+    pivots = choose_pivots(rows, sizes, block, most_pivots)
+    apart = F.col("square") + F.col("most")  # squared distance, but for twice the product
+    reach = F.sqrt(F.greatest(apart - 2 * threshold, F.lit(0.0)) + SLACK * (apart + 1))
+    # one row per model joins: small, but left to the planner
+    cells = written(placed(rows.join(sizes, key).select(*key, "id", "embedding", reach.alias("reach")), pivots))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", ignore_index=True)
@@ -153,7 +180,8 @@ def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1
             u, v, exact = u[chosen], v[chosen], exact[chosen]
         return pd.DataFrame({"model_id": frame["model_id"].iat[0], "dimensions": frame["dimensions"].iat[0], "a": ids[u], "b": ids[v], "score": exact})
 
-    return dealt.groupBy(*key, "i", "j").applyInPandas(compare, "model_id string, dimensions int, a long, b long, score double")
+    pairs = meetings(cells, block).groupBy(*key, "cell", "i", "j").applyInPandas(compare, "model_id string, dimensions int, a long, b long, score double")
+    return pairs.unionByName(copies) if links_only else pairs
 
 
 def similar_groups(cands: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galena.functions import formats, media, scalars
-from galena.operators import fuzzy, library, mutations, sync, tasks, trees, vectors
+from galena.operators import cells, fuzzy, library, mutations, sync, tasks, trees, vectors
 from galena.plans import filters
 from galena.plans.filters import FilterSpec
 from galena.sources import scan
@@ -66,6 +66,55 @@ def test_pairs_in_blocks_equal_pairs_at_once(spark):
     assert at_once == blocks == {(i, j) for i in range(60) for j in range(i + 1, 60) if y[i] @ y[j] >= 0.5}
 
 
+def test_a_vector_visits_only_cells_in_its_reach():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    x = np.repeat(centres, 50, axis=0) + 0.02 * rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pivots = x[::50]
+    home, visits = cells.homes_and_visits(x, np.full(len(x), np.sqrt(2 - 2 * 0.94)), pivots, cells.gaps_of(pivots))
+    assert visits.mean() < 0.05  # clusters apart: next to no visits
+    near = np.argwhere(np.triu(x @ x.T >= 0.94, 1))
+    meets = (home[near[:, 0]] == home[near[:, 1]]).astype(int) + visits[near[:, 0], home[near[:, 1]]] + visits[near[:, 1], home[near[:, 0]]]
+    assert (meets == 1).all()
+    wide = cells.homes_and_visits(x, np.full(len(x), np.inf), pivots, cells.gaps_of(pivots))[1]
+    assert wide.sum() == sum((home == i).sum() for i in range(40) for j in range(40) if i != j and ((i + j) % 2 == 1) == (i < j))
+
+
+@pytest.mark.parametrize("block,most", [(1000, 2048), (5, 2048), (5, 6), (9, 0)])
+def test_pairs_of_clusters_copies_and_unequal_lengths(spark, block, most):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(6, 4)), 12, axis=0) + 0.2 * rng.normal(size=(72, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[::7] *= rng.uniform(0.5, 3, size=(len(x[::7]), 1))
+    x[40:52] = x[40]  # copies
+    x[60:64] = 0.1 * x[60]  # copies that are not like each other
+    x[70], x[71, 0] = 0, np.nan
+    y = x.astype(np.float32)
+    shape = "model_id string, dimensions int, id long, embedding array<float>"
+    c = spark.createDataFrame([("mn"[k % 5 == 0], 4, k, [float(v) for v in r]) for k, r in enumerate(y)], shape)
+    z = y.astype(float)
+    for t in (0.94, 0.2):
+        want = {(i, j) for i in range(72) for j in range(i + 1, 72) if (i % 5 == 0) == (j % 5 == 0) and z[i] @ z[j] >= t}
+        got = [(r.a, r.b) for r in vectors.similar_pairs(c, t, block, most_pivots=most).collect()]
+        assert sorted(got) == sorted(want)
+        links = vectors.similar_pairs(c, t, block, True, most).collect()
+        assert {(r.a, r.b) for r in links} <= want and all(abs(r.score - z[r.a] @ z[r.b]) < 1e-12 for r in links)
+        assert parts_of(want) == parts_of([(r.a, r.b) for r in links])
+        for group in parts_of(want):
+            assert max(z[i] @ z[j] for i, j in want if i in group) == pytest.approx(max(r.score for r in links if r.a in group), abs=1e-12)
+    assert vectors.similar_pairs(c.limit(0), 0.5, block, True, most).count() == vectors.similar_pairs(c.limit(0), 0.5, block).count() == 0
+
+
+def parts_of(pairs):
+    """Connected sets of the numbers in ``pairs``."""
+    sets = {k: frozenset([k]) for p in pairs for k in p}
+    for a, b in pairs:
+        both = sets[a] | sets[b]
+        sets |= {k: both for k in both}
+    return set(sets.values())
+
+
 def test_fuzzy_within_a_folder(spark):
     f = files(spark, [{"id": 1, "name": "Music Player.png", "folder_id": 1}, {"id": 2, "name": "Design Pattern.jpg", "folder_id": 1}, {"id": 3, "name": "Music Player.png"}])
     inside = f.filter(filters.predicate(FilterSpec(folder_id=1)))
