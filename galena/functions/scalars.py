@@ -11,7 +11,6 @@ from galena.functions import formats
 TAG_COLORS = ["#ef4444", "#f97316", "#eab308", "#22c55e", "#14b8a6", "#3b82f6", "#8b5cf6", "#ec4899"]
 CACHE_VERSION = "v4"
 PIXELS, EDGE, BYTES = 10_000_000, 3840, 8 * 1024 * 1024
-SITE = "xiaohongshu.com"
 
 
 def parse_hex_color(value: Column) -> Column:
@@ -177,13 +176,6 @@ def normalize_image_url(url: Column) -> Column:
     return F.when(url.rlike(r"^(?i)https?://[^\s/]+"), F.regexp_replace(F.trim(url), r"#.*$", ""))
 
 
-def canonical_note_url(url: Column) -> Column:
-    """Note pages of the one site known by its item, without a query; other URLs as they are."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    item = F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"^/(?:explore|discovery/item|user/profile/[^/]+)/([0-9A-Za-z]+)", 1)
-    return F.when(host.rlike(rf"(^|\.){SITE}$") & (item != ""), F.concat(F.lit(f"https://www.{SITE}/explore/"), item)).otherwise(url)
-
-
 def dot(a: Column, b: Column) -> Column:
     """Inner product summed in double precision, left to right; null unless the lengths agree."""
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

@@ -89,6 +89,24 @@ def resolve(base: Column, reference: Column) -> Column:
     return let(split, lambda p: let(targets(p), whole))
 
 
+# The one site whose notes are known, and the paths of its notes and lists of notes.
+NOTE_SITE, NOTE_PATHS = "xiaohongshu.com", ("/explore", "/discovery/item", "/search_result")
+
+
+def note_url(base: Column, href: Column) -> Column:
+    """Absolute address of ``href`` on page ``base`` if it is a note, or a list of notes, of the known site; null otherwise.
+
+    A host counts that has the site's name in it. Query and fragment stay.
+    """
+
+    def kept(url: Column) -> Column:
+        p = parts(url)
+        paths = [(p["path"] == x) | p["path"].startswith(f"{x}/") for x in NOTE_PATHS]
+        return F.when(p["host"].contains(NOTE_SITE) & (paths[0] | paths[1] | paths[2]), url)
+
+    return F.when(F.trim(href) != "", let(resolve(base, href), kept))
+
+
 def prefix(text: Column, units: int) -> Column:
     """At most ``units`` UTF-16 units from the front; a character of two units that would be cut goes."""
 

@@ -110,3 +110,58 @@ def clear_system_flag(folders: DataFrame, name: str | None = None, folder_id: in
     if folder_id is not None:
         hit = hit | (F.col("id") == folder_id)
     return folders.withColumn("is_system", F.when(hit, F.lit(0)).otherwise(F.col("is_system")))
+
+
+CLIPBOARD_VERSION = 1
+EDGES = r"^[\s\x{FEFF}\p{Z}]+|[\s\x{FEFF}\p{Z}]+$"
+
+
+def clipboard_payloads(files: DataFrame, tags: DataFrame, group: str) -> DataFrame:
+    """(``group``, payload): the files of a selection as JSON text that can be pasted as imports, by id, with their tags.
+
+    ``tags`` has file_id, tag_id and ord. A selection is a row, so it is to be one that a user can hold.
+    """
+    own = tags.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tag_id"))), lambda t: t["tag_id"]).alias("tags"))
+    item = F.struct(
+        F.col("path").alias("sourcePath"), "ext", F.coalesce("rating", F.lit(0)).alias("rating"), F.coalesce("description", F.lit("")).alias("description"),
+        F.coalesce("source_url", F.lit("")).alias("sourceUrl"), F.coalesce("tags", F.array().cast("array<long>")).alias("tagIds"),
+    )
+    whole = files.join(own, files["id"] == own["file_id"], "left").groupBy(group).agg(F.array_sort(F.collect_list(F.struct("id", item.alias("item")))).alias("items"))
+    return whole.select(group, F.to_json(F.struct(F.lit(CLIPBOARD_VERSION).alias("version"), F.transform("items", lambda i: i["item"]).alias("items"))).alias("payload"))
+
+
+def clipboard_items(payload: Column) -> Column:
+    """Array of structs source_path, ext, rating, description, source_url, tag_ids; null where a payload has no valid item.
+
+    An item needs a path and an extension (white space around them and a
+    leading dot go; numbers and truth values count as their text, other values
+    as none). Ratings that are no numbers are 0, texts that are no texts are
+    empty, and of tags the whole numbers stay. Text that is no JSON, or of
+    another version, is null.
+    """
+
+    def kind(v: Column, path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+    def number(v: Column, path: str) -> Column:
+        return F.when(kind(v, path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"), F.try_variant_get(v, path, "double"))
+
+    def text(v: Column, path: str) -> Column:
+        return F.when(kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+
+    def trimmed(v: Column, path: str) -> Column:
+        plain = ~F.coalesce(kind(v, path), F.lit("VOID")).rlike("^(OBJECT|ARRAY|VOID)")
+        return F.regexp_replace(F.coalesce(F.when(plain, F.try_variant_get(v, path, "string")), F.lit("")), EDGES, "")
+
+    def item(v: Column) -> Column:
+        tags = F.transform(F.coalesce(F.try_variant_get(v, "$.tagIds", "array<variant>"), F.array().cast("array<variant>")), lambda t: number(t, "$"))
+        return F.struct(
+            trimmed(v, "$.sourcePath").alias("source_path"), F.lower(F.regexp_replace(trimmed(v, "$.ext"), r"^\.", "")).alias("ext"), F.coalesce(number(v, "$.rating"), F.lit(0.0)).alias("rating"),
+            F.coalesce(text(v, "$.description"), F.lit("")).alias("description"), F.coalesce(text(v, "$.sourceUrl"), F.lit("")).alias("source_url"),
+            F.transform(F.filter(tags, lambda t: t == F.floor(t)), lambda t: t.cast("long")).alias("tag_ids"),
+        )
+
+    v = F.try_parse_json(payload)
+    items = F.when(number(v, "$.version") == CLIPBOARD_VERSION, F.try_variant_get(v, "$.items", "array<variant>"))
+    valid = F.filter(F.transform(items, item), lambda i: (i["source_path"] != "") & (i["ext"] != ""))
+    return F.when(F.size(valid) > 0, valid)

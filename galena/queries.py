@@ -632,4 +632,4 @@ def undo_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.undo_window(deletes, 5).select("session", "id", "step")
 
 
-from galena import queries_models, queries_more, queries_records, queries_sources, queries_streams  # noqa: E402, F401  register their queries with those above
+from galena import queries_models, queries_more, queries_records, queries_sources, queries_streams, queries_transfer  # noqa: E402, F401  register their queries with those above
