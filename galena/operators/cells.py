@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distances err by less than this part of the squared lengths that enter them.
@@ -86,17 +86,17 @@ def placed(rows: DataFrame, pivots: dict[tuple[str, int], np.ndarray]) -> DataFr
 
 
 def meetings(cells: DataFrame, block: int) -> DataFrame:
-    """Rows of :func:`placed` dealt to blocks that meet: columns model_id, dimensions, cell, own, i, j, id, embedding.
+    """Rows of :func:`placed` dealt to blocks that meet: columns model_id, dimensions, cell, own, i, j, id, embedding, others, and label if there.
 
     A cell's own rows are cut into blocks of about ``block``, its visitors into
     further ones. Each block of its own meets itself, every later one of its
     own and every one of visitors; (cell, i, j) names a meeting, ``own`` the
-    block a row comes from.
+    block a row comes from, ``others`` how many blocks its cell has.
     """
-    key = ["model_id", "dimensions", "cell"]
+    key, rest = ["model_id", "dimensions", "cell"], ["id", "embedding", *(["label"] if "label" in cells.columns else [])]
     stays = F.transform(F.array(F.col("home")), lambda c: F.struct(c.alias("cell"), F.lit(False).alias("visitor")))
     goes = F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("visitor")))
-    dealt = cells.withColumn("at", F.explode(F.concat(stays, goes))).select("model_id", "dimensions", "at.cell", "at.visitor", "id", "embedding")
+    dealt = cells.withColumn("at", F.explode(F.concat(stays, goes))).select("model_id", "dimensions", "at.cell", "at.visitor", *rest)
     cut = lambda rows: F.ceil(F.count_if(rows) / block).cast("int")
     parts = dealt.groupBy(*key).agg(cut(~F.col("visitor")).alias("homes"), cut(F.col("visitor")).alias("guests")).filter("homes > 0")
     dealt = dealt.join(parts, key)  # a row for each pivot and key: left to the planner
@@ -104,4 +104,10 @@ def meetings(cells: DataFrame, block: int) -> DataFrame:
     dealt = dealt.withColumn("own", F.when(F.col("visitor"), F.col("homes") + chunk(F.col("guests"))).otherwise(chunk(F.col("homes"))))
     others = F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("homes") - 1).otherwise(F.col("homes") + F.col("guests") - 1))
     pairs = F.transform(others, lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
-    return dealt.withColumn("p", F.explode(pairs)).select(*key, "own", "p.i", "p.j", "id", "embedding")
+    return dealt.withColumn("p", F.explode(pairs)).select(*key, "own", "p.i", "p.j", (F.col("homes") + F.col("guests")).alias("others"), *rest)
+
+
+def is_early(few: int = 4) -> Column:
+    """Whether a meeting is one of a block with itself, or of about ``few`` that each block has besides."""
+    some = F.pmod(F.xxhash64("model_id", "dimensions", "cell", "i", "j"), F.greatest(F.floor(F.col("others") / few), F.lit(1))) == 0
+    return (F.col("i") == F.col("j")) | some

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from galena.functions import formats
 from galena.functions.scalars import dot
-from galena.operators.cells import SLACK, choose_pivots, meetings, placed
+from galena.operators.cells import SLACK, choose_pivots, is_early, meetings, placed
 from galena.operators.components import smallest_reachable
 from galena.operators.ranking import numbered
 from galena.plans.filters import is_active
@@ -143,10 +143,12 @@ def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1
     on speed only: the numbers that the driver and each task hold are at most
     that many vectors.
 
-    ``links_only`` gives the best pairs that connect all that are similar, at
-    most ``2 * block`` of them for a pair of blocks, and equal vectors are one,
-    so a group of copies does not yield all its pairs. Every group's best pair
-    is among them. Vectors that hold a value that is not a number have no pair.
+    ``links_only`` gives the best pairs that connect all that are similar, and
+    equal vectors are one, so a group of copies does not yield all its pairs.
+    Every group's best pair is among them. Each block meets itself and a few
+    others first, which give at most ``2 * block`` pairs a meeting; what these
+    connect counts as one in all other meetings, so these add what is new, and
+    the best pair within each one. Vectors that hold a value that is not a number have no pair.
     """
     key = ["model_id", "dimensions"]
     square = dot(F.col("embedding"), F.col("embedding"))
@@ -176,12 +178,29 @@ def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1
             exact += x[u, k] * x[v, k]
         u, v, exact = u[exact >= threshold], v[exact >= threshold], exact[exact >= threshold]
         if links_only and len(u):
-            chosen = best_forest(u, v, exact, len(ids))
+            known, one = np.unique(frame["label"].to_numpy(), return_inverse=True)
+            chosen = best_forest(one[u], one[v], exact, len(known))
+            within = np.flatnonzero(one[u] == one[v])
+            within = within[np.lexsort((-exact[within], one[u[within]]))]
+            first = np.unique(one[u[within]], return_index=True)[1]
+            chosen = np.concatenate([chosen, within[first]])
             u, v, exact = u[chosen], v[chosen], exact[chosen]
         return pd.DataFrame({"model_id": frame["model_id"].iat[0], "dimensions": frame["dimensions"].iat[0], "a": ids[u], "b": ids[v], "score": exact})
 
-    pairs = meetings(cells, block).groupBy(*key, "cell", "i", "j").applyInPandas(compare, "model_id string, dimensions int, a long, b long, score double")
-    return pairs.unionByName(copies) if links_only else pairs
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key, "cell", "i", "j").applyInPandas(compare, "model_id string, dimensions int, a long, b long, score double")
+
+    if not links_only:
+        return met(meetings(cells, block))
+    early = written(met(meetings(cells.withColumn("label", F.col("id")), block).filter(is_early())))
+    late = meetings(cells, block).filter(~is_early())
+    if late.isEmpty():
+        return early.unionByName(copies)
+    # ids of one model only are of one label: an id may have a vector of each
+    labels = smallest_reachable(early.select(F.struct(*key, F.col("a").alias("id")).alias("a"), F.struct(*key, F.col("b").alias("id")).alias("b")))
+    labels = labels.select(F.col("node.model_id").alias("model_id"), F.col("node.dimensions").alias("dimensions"), F.col("node.id").alias("id"), F.col("component.id").alias("_label"))
+    labelled = cells.join(labels, [*key, "id"], "left").withColumn("label", F.coalesce("_label", "id")).drop("_label")
+    return early.unionByName(met(meetings(labelled, block).filter(~is_early()))).unionByName(copies)
 
 
 def similar_groups(cands: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

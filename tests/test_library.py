@@ -81,7 +81,7 @@ def test_a_vector_visits_only_cells_in_its_reach():
     assert wide.sum() == sum((home == i).sum() for i in range(40) for j in range(40) if i != j and ((i + j) % 2 == 1) == (i < j))
 
 
-@pytest.mark.parametrize("block,most", [(1000, 2048), (5, 2048), (5, 6), (9, 0)])
+@pytest.mark.parametrize("block,most", [(1000, 2048), (5, 2048), (5, 6), (9, 0), (2, 2048), (3, 4)])
 def test_pairs_of_clusters_copies_and_unequal_lengths(spark, block, most):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.normal(size=(6, 4)), 12, axis=0) + 0.2 * rng.normal(size=(72, 4))
