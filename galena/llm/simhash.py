@@ -113,7 +113,7 @@ def links(distinct: DataFrame, distance: int = 4, blocks: int = 7, chunk: int =
     spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes now, many rows when exploded: not to be coalesced
     keyed = distinct.repartition(spread, "fp").select("fp", F.explode(block_keys(distance, blocks)).alias("k")).select("fp", "k.set", "k.bits")
     many = keyed.groupBy("set", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = keyed.join(many, ["set", "bits"])
+    shared = keyed.join(many.hint("merge"), ["set", "bits"])  # the planner takes exploded keys for few and would broadcast them: the driver is not to hold them
     parts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))

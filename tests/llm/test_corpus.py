@@ -126,6 +126,13 @@ def test_links_of_a_large_group_are_few_and_whole(spark):
         assert len({find(x) for x in signed}) == 51
 
 
+def test_links_broadcast_no_keys(spark, tmp_path):
+    """The planner knows the size of a small table, and not that each of its rows has 35 keys."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/fps")
+    plan = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
 def test_near_dedup(docs, empty):
     stay = near_dedup.without_near_duplicates(docs)
     assert stay.columns == docs.columns
