@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Patch counts that models are exported with.
 BUCKETS = (128, 256, 576, 784, 1024)
 EPS, MOST_SCALE = 1e-5, 100.0
+#: What a batch of patches may take.
+BATCH_BYTES = 1 << 23
 
 
 def patch_bucket(width: Column, height: Column, patch: int = 16, most: int = 256) -> Column:
@@ -88,21 +90,32 @@ def position_table(base: np.ndarray, height: int, width: int, most: int) -> np.n
     return np.vstack([own, np.repeat(own[:1], most - len(own), axis=0)]).astype("float32")
 
 
-def image_patches(width: Column, height: Column, rgb: Column, patch: int = 16, most: int = 256) -> Column:
-    """Struct patches (flat), mask, max_patches, grid_height and grid_width of an image in RGB bytes; null where the bytes do not fit its size."""
-    buckets = patch_bucket(width, height, patch, most)
-    target = patch_size(width, height, buckets, patch)
+def patch_batches(patch: int, most: int) -> Callable[[Iterator[tuple[pd.Series, ...]]], Iterator[pd.Series]]:
+    """The patches of batches of (width, height, RGB bytes, room, width and height to cut at), in batches of about ``BATCH_BYTES``."""
+    step = max(1, BATCH_BYTES // (4 * most * patch * patch * 3))
 
-    @F.pandas_udf("array<float>")
     def cut(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for w, h, data, room, tw, th in frames:
-            yield pd.Series([
-                patches(np.frombuffer(d, "uint8").reshape(int(b), int(a), 3), int(y), int(x), patch, int(n)).ravel() if d is not None and a > 0 and b > 0 and len(d) == 3 * int(a) * int(b) else None
-                for a, b, d, n, x, y in zip(w, h, data, room, tw, th, strict=True)
-            ])
+        for frame in frames:
+            for at in range(0, len(frame[0]), step):
+                yield pd.Series([
+                    patches(np.frombuffer(d, "uint8").reshape(int(b), int(a), 3), int(y), int(x), patch, int(n)).ravel() if d is not None and a > 0 and b > 0 and len(d) == 3 * int(a) * int(b) else None
+                    for a, b, d, n, x, y in zip(*(c.iloc[at : at + step] for c in frame), strict=True)
+                ])
+
+    return cut
+
 
+def image_patches(width: Column, height: Column, rgb: Column, patch: int = 16, most: int = 256) -> Column:
+    """Struct patches (flat), mask, max_patches, grid_height and grid_width of an image in RGB bytes; null where the bytes do not fit its size.
+
+    Patches come in batches of about ``BATCH_BYTES``, however many images come in one.
+    """
+    buckets = patch_bucket(width, height, patch, most)
+    target = patch_size(width, height, buckets, patch)
+    cut = F.pandas_udf(patch_batches(patch, most), "array<float>")
     grid = target["height"] / patch, target["width"] / patch
-    mask = F.transform(F.sequence(F.lit(1), buckets), lambda k: (k <= grid[0] * grid[1]).cast("int"))
+    # the search for the size is done once for a row, not for each place
+    mask = F.transform(F.array(grid[0] * grid[1]), lambda n: F.transform(F.sequence(F.lit(1), buckets), lambda k: (k <= n).cast("int")))[0]
     made = cut(width, height, rgb, buckets, target["width"], target["height"])
     return F.struct(made.alias("patches"), mask.alias("mask"), buckets.alias("max_patches"), grid[0].cast("int").alias("grid_height"), grid[1].cast("int").alias("grid_width"))
 

@@ -3,6 +3,7 @@
 from math import ceil, floor
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,11 @@ def test_sizes_and_images_in_spark(spark):
 def test_manifest_of_nothing(spark):
     rows = spark.createDataFrame([("{}",), ("not json",), (None,)], "t string").select(tensors.manifest_check(F.from_json("t", tensors.MANIFEST)).alias("c"))
     assert [(r.c.valid, r.c.reason, r.c.missing) for r in rows.collect()] == [(False, "format", [])] * 3
+
+
+def test_patches_come_in_small_batches():
+    """One batch of images in, many out: they are never held together."""
+    cut, n = images.patch_batches(16, 256), 50
+    frame = (pd.Series([8] * n), pd.Series([8] * n), pd.Series([bytes([7]) * 192] * n), pd.Series([128] * n), pd.Series([176] * n), pd.Series([176] * n))
+    sizes = [len(out) for out in cut(iter([frame]))]
+    assert sum(sizes) == n and max(sizes) * 256 * 768 * 4 <= images.BATCH_BYTES
