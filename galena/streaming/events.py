@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import TimestampNTZType
 
 DEBOUNCE, SPACING_MS, DELAY_MS, FLUSH = "700 milliseconds", 3000, 3000, "500 milliseconds"
 
@@ -123,10 +124,46 @@ def stable_files(observations: DataFrame) -> DataFrame:
 
 
 def batches_of_ids(events: DataFrame, gap: str = "800 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """(group, start, end, ids, again): ids of a group's events between pauses, each once, and whether any asked for ``again`` (a full refresh)."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
-    out = marked.groupBy("group", F.session_window("ts", gap).alias("w")).agg(F.sort_array(F.collect_set("id")).alias("ids"), F.bool_or(F.coalesce("again", F.lit(False))).alias("again"))
-    return out.select("group", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "ids", "again")
+    """(group, start, end, ids, again): ids of a group's events between pauses, each once, and whether any asked for ``again`` (a full refresh).
+
+    In a table a pause is ``gap`` or longer; Spark's windows of streams go on over one of just ``gap``.
+    """
+    if events.isStreaming:
+        out = events.withWatermark("ts", late).groupBy("group", F.session_window("ts", gap).alias("w")).agg(F.sort_array(F.collect_set("id")).alias("ids"), F.bool_or(F.coalesce("again", F.lit(False))).alias("again"))
+        return out.select("group", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "ids", "again")
+    pause = F.expr(f"INTERVAL {gap}")
+    marked = _session_starts(events.filter(F.col("ts").isNotNull()), pause)
+    once = marked.groupBy("group", "start", "id").agg(F.max("ts").alias("last"), F.bool_or(F.coalesce("again", F.lit(False))).alias("again"))
+    out = once.groupBy("group", "start").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.max("last").alias("last"), F.bool_or("again").alias("again"))
+    return out.select("group", "start", (F.col("last") + pause).alias("end"), "ids", "again")
+
+
+def _session_starts(events: DataFrame, pause: Column, spans: int = 64) -> DataFrame:
+    """``events`` (group, ts, ...) of a table with ``start``: the time of the first event since the last pause.
+
+    A group is cut into about ``spans`` spans of time, each ordered by itself;
+    only a row for each span is ordered as a whole.
+    """
+    from pyspark.sql import Window
+
+    plain = isinstance(events.schema["ts"].dataType, TimestampNTZType)
+    second = F.unix_date(F.to_date("ts")).cast("long") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts") if plain else F.floor(F.unix_micros("ts") / 1_000_000)
+    low, high = events.agg(F.min(second), F.max(second)).first()
+    cut = events.withColumn("_span", F.floor(second / max(1, ((high or 0) - (low or 0)) // spans)))
+    ends = cut.groupBy("group", "_span").agg(F.max("ts").alias("_last"))
+    of_group, within = Window.partitionBy("group").orderBy("_span"), Window.partitionBy("group", "_span").orderBy("ts")
+
+    def with_span(rows: DataFrame, more: DataFrame) -> DataFrame:
+        more = more.withColumnsRenamed({"group": "_group", "_span": "_of"})
+        return rows.join(more, F.col("group").eqNullSafe(F.col("_group")) & (F.col("_span") == F.col("_of"))).drop("_group", "_of")
+
+    known = with_span(cut, ends.select("group", "_span", F.lag("_last").over(of_group).alias("_before")))
+    gone = F.col("ts") - F.coalesce(F.lag("ts").over(within), "_before")
+    fresh = known.withColumn("_new", F.when(gone.isNull() | (gone >= pause), F.col("ts")))
+    latest = fresh.groupBy("group", "_span").agg(F.max("_new").alias("_latest"))
+    carried = latest.select("group", "_span", F.max("_latest").over(of_group.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    own = F.max("_new").over(within.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # events of one time alike
+    return with_span(fresh.withColumn("_own", own), carried).withColumn("start", F.coalesce("_own", "_carried")).drop("_span", "_before", "_new", "_own", "_carried")
 
 
 def armed_windows(events: DataFrame, keys: list[str], span_ms: int) -> DataFrame:

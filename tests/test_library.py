@@ -436,3 +436,22 @@ def test_scratch_tables_go(spark, tmp_path):
         written(written(spark.range(5)).filter("id > 1")).write.parquet(f"{tmp_path}/out")
         assert len(list(own.iterdir())) == 2
     assert not own.exists() and spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_batches_of_ids_by_spans_of_time(spark):
+    """A group is no single task's, and its batches are those of session windows: across spans, ties, nulls."""
+    import random
+
+    from galena.streaming import events
+
+    draw = random.Random(3)
+    rows = [(g, draw.choice([draw.randrange(3000), 86_400 + draw.randrange(60), 500]), draw.choice("abc"), draw.random() < 0.1) for g in ("x", None, "y") for _ in range(300)] + [("z", 7, None, None), ("z", None, "a", True)]
+    raw = spark.createDataFrame(rows, "group string, s long, id string, again boolean")
+    for kind in ("timestamp", "timestamp_ntz"):
+        table = raw.select("group", F.timestamp_seconds("s").cast(kind).alias("ts"), "id", "again")
+        got = events.batches_of_ids(table, "20 seconds")
+        # Spark's windows go on over a pause of just their gap, the SQL's do not
+        want = table.filter("ts IS NOT NULL").groupBy("group", F.session_window("ts", "19 seconds 999999 microseconds").alias("w")).agg(F.sort_array(F.collect_set("id")).alias("ids"), F.bool_or(F.coalesce("again", F.lit(False))).alias("again"))
+        known = lambda rs: sorted((str(r[0]), r[1], r[2], r[3], r[4]) for r in rs)
+        assert known(got.collect()) == known(want.select("group", "w.start", F.col("w.end") + F.expr("INTERVAL 1 microsecond"), "ids", "again").collect())
+        assert "Sessions" not in got._jdf.queryExecution().executedPlan().toString()
