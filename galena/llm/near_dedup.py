@@ -2,10 +2,11 @@
 
 Each text has a SimHash of its set of shingles. Fingerprints of at most
 ``distance`` differing bits meet in pigeonhole blocks (:mod:`galena.llm.simhash`)
-and each group that such links connect names its middle: those of the middles
-that are not alike stay, and what is like one of them goes. That clears most copies, of
-groups of any size. It finds no pair for certain, so what is left is compared
-by an exact join:
+and each group that such links connect names its middle. Those of the middles
+that are not alike stay. Each text of a group is a pair with its middle, which Jaccard
+similarity verifies: what is alike goes. That clears most copies, of
+groups of any size. It finds no pair for certain, so what is left, the middles
+that stay among it, is compared by an exact join:
 
 Two sets of a similarity of at least ``similarity`` share a shingle among the
 first n - ceil(similarity * n) + 1 of each, n being its size, in any one order
@@ -191,15 +192,16 @@ def independent(edges: DataFrame) -> DataFrame:
     return gone
 
 
-def _middles(reps: DataFrame, distance: int) -> DataFrame:
-    """(node): of each group of ``reps`` (node, fp) that near SimHashes connect, the one most of them are tied to."""
+def _ties(reps: DataFrame, distance: int) -> DataFrame:
+    """(a, b) of each group of ``reps`` (node, fp) that near SimHashes connect: a its middle, the one most are tied to, b each other one."""
     own = reps.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
-    ties = written(links(own.select("fp"), distance, distance + 3))
-    group = components(ties).select(F.col("node").alias("fp"), "component")
-    tied = ties.groupBy(F.col("b").alias("fp")).agg(F.count(F.lit(1)).alias("k"))
-    middle = group.join(tied, "fp").groupBy("component").agg(F.max_by("fp", F.struct("k", "fp")).alias("fp"))
-    alone = own.filter("n > 1").join(group, "fp", "left_anti")
-    return own.join(middle, "fp").select("node").unionByName(alone.select("node"))
+    near = written(links(own.select("fp"), distance, distance + 3))
+    group = components(near).select(F.col("node").alias("fp"), "component")
+    tied = near.groupBy(F.col("b").alias("fp")).agg(F.count(F.lit(1)).alias("k"))
+    middle = group.join(tied, "fp").groupBy("component").agg(F.max_by("fp", F.struct("k", "fp")).alias("middle"))
+    alone = own.filter("n > 1").join(group, "fp", "left_anti").select("fp", F.col("fp").alias("middle"))
+    to = group.join(middle, "component").select("fp", "middle").unionByName(alone).join(own.select(F.col("fp").alias("middle"), F.col("node").alias("a")), "middle")
+    return written(reps.select("fp", F.col("node").alias("b")).join(to.select("fp", "a"), "fp").filter("a <> b").select("a", "b"))
 
 
 def _typical(lists: DataFrame, crowd: int) -> DataFrame:
@@ -209,16 +211,23 @@ def _typical(lists: DataFrame, crowd: int) -> DataFrame:
     return best.select("best.node").distinct()
 
 
-def _clear(pivots: DataFrame, lists: DataFrame, sets: DataFrame, similarity: float, room: int) -> tuple[DataFrame, DataFrame]:
-    """(node) that go for ``pivots`` (node), of which those not alike stay, and the lists without them and these."""
+def _clear(pivots: DataFrame, lists: DataFrame, sets: DataFrame, similarity: float, room: int, ties: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node) that go for ``pivots`` (node), of which those not alike stay, and the lists without them and these.
+
+    ``ties`` (a, b) of pivots to others are verified first; what goes by them meets no more lists.
+    """
     pivots = written(pivots)
     alike = _verified(_pairs(lists.join(pivots, "node", "left_semi"), similarity, room), sets, similarity)
     stay = written(pivots.join(independent(alike), "node", "left_anti"))
+    gone = None
+    if ties is not None:
+        gone = _verified(ties.join(stay.select(F.col("node").alias("a")), "a", "left_semi"), sets, similarity).select(F.col("b").alias("node"))
+        lists = lists.join(gone, "node", "left_anti")
     own = lists.join(stay, "node", "left_semi").select(F.col("h").alias("_h"), F.col("node").alias("a"), F.col("n").alias("_n"))
     near = lists.join(own, (F.col("h") == F.col("_h")) & (F.col("node") != F.col("a")) & _like_in_size(similarity)).select("a", F.col("node").alias("b"), "n", "_n")
     goes = written(_verified(_enough(near, similarity), sets, similarity).select(F.col("b").alias("node")).distinct())
     rest = lists.join(goes.unionByName(stay), "node", "left_anti")
-    return goes, _lists(rest.select("h", "node", "n", F.when(F.col("c") > HOT, F.col("c")).alias("about")))
+    return goes if gone is None else goes.unionByName(gone), _lists(rest.select("h", "node", "n", F.when(F.col("c") > HOT, F.col("c")).alias("about")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, crowd: int = 32, room: int = 1000) -> DataFrame:
@@ -242,11 +251,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     lists = _lists(first.select("node", "first.n", F.explode("first.first").alias("h")).join(hot, "h", "left"))
     # of two alike either both are in a crowd, or what they share is in other lists alone
     few = _pairs(lists.filter(F.col("c") <= crowd), similarity, room)
-    shared = lists.filter(F.col("c") > crowd).select("node").unionByName(few.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    ties = _ties(reps, distance)
+    both = F.explode(F.array("a", "b")).alias("node")
+    shared = lists.filter(F.col("c") > crowd).select("node").unionByName(few.select(both)).unionByName(ties.select(both)).distinct()
     texts = docs.select("doc_id", tag(docs).alias("tag"), text_of().alias("text"))
     sets = written(shingle_sets(_named(texts, reps.join(shared, "node", "left_semi")), shingle))
 
-    goes, lists = _clear(_middles(reps, distance), lists, sets, similarity, room)
+    goes, lists = _clear(ties.select(F.col("a").alias("node")).distinct(), lists, sets, similarity, room, ties)
     gone = [goes]
     for _ in range(2):  # as often as it pays; the pairs of any list are taken below
         if lists.filter(F.col("c") > crowd).isEmpty():

@@ -204,6 +204,16 @@ def test_near_dedup_of_crowded_templates_leaves_nothing_over(spark):
         whole_choice(rows, [r.doc_id for r in kept.collect()])
 
 
+def test_near_dedup_takes_pairs_from_simhash_itself(spark, monkeypatch):
+    """Without any posting list, texts that SimHash ties to a middle still go, and only those that are alike."""
+    base = [f"u{k}" for k in range(900)]
+    rows = [(k, " ".join([*base[: 20 * k + 1], f"x{k}", *base[20 * k + 2 :]])) for k in range(40)] + [(90 + k, f"v{k} a b c d e f") for k in range(9)]
+    lists = near_dedup._lists
+    monkeypatch.setattr(near_dedup, "_lists", lambda postings: lists(postings).limit(0))
+    kept = {r.doc_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(kept & set(range(40))) < 20 and kept >= set(range(90, 99))
+
+
 def test_winnowing(docs, empty):
     from xxhash import xxh64
 
