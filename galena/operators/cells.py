@@ -85,6 +85,25 @@ def placed(rows: DataFrame, pivots: dict[tuple[str, int], np.ndarray]) -> DataFr
     return rows.mapInPandas(run, schema)
 
 
+def _dealt(cells: DataFrame, rest: list[str]) -> DataFrame:
+    """Rows of :func:`placed`, one for their home and one for each cell they visit."""
+    stays = F.transform(F.array(F.col("home")), lambda c: F.struct(c.alias("cell"), F.lit(False).alias("visitor")))
+    goes = F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("visitor")))
+    return cells.withColumn("at", F.explode(F.concat(stays, goes))).select("model_id", "dimensions", "at.cell", "at.visitor", *rest)
+
+
+def _parts(dealt: DataFrame, block: int) -> DataFrame:
+    """How many blocks of its own (homes) and of visitors (guests) each cell has."""
+    cut = lambda rows: F.ceil(F.count_if(rows) / block).cast("int")
+    return dealt.groupBy("model_id", "dimensions", "cell").agg(cut(~F.col("visitor")).alias("homes"), cut(F.col("visitor")).alias("guests")).filter("homes > 0")
+
+
+def how_many(cells: DataFrame, block: int) -> int:
+    """The number of :func:`meetings`."""
+    homes, guests = F.col("homes").cast("long"), F.col("guests").cast("long")
+    return _parts(_dealt(cells, []), block).agg(F.sum(homes * (homes + 1) / 2 + homes * guests).cast("long")).first()[0] or 0
+
+
 def meetings(cells: DataFrame, block: int) -> DataFrame:
     """Rows of :func:`placed` dealt to blocks that meet: columns model_id, dimensions, cell, own, i, j, id, embedding, others, and label if there.
 
@@ -94,12 +113,8 @@ def meetings(cells: DataFrame, block: int) -> DataFrame:
     block a row comes from, ``others`` how many blocks its cell has.
     """
     key, rest = ["model_id", "dimensions", "cell"], ["id", "embedding", *(["label"] if "label" in cells.columns else [])]
-    stays = F.transform(F.array(F.col("home")), lambda c: F.struct(c.alias("cell"), F.lit(False).alias("visitor")))
-    goes = F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("visitor")))
-    dealt = cells.withColumn("at", F.explode(F.concat(stays, goes))).select("model_id", "dimensions", "at.cell", "at.visitor", *rest)
-    cut = lambda rows: F.ceil(F.count_if(rows) / block).cast("int")
-    parts = dealt.groupBy(*key).agg(cut(~F.col("visitor")).alias("homes"), cut(F.col("visitor")).alias("guests")).filter("homes > 0")
-    dealt = dealt.join(parts, key)  # a row for each pivot and key: left to the planner
+    dealt = _dealt(cells, rest)
+    dealt = dealt.join(_parts(dealt, block), key)  # a row for each pivot and key: left to the planner
     chunk = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), n).cast("int")
     dealt = dealt.withColumn("own", F.when(F.col("visitor"), F.col("homes") + chunk(F.col("guests"))).otherwise(chunk(F.col("homes"))))
     others = F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("homes") - 1).otherwise(F.col("homes") + F.col("guests") - 1))

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from galena.functions import formats
 from galena.functions.scalars import dot
-from galena.operators.cells import SLACK, choose_pivots, is_early, meetings, placed
+from galena.operators.cells import SLACK, choose_pivots, how_many, is_early, meetings, placed
 from galena.operators.components import smallest_reachable
 from galena.operators.ranking import numbered
 from galena.plans.filters import is_active
 from galena.session import written
 
 THRESHOLD = 0.94
+MEETINGS = 8  # of blocks, that a task takes
 
 
 def _hashes() -> tuple[Column, Column]:
@@ -187,8 +188,12 @@ def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1
             u, v, exact = u[chosen], v[chosen], exact[chosen]
         return pd.DataFrame({"model_id": frame["model_id"].iat[0], "dimensions": frame["dimensions"].iat[0], "a": ids[u], "b": ids[v], "score": exact})
 
+    # a meeting's work is far more than its bytes tell, so the number of tasks follows that of meetings and is not to be coalesced
+    n = how_many(cells, block)
+    tasks = max(1, min(n, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-n // MEETINGS))
+
     def met(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*key, "cell", "i", "j").applyInPandas(compare, "model_id string, dimensions int, a long, b long, score double")
+        return rows.repartition(tasks, *key, "cell", "i", "j").groupBy(*key, "cell", "i", "j").applyInPandas(compare, "model_id string, dimensions int, a long, b long, score double")
 
     if not links_only:
         return met(meetings(cells, block))
@@ -210,6 +215,12 @@ def similar_groups(cands: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return cands.select("id", "imported_at").join(reach, F.col("id") == F.col("node")).select("id", "component", "imported_at")
 
 
+def _first_shared(exact: DataFrame, similar: DataFrame) -> DataFrame:
+    """(component, latest, lead) of ``exact`` (id, latest, lead): of the groups that share a member with a component the first, as only it gives others a place."""
+    both = exact.select(F.col("id").alias("_id"), "latest", "lead").join(similar.select("id", "component"), F.col("_id") == F.col("id"))
+    return both.groupBy("component").agg(F.max(F.struct("latest", (-F.col("lead")).alias("lead"))).alias("g")).select("component", "g.latest", (-F.col("g.lead")).alias("lead"))
+
+
 def duplicate_or_similar(files: DataFrame, embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, rank) of the view of exact and similar files.
 
@@ -233,7 +244,7 @@ def duplicate_or_similar(files: DataFrame, embeddings: DataFrame, threshold: flo
 
     # places, smallest first: tier, group keys (descending ones negated or inverted by the order below), part, member
     own = exact.select("id", F.lit(0).alias("tier"), F.lit(0.0).alias("best"), "latest", "lead", F.lit(0).alias("part"), "imported_at")
-    shared = exact.select(F.col("id").alias("_id"), "latest", "lead").join(similar.select("id", "component"), F.col("_id") == F.col("id")).select("component", "latest", "lead").distinct()
+    shared = _first_shared(exact, similar)
     absorbed = similar.join(shared, "component").select("id", F.lit(0).alias("tier"), F.lit(0.0).alias("best"), "latest", "lead", F.lit(1).alias("part"), "imported_at")
     alone = similar.join(shared, "component", "left_anti").join(about, "component").select("id", F.lit(1).alias("tier"), "best", "latest", "lead", F.lit(0).alias("part"), "imported_at")
     places = own.unionByName(absorbed).unionByName(alone)

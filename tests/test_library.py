@@ -455,3 +455,17 @@ def test_batches_of_ids_by_spans_of_time(spark):
         known = lambda rs: sorted((str(r[0]), r[1], r[2], r[3], r[4]) for r in rs)
         assert known(got.collect()) == known(want.select("group", "w.start", F.col("w.end") + F.expr("INTERVAL 1 microsecond"), "ids", "again").collect())
         assert "Sessions" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_row_for_each_component_that_shares_groups(spark):
+    """Its members times the groups would be all of both where one component holds most files."""
+    exact = spark.createDataFrame([(k, f"2026-0{1 + k // 2 % 3}", k - k % 2) for k in range(200)], "id long, latest string, lead long")
+    similar = spark.createDataFrame([(k, 0) for k in range(0, 200, 3)] + [(k, 1) for k in range(1, 200, 3)], "id long, component long")
+    assert sorted(tuple(r) for r in vectors._first_shared(exact, similar).collect()) == [(0, "2026-02", 2), (1, "2026-03", 4)]
+
+
+def test_tasks_follow_the_meetings_of_blocks(spark):
+    rows = spark.range(160).select("id", F.lit("m").alias("model_id"), F.lit(2).alias("dimensions"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    pairs = vectors.similar_pairs(rows, 0.0, block=8, most_pivots=1)
+    assert pairs.rdd.getNumPartitions() >= 20 * 21 / 2 / 8
+    assert pairs.count() == sum(np.cos(a - b) >= 0 for a in range(160) for b in range(a))
