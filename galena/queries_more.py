@@ -494,7 +494,9 @@ def visual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def color_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Palettes of images of one and of two colors."""
     rgb = F.when(F.col("p_size") % 3 == 0, F.unhex(F.lit("0A141E" * 8))).otherwise(F.unhex(F.lit("0A141E" * 6 + "F0F0F0" * 2)))
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), media.palette(rgb).alias("c"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few MB of rows are many images: one task would take them all
+    p = part.repartition(spread).select(F.col("p_partkey").alias("id"), media.palette(rgb).alias("c"))
     return p.select("id", F.array_join(F.transform("c", lambda x: F.concat(x["color"], F.lit(":"), x["percentage"].cast("string"))), ",").alias("colors"))
 
 

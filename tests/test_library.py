@@ -469,3 +469,41 @@ def test_tasks_follow_the_meetings_of_blocks(spark):
     pairs = vectors.similar_pairs(rows, 0.0, block=8, most_pivots=1)
     assert pairs.rdd.getNumPartitions() >= 20 * 21 / 2 / 8
     assert pairs.count() == sum(np.cos(a - b) >= 0 for a in range(160) for b in range(a))
+
+
+def plain_palette(pixels):
+    """One image at a time."""
+    x = pixels.astype(float)
+    centers = x[: min(7, len(x))].copy()
+    nearest = lambda: ((x[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+    for _ in range(20):
+        own = nearest()
+        moved = np.array([x[own == k].mean(axis=0) if (own == k).any() else c for k, c in enumerate(centers)])
+        shift, centers = np.sqrt(((moved - centers) ** 2).sum(axis=1)), moved
+        if (shift <= 1).all():
+            break
+    share, colors, merged = np.bincount(nearest(), minlength=len(centers)) / len(x) * 100, np.floor(centers + 0.5), []
+    for k in [k for k in np.argsort(-share, kind="stable") if share[k] > 0]:
+        near = next((m for m in merged if np.sqrt(((m[0] - colors[k]) ** 2).sum()) < 30), None)
+        if near is None:
+            merged.append([colors[k], share[k]])
+        else:
+            near[1] += share[k]
+    return [("#" + "".join(f"{int(c):02X}" for c in m[0]), round(float(m[1]), 2)) for m in sorted(merged, key=lambda m: -m[1])]
+
+
+def test_palettes_of_a_batch(monkeypatch):
+    """Images of several sizes taken together have the palettes that each has by itself, however many fit at once."""
+    rng = np.random.default_rng(5)
+    images = [rng.integers(0, 256, (n, 3)).astype(np.uint8) // s * s for n in (1, 2, 6, 7, 8, 40, 300, 40, 8) for s in (1, 16, 64) for _ in range(6)]
+    want = [plain_palette(i) for i in images]
+    for room in (media.ROOM, 500):
+        monkeypatch.setattr(media, "ROOM", room)
+        assert media.palettes_of([None, b"", *(i.tobytes() for i in images)]) == [None, [], *want]
+
+
+def test_palettes_are_dealt_to_tasks(spark, sf_dir):
+    from galena.queries import QUERIES
+    from galena import queries_more  # noqa: F401
+
+    assert QUERIES["color_palettes"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
