@@ -12,11 +12,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import groupby
+from operator import itemgetter
 from uuid import uuid4
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +28,8 @@ from galena.streaming.machines import Machine, advance
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PACK = 1000  # events of a key that one row of its state holds
+FILE = 100_000  # rows of a landed file, at least, where a batch has several
 
 
 def micros(ts: str | Column) -> Column:
@@ -97,25 +100,33 @@ class Fold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, place string, event string")
+        self.waiting = handle.getListState("waiting", "events string")  # JSON of up to PACK (at, place, event), as each row costs a call's work
         self.own = handle.getValueState("machine", "state string, timer long")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = []
-        for frame in rows:
-            frame = frame[~frame["fold_close"]] if "fold_close" in frame else frame
-            new += zip(frame["fold_at"].tolist(), frame["fold_place"], frame["fold_event"], strict=True)
-        return self.turn(key, new, timerValues)
+        return self.turn(key, [(r["fold_at"], r["fold_place"], r["fold_event"]) for r in rows if "fold_close" not in r or not r["fold_close"]], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         return self.turn(key, [], timerValues)
 
-    def turn(self, key, new: list[tuple], timer_values) -> Iterator[pd.DataFrame]:
+    def in_order(self, events: list) -> list:
+        """``events`` by time; what those of one time go by is only read where there are several."""
+        events.sort(key=itemgetter(0))
+        out = []
+        for _, own in groupby(events, itemgetter(0)):
+            own = list(own)
+            if len(own) > 1:
+                own.sort(key=lambda r: [(x is not None, x) for x in _values(r[1], self.order)])
+            out += own
+        return out
+
+    def turn(self, key, new: list[tuple], timer_values) -> Iterator[Row]:
         passed = timer_values.getCurrentWatermarkInMs() * 1000
-        held = [*self.waiting.get(), *new]
-        ready = sorted((r for r in held if r[0] <= passed), key=lambda r: (r[0], [(x is not None, x) for x in _values(r[1], self.order)]))
-        rest = [r for r in held if r[0] > passed]
         saved = self.own.get()
+        kept = [e for (text,) in self.waiting.get() for e in json.loads(text)] if saved else []  # what waits has a timer
+        held = kept + new
+        ready = self.in_order([r for r in held if r[0] <= passed])
+        rest = [r for r in held if r[0] > passed]
         state = json.loads(saved[0]) if saved else self.machine.start()
         out = list(advance(self.machine, state, ((at, _values(event, len(self.machine.fields))) for at, _, event in ready), passed))
         alarm = min((t for t in (self.machine.due(state), *(r[0] for r in rest)) if t is not None), default=None)
@@ -124,16 +135,21 @@ class Fold(StatefulProcessor):
             self.handle.deleteTimer(saved[1])
         if timer != -1 and (not saved or saved[1] != timer):
             self.handle.registerTimer(timer)
-        if rest:
-            self.waiting.put(rest)
-        elif len(held) > len(new):
+        packs = lambda rows: [(json.dumps(rows[k : k + PACK]),) for k in range(0, len(rows), PACK)]
+        if len(rest) == len(held):  # none of those kept has gone
+            if new:
+                self.waiting.appendList(packs(new))
+        elif rest:
+            self.waiting.put(packs(rest))
+        elif kept:
             self.waiting.clear()
         if timer == -1 and state == self.machine.start():
             self.own.clear()
         else:
             self.own.update((json.dumps(state), timer))
-        if out:
-            yield pd.DataFrame([(*key, *r) for r in out], columns=self.names)
+        make = Row(*self.names)
+        for r in out:
+            yield make(*key, *r)
 
     def close(self) -> None:
         pass
@@ -150,7 +166,7 @@ def folded_stream(events: DataFrame, keys: list[str], machine: Machine, ts: str
     own = events.withColumn("fold_ts", F.col(ts).cast("timestamp")).withWatermark("fold_ts", late)
     rows = _rows(own, keys, machine, ts, order, "fold_ts", *close).drop(*(f"fold_order{k}" for k in range(len(order))))
     schema = _schema(events, keys, machine)
-    out = rows.groupBy(*keys).transformWithStateInPandas(Fold(machine, schema.names, len(order)), schema, "Append", "EventTime")
+    out = rows.groupBy(*keys).transformWithState(Fold(machine, schema.names, len(order)), schema, "Append", "EventTime")
     return _timed(out)
 
 
@@ -169,25 +185,30 @@ def rocks_state(spark: SparkSession):
 
 
 def landed(events: DataFrame, ts: str = "ts", batches: int = 4, close_ms: int | None = None) -> tuple[DataFrame, str]:
-    """A table as a stream of ``batches`` files by equal spans of time, one a micro-batch, and the folder they lie in.
+    """A table as a stream of ``batches`` equal spans of time, one a micro-batch, and the folder its files lie in.
 
-    The folder is in the shared one. ``close_ms`` adds a last file with one
-    row, marked in ``fold_close``, that much after the last event: what waits
-    comes due.
+    A span is one file, or as many for each as the smallest span fills, so
+    that no task writes all of a large table. The folder is in the shared one.
+    ``close_ms`` adds a last file with one row, marked in ``fold_close``, that
+    much after the last event: what waits comes due.
     """
     spark, folder = events.sparkSession, f"{shared_folder(events.sparkSession)}/{uuid4().hex}"
     marked = events.withColumn("fold_close", F.lit(False)) if close_ms is not None else events
     span = marked.agg(F.min(micros(ts)).alias("a"), F.max(micros(ts)).alias("b")).first()
     first, last = span.a or 0, span.b or 0
     step = (last - first) // batches + 1
+    number = F.floor((micros(ts) - F.lit(first)) / step)
+    counts = [n for k, n in marked.groupBy(number.alias("k")).count().collect() if k is not None]
+    files = max(1, min(min(counts) // FILE, 64)) if len(counts) == batches else 1
     for k in range(batches):
-        own = marked.filter(F.floor((micros(ts) - F.lit(first)) / step) == k)
-        own.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        own = marked.filter(number == k)
+        # dealt in turn, so each file gets rows: some task has as many as there are files
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(f"{folder}/in")
     if close_ms is not None:
         end = F.timestamp_micros(F.lit(last + close_ms * 1000)).cast(marked.schema[ts].dataType)
         blank = [end.alias(c) if c == ts else F.lit(True).alias(c) if c == "fold_close" else F.lit(None).cast(marked.schema[c].dataType).alias(c) for c in marked.columns]
         spark.range(1, numPartitions=1).select(*blank).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+    return spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder
 
 
 def replayed(events: DataFrame, run: Callable[[DataFrame], DataFrame], ts: str = "ts", batches: int = 4, close_ms: int | None = None) -> DataFrame:

@@ -98,6 +98,24 @@ def test_streams_agree_with_tables(name, spark, watched):
     assert got == want and len(want) > 5
 
 
+def test_large_spans_are_several_files_and_state_is_packed(spark, watched, monkeypatch):
+    """The files of a span are one micro-batch; the events that wait for a key are few rows of its state."""
+    monkeypatch.setattr(timed, "FILE", 20, raising=False)
+    machine, kinds = machines.Throttle(700), {"add": "added", "change": "updated", "unlink": "removed"}
+    rows = watched.replace(kinds, subset="kind")
+    want = text(timed.folded(rows, ["root"], machine, order=("id", "kind")))
+    stream, folder = timed.landed(rows, batches=3, close_ms=7_200_000)
+    files = spark.read.parquet(f"{folder}/in").select(F.input_file_name()).distinct().count()
+    assert files > 4 and files % 3 == 1
+    with timed.rocks_state(spark):
+        out = timed.folded_stream(stream, ["root"], machine, order=("id", "kind"), late="1 hour")  # all waits until the close
+        query = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+        query.awaitTermination()
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").option("batchId", 2).load(f"{folder}/state")
+    assert 2 <= waiting.count() <= 6  # of two keys, a row for each batch
+    assert text(spark.read.schema(out.schema).parquet(f"{folder}/out")) == want
+
+
 def test_empty(spark, watched):
     for machine, keys, _ in MACHINES.values():
         rows = watched.withColumn("reason", F.col("kind")).limit(0)
