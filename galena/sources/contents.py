@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import quote
 from uuid import uuid4
@@ -24,6 +25,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from galena.sources.files import file_system, put
 
 STAGING, JOBS = ".staging", ".jobs"
+FILES = 5000  # in one staged folder: keys that a task remembers, and lists, at once
+ROWS = 100  # contents that a batch brings a task
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def place(folder: str, key: str, suffix: str) -> str:
@@ -45,18 +49,21 @@ class ContentWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         store, folder = file_system(self.folder)
-        own, seen, made = f"{STAGING}/{self.job}/{uuid4().hex}", set(), False
+        own, seen, files, part = f"{STAGING}/{self.job}/{uuid4().hex}", set(), 0, ""
         for batch in iterator:
-            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not key or content is None or key in seen or store.get_file_info(place(folder, key, self.suffix)).type == fs.FileType.File:
+            contents = batch.column(1)
+            for at, key in enumerate(batch.column(0).to_pylist()):
+                if not key or not contents[at].is_valid or key in seen or store.get_file_info(place(folder, key, self.suffix)).type == fs.FileType.File:
                     continue
+                if files % FILES == 0:  # a key that comes again in a later folder is left there by publish
+                    part = f"{folder}/{own}/{files // FILES}"
+                    store.create_dir(part, recursive=True)
+                    seen.clear()
                 seen.add(key)
-                if not made:
-                    store.create_dir(f"{folder}/{own}", recursive=True)
-                    made = True
-                with store.open_output_stream(f"{folder}/{own}/{quote(key, safe='')}") as out:
-                    out.write(content)
-        return Staged(own, len(seen))
+                files += 1
+                with store.open_output_stream(f"{part}/{quote(key, safe='')}") as out:
+                    out.write(contents[at].as_buffer())
+        return Staged(own, files)
 
     def commit(self, messages: list[Staged | None]) -> None:
         store, folder = file_system(self.folder)
@@ -98,11 +105,12 @@ def publish(spark: SparkSession, folder: str, suffix: str = ".webp") -> int:
         store, own = file_system(folder)
         for part in parts:
             for source in part.column("folder").to_pylist():
-                for info in store.get_file_info(fs.FileSelector(f"{own}/{source}", allow_not_found=True)):
-                    to = place(own, unquote(info.base_name), suffix)
-                    if store.get_file_info(to).type == fs.FileType.NotFound:
-                        store.create_dir(to.rpartition("/")[0], recursive=True)
-                        store.move(info.path, to)  # equal keys have equal contents: whichever task comes last
+                for staged in sorted(store.get_file_info(fs.FileSelector(f"{own}/{source}", allow_not_found=True)), key=lambda i: int(i.base_name)):
+                    for info in store.get_file_info(fs.FileSelector(staged.path)):
+                        to = place(own, unquote(info.base_name), suffix)
+                        if store.get_file_info(to).type == fs.FileType.NotFound:
+                            store.create_dir(to.rpartition("/")[0], recursive=True)
+                            store.move(info.path, to)  # equal keys have equal contents: whichever task comes last
             yield pa.RecordBatch.from_pydict({"folder": part.column("folder")})
 
     if staged:
@@ -115,6 +123,17 @@ def publish(spark: SparkSession, folder: str, suffix: str = ".webp") -> int:
     return len(staged)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
+    """Batches that start here bring a task ``rows`` rows at most, as a content may be large."""
+    before = spark.conf.get(RECORDS)
+    spark.conf.set(RECORDS, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(RECORDS, before)
+
+
 def put_contents(rows: DataFrame, folder: str, suffix: str = ".webp") -> None:
     """Store rows (key, content): keys that are there stay as they are, of rows of one key one is taken.
 
@@ -124,7 +143,8 @@ def put_contents(rows: DataFrame, folder: str, suffix: str = ".webp") -> None:
     spark = rows.sparkSession
     spark.dataSource.register(AssetContents)
     once = rows.select(F.col("key").cast("string").alias("key"), F.col("content").cast("binary").alias("content")).filter("key <> '' AND content IS NOT NULL").groupBy("key").agg(F.first("content").alias("content"))
-    once.write.format("asset_contents").option("suffix", suffix).mode("append").save(folder)
+    with small_batches(spark):
+        once.write.format("asset_contents").option("suffix", suffix).mode("append").save(folder)
     publish(spark, folder, suffix)
 
 

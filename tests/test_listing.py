@@ -126,3 +126,22 @@ def test_write_and_remove(spark, tmp_path):
     assert listing.write_files(rows, f"file:{tmp_path}/t/") == 3
     assert below(listing.tree(spark, f"{tmp_path}/t").collect(), f"{tmp_path}/t") == [("dir", "x", None), ("dir", "y", None), ("file", "x/1", 1), ("file", "x/2", 0)]
     assert listing.remove_files(rows.select(F.col("path")), f"{tmp_path}/t") == 2
+
+
+def test_contents_are_staged_in_small_batches_and_folders(tmp_path, monkeypatch):
+    """A task stages into folders of a few files, remembers the keys of one, and publishing lists one at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(contents, "FILES", 4, raising=False)
+    writer = contents.ContentWriter({"path": str(tmp_path), "job": "j"})
+    rows = [pa.RecordBatch.from_pydict({"key": [f"k{k % 10}", None, ""], "content": [b"%d" % (k % 10), b"x", b"x"]}) for k in range(12)]
+    staged = writer.write(iter(rows))
+    sizes = [len(list(d.iterdir())) for d in sorted((tmp_path / staged.folder).iterdir())]
+    assert sizes == [4, 4, 4] and staged.files == 12
+
+
+def test_small_batches_end(spark):
+    before = spark.conf.get(contents.RECORDS)
+    with contents.small_batches(spark, 7):
+        largest = spark.range(100).mapInArrow(lambda bs: (b for b in bs if b.num_rows > 7), "id long").count()
+    assert largest == 0 and spark.conf.get(contents.RECORDS) == before
