@@ -12,7 +12,7 @@ from galena.functions import tensors as images
 from galena.operators import fuzzy, search
 from galena.operators.ranking import numbered
 from galena.queries import query
-from galena.session import shared_folder
+from galena.session import shared_folder, written
 from galena.sources import listing, tensors
 from galena.sources.library import view
 
@@ -62,16 +62,21 @@ MODELS = """SELECT p_partkey AS id, 'm' || CAST(p_partkey AS STRING) AS folder,
 def model_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests of model folders checked, and the files that they need and do not have."""
     root = f"{shared_folder(spark)}/models-{uuid4().hex}"
-    m = spark.sql(MODELS.replace("{", "{{").replace("}", "}}").replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few MB of parts are many files
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_name").repartition(spread, "p_partkey")
+    m = spark.sql(MODELS.replace("{", "{{").replace("}", "}}").replace("FROM part", "FROM {part}"), part=part)
     names = F.array(F.lit("model_config.json"), F.lit("i.onnx"), F.lit("v.txt"), F.when(F.col("onnx") > 0, "t.onnx"), F.when(F.col("has_table") > 0, "e.bin"), F.when(F.col("has_positions") > 0, "p.bin"))
-    files = m.select("folder", "text", F.explode(F.filter(names, lambda n: n.isNotNull())).alias("name"))
-    listing.write_files(files.select(F.concat("folder", F.lit("/"), "name").alias("path"), F.when(F.col("name") == "model_config.json", F.col("text")).otherwise("").cast("binary").alias("content")), root)
-    there = listing.tree(spark, root).filter("kind = 'file'").select("path")
+    shelf = F.concat(F.lit("s"), F.expr("pmod(id, 1000)"))  # no folder holds all models
+    files = m.select(F.concat_ws("/", shelf, "folder").alias("folder"), "text", F.explode(F.filter(names, lambda n: n.isNotNull())).alias("name"))
+    is_manifest = F.col("name") == "model_config.json"
+    listing.write_files(files.select(F.concat("folder", F.lit("/"), "name").alias("path"), F.when(is_manifest, F.col("text")).otherwise("").cast("binary").alias("content")), root)
+    there = written(listing.tree(spark, root).filter("kind = 'file'").select("path"))
     found = listing.with_heads(there.filter(F.col("path").endswith("/model_config.json")), 1 << 20)
-    own = found.select(F.regexp_replace("path", "/model_config.json$", "").alias("folder"), F.from_json(F.col("head").cast("string"), tensors.MANIFEST).alias("manifest"))
-    lost = tensors.missing_files(own, there).groupBy("folder").agg(F.array_join(F.sort_array(F.collect_list("file")), ",").alias("missing"))
-    checked = own.join(lost, "folder", "left").select("folder", tensors.manifest_check(F.col("manifest"))["reason"].alias("reason"), "missing")
-    return checked.select(F.regexp_extract("folder", r"/m(\d+)$", 1).cast("long").alias("id"), "reason", "missing")
+    own = written(found.select(F.regexp_replace("path", "/model_config.json$", "").alias("folder"), F.from_json(F.col("head").cast("string"), tensors.MANIFEST).alias("manifest")))
+    number = F.regexp_extract("folder", r"/m(\d+)$", 1).cast("long").alias("id")
+    lost = tensors.missing_files(own, there).groupBy(number).agg(F.array_join(F.sort_array(F.collect_list("file")), ",").alias("missing"))
+    checked = own.select(number, tensors.manifest_check(F.col("manifest"))["reason"].alias("reason"))
+    return checked.join(lost.hint("merge"), "id", "left").select("id", "reason", "missing")
 
 
 @query(

@@ -1,8 +1,13 @@
 """Directory trees as tables and as streams of differences.
 
 Trees are listed by tasks: the driver only looks for enough folders to deal
-out. A folder is one row too, so empty ones are kept. What is in files is read
-apart, by :func:`with_heads`, and no more of each than asked for.
+out, and a folder with many entries is dealt by their names. A folder is one
+row too, so empty ones are kept. What is in files is read apart, by
+:func:`with_heads`, and no more of each than asked for.
+
+Files are written, read, copied and removed by as many tasks as there are
+shuffle partitions: each costs the same few calls however small its row is,
+and a few MB of rows are many files.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from itertools import islice
 from zlib import crc32
 
 import pyarrow as pa
@@ -25,6 +31,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from galena.sources.files import file_system, put
 
 PROBE = 4096
+WIDE = 10_000  # entries of a folder that is dealt as a whole, at most
 LISTING = "path string, kind string, size long, modified_at timestamp"
 CHANGES = "path string, kind string, ts timestamp, size long, modified_at timestamp"
 ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("modified_at", pa.timestamp("us", "UTC"))])
@@ -42,6 +49,30 @@ def children(store: fs.FileSystem, folder: str, hidden: bool) -> list[fs.FileInf
     return sorted(kept, key=lambda i: i.base_name)
 
 
+def is_wide(store: fs.FileSystem, folder: str) -> bool:
+    """Whether ``folder`` holds more than ``WIDE`` entries; of a local one no more than these are looked at."""
+    if not isinstance(store, fs.LocalFileSystem):
+        return len(store.get_file_info(fs.FileSelector(folder, allow_not_found=True))) > WIDE
+    try:
+        with os.scandir(folder) as found:
+            return sum(1 for _ in islice(found, WIDE + 1)) > WIDE
+    except OSError:  # gone, or no folder: its listing tells
+        return False
+
+
+def share_of(store: fs.FileSystem, folder: str, hidden: bool, share: int, of: int) -> list[fs.FileInfo]:
+    """The children whose names hash to ``share`` of ``of``; only these are held of a local folder."""
+    own = lambda name: crc32(os.fsencode(name)) % of == share
+    if not isinstance(store, fs.LocalFileSystem):
+        return [i for i in children(store, folder, hidden) if own(i.base_name)]
+    try:
+        with os.scandir(folder) as found:
+            paths = sorted(e.path for e in found if own(e.name) and (hidden or not e.name.startswith(".")) and not e.is_symlink())
+    except FileNotFoundError:
+        return []
+    return [i for i in store.get_file_info(paths) if i.type in (fs.FileType.File, fs.FileType.Directory)]
+
+
 def walk(store: fs.FileSystem, folder: str, hidden: bool) -> Iterator[fs.FileInfo]:
     """All below ``folder``, a folder before what it holds."""
     todo = [folder]
@@ -77,10 +108,13 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, room: int = 10_000) -> Ite
 
 @dataclass
 class Folders(InputPartition):
-    """Folders to list: with all below them, or their own entries alone."""
+    """Folders to list: with all below them, or their own entries alone; and wide ones, of which each task takes a share with all below."""
 
     whole: list[str]
     own: list[str]
+    wide: list[str]
+    share: int
+    of: int
 
 
 class TreeReader(DataSourceReader):
@@ -89,14 +123,18 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[Folders]:
         store, root = file_system(self.root)
-        whole, own = [root], []
+        whole, own, wide = [root], [], []
         for _ in range(8 * self.splits):  # folders that the driver opens, at most
             if not whole or len(whole) >= self.splits:
                 break
-            own.append(whole.pop(0))
-            whole += [i.path for i in children(store, own[-1], self.hidden) if i.type == fs.FileType.Directory]
-        n = max(1, min(self.splits, len(whole) + len(own)))
-        return [Folders(whole[k::n], own[k::n]) for k in range(n)]
+            folder = whole.pop(0)
+            if is_wide(store, folder):
+                wide.append(folder)
+                continue
+            own.append(folder)
+            whole += [i.path for i in children(store, folder, self.hidden) if i.type == fs.FileType.Directory]
+        n = self.splits if wide else max(1, min(self.splits, len(whole) + len(own)))
+        return [Folders(whole[k::n], own[k::n], wide, k, n) for k in range(n)]
 
     def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
         store, _ = file_system(self.root)
@@ -106,6 +144,11 @@ class TreeReader(DataSourceReader):
                 yield from map(entry, children(store, folder, self.hidden))
             for folder in partition.whole:
                 yield from map(entry, walk(store, folder, self.hidden))
+            for folder in partition.wide:
+                for info in share_of(store, folder, self.hidden, partition.share, partition.of):
+                    yield entry(info)
+                    if info.type == fs.FileType.Directory:
+                        yield from map(entry, walk(store, info.path, self.hidden))
 
         return batches(rows(), ARROW)
 
@@ -134,6 +177,11 @@ def tree(spark: SparkSession, path: str, hidden: bool = False, splits: int = 64)
     return spark.read.format("asset_tree").option("hidden", hidden).option("splits", splits).load(path)
 
 
+def spread(rows: DataFrame, key: str = "path") -> DataFrame:
+    """``rows`` dealt by ``key`` to as many tasks as there are shuffle partitions, which are not merged by their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def with_heads(files: DataFrame, size: int = PROBE) -> DataFrame:
     """``files`` with ``head``: the first ``size`` bytes, null where a file can't be read.
 
@@ -149,12 +197,15 @@ def with_heads(files: DataFrame, size: int = PROBE) -> DataFrame:
                     try:
                         store, place = file_system(path)
                         with store.open_input_file(place) as file:
-                            heads.append(file.read_at(size, 0))
+                            head = file.read_at(min(size, PROBE), 0)
+                            if len(head) == PROBE < size:  # what is asked for is set aside before it is read: most files are small
+                                head += file.read_at(size - PROBE, PROBE)
+                            heads.append(head)
                     except OSError:
                         heads.append(None)
                 yield own.append_column("head", pa.array(heads, pa.binary()))
 
-    return files.repartition("path").mapInArrow(run, schema)
+    return spread(files).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- differences of successive listings
@@ -295,8 +346,6 @@ def write_files(rows: DataFrame, root: str) -> int:
         for part in parts:
             made = 0
             for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
-                if path is None:
-                    continue
                 place = f"{top}/{path}"
                 store.create_dir(place if content is None else place.rpartition("/")[0], recursive=True)
                 if content is not None:
@@ -304,8 +353,8 @@ def write_files(rows: DataFrame, root: str) -> int:
                 made += 1
             yield pa.RecordBatch.from_pydict({"n": [made]})
 
-    own = rows.select(F.col("path"), F.col("content").cast("binary").alias("content"))
-    return own.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    own = rows.select(F.col("path"), F.col("content").cast("binary").alias("content")).filter("path IS NOT NULL")
+    return spread(own).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def remove_files(paths: DataFrame, root: str) -> int:
@@ -320,7 +369,7 @@ def remove_files(paths: DataFrame, root: str) -> int:
                 store.delete_file(f"{top}/{path}")
             yield pa.RecordBatch.from_pydict({"n": [len(there)]})
 
-    return paths.select("path").distinct().mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return spread(paths.select("path")).distinct().mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def copy_files(pairs: DataFrame, move: bool = False) -> int:
@@ -345,4 +394,4 @@ def copy_files(pairs: DataFrame, move: bool = False) -> int:
                 done += 1
             yield pa.RecordBatch.from_pydict({"n": [done]})
 
-    return pairs.select("source", "target").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return spread(pairs.select("source", "target"), "target").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

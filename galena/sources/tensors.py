@@ -187,8 +187,14 @@ def manifest_check(m: Column) -> Column:
 
 
 def missing_files(manifests: DataFrame, files: DataFrame) -> DataFrame:
-    """(folder, file) that ``manifests`` (folder, manifest) need and ``files`` (path) do not have."""
-    wanted = manifests.select("folder", F.explode(required_files(F.col("manifest"))).alias("file")).filter("file IS NOT NULL").distinct()
-    there = files.select("path").distinct()
-    return wanted.join(there, F.concat("folder", F.lit("/"), "file") == there["path"], "left_anti")
+    """(folder, file) that ``manifests`` (folder, manifest) need and ``files`` (path) do not have.
+
+    Rows are sorted by a hash first: paths below one root begin alike, and are
+    slow to compare. Paths are packed too well for the planner to tell a
+    table that could be broadcast.
+    """
+    wanted = manifests.select("folder", F.explode(required_files(F.col("manifest"))).alias("file")).filter("file IS NOT NULL").withColumn("_path", F.concat("folder", F.lit("/"), "file"))
+    there = files.select("path").hint("merge")
+    same = (F.xxhash64(wanted["_path"]) == F.xxhash64(there["path"])) & (wanted["_path"] == there["path"])
+    return wanted.join(there, same, "left_anti").select("folder", "file").distinct()
 

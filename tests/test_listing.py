@@ -48,6 +48,65 @@ def test_data_folder_against_another_engine(spark, duck, sf_dir):
     assert all(r.size == os.path.getsize(r.path) for r in got)
 
 
+@pytest.mark.parametrize("splits", [1, 3, 64])
+@pytest.mark.parametrize("hidden", ["true", "false"])
+def test_wide_folders_are_dealt_by_name(made, monkeypatch, splits, hidden):
+    """The driver deals out no entries of a folder with many; tasks take them by their names, each once."""
+    for k in range(30):
+        (made / f"a/wide{k}/below").mkdir(parents=True)
+        (made / f"a/wide{k}/below/{k}.txt").write_bytes(b"x")
+    os.symlink(made / "d", made / "a" / "link")
+    reader = listing.TreeReader({"path": str(made), "splits": str(splits), "hidden": hidden})
+    paths = lambda parts: sorted(p for part in parts for b in reader.read(part) for p in b.column("path").to_pylist())
+    want = paths(reader.partitions())
+    monkeypatch.setattr(listing, "WIDE", 6, raising=False)
+    parts = reader.partitions()
+    assert paths(parts) == want and len(set(want)) == len(want) >= 90
+    assert len({f for part in parts for f in part.whole + part.own}) < 20
+
+
+def test_shares_of_a_folder_elsewhere(made, monkeypatch):
+    """A store that is not the local one lists a folder whole, and has the same shares."""
+    from pyarrow import fs
+
+    local, other = fs.LocalFileSystem(), fs.SubTreeFileSystem(str(made), fs.LocalFileSystem())
+    monkeypatch.setattr(listing, "WIDE", 2)
+    assert listing.is_wide(local, str(made)) and listing.is_wide(other, "") and not listing.is_wide(local, f"{made}/none") and not listing.is_wide(other, "none")
+    for store, folder in ((local, str(made)), (other, "")):
+        shares = [[i.base_name for i in listing.share_of(store, folder, False, k, 3)] for k in range(3)]
+        assert sorted(n for s in shares for n in s) == ["5.bin", "a", "d", "empty"]
+    assert listing.share_of(local, f"{made}/none", False, 0, 1) == []
+
+
+def test_files_are_dealt_to_tasks_by_number(spark, tmp_path):
+    """Rows of a few bytes come in one task and are few bytes to a shuffle, but as many files as large ones."""
+    rows = spark.range(400).selectExpr("concat('d', id % 7, '/', id) AS path", "cast('x' AS binary) AS content").coalesce(1)
+    spark.sparkContext.setJobGroup("written", "")
+    try:
+        assert listing.write_files(rows, str(tmp_path)) == 400
+        spark.sparkContext.setJobGroup("copied", "")
+        paths = [F.concat(F.lit(f"{tmp_path}{top}"), "path") for top in ("/", "/copy/")]
+        assert listing.copy_files(rows.select(paths[0].alias("source"), paths[1].alias("target"))) == 400
+        spark.sparkContext.setJobGroup("removed", "")
+        assert listing.remove_files(rows.select("path"), f"{tmp_path}/copy") == 400
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    for group in ("written", "copied", "removed"):
+        stages = [status.getStageInfo(k) for j in status.getJobIdsForGroup(group) for k in status.getJobInfo(j).stageIds]
+        assert max(s.numCompletedTasks for s in stages if s) == 4
+    found = listing.with_heads(listing.tree(spark, str(tmp_path)).filter("kind = 'file'"))
+    assert found.rdd.getNumPartitions() == 4 and {bytes(r.head) for r in found.collect()} == {b"x"}
+
+
+def test_heads_longer_than_the_first_read(spark, tmp_path):
+    for n in (0, 4095, 4096, 4097, 9000):
+        (tmp_path / f"{n}.bin").write_bytes(bytes(k % 251 for k in range(n)))
+    for size in (10, 4096, 4097, 6000, 1 << 20):
+        got = listing.with_heads(listing.tree(spark, str(tmp_path)), size).collect()
+        assert {r.size: bytes(r.head) for r in got} == {n: bytes(k % 251 for k in range(min(n, size))) for n in (0, 4095, 4096, 4097, 9000)}
+
+
 def test_heads_read_no_more(spark, tmp_path):
     """A file of 50 GB, all holes, would take minutes to read whole; one that went is null."""
     with open(tmp_path / "large.jpg", "wb") as file:

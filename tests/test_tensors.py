@@ -113,6 +113,18 @@ def test_manifest_of_nothing(spark):
     assert [(r.c.valid, r.c.reason, r.c.missing) for r in rows.collect()] == [(False, "format", [])] * 3
 
 
+def test_missing_files_are_not_broadcast(spark, capsys):
+    """Each file once, also of a folder that comes twice; paths pack well, so a table of them is no small one."""
+    text = '{"family":"fg_clip","text":{"onnx":"t","tokenizer":"v","token_embedding":{"file":"e"}},"image":{"onnx":"i","preprocess":{"kind":"fgclip_patch_tokens"}}}'
+    own = spark.createDataFrame([("/a", text), ("/a", text), ("/b", "{}"), ("/c", None)], "folder string, t string").select("folder", F.from_json("t", tensors.MANIFEST).alias("manifest"))
+    there = spark.createDataFrame([("/a/t",), ("/a/t",), ("/a/model_config.json",), ("/a/i",), ("/b/v",), (None,)], "path string")
+    lost = tensors.missing_files(own, there)
+    assert sorted(map(tuple, lost.collect())) == [("/a", "e"), ("/a", "image.preprocess.vision_pos_embedding"), ("/a", "v"), ("/b", "model_config.json"), ("/c", "model_config.json")]
+    lost.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_patches_come_in_small_batches():
     """One batch of images in, many out: they are never held together."""
     cut, n = images.patch_batches(16, 256), 50
