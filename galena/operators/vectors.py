@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from galena.functions import formats
 from galena.functions.scalars import dot
-from galena.operators.cells import SLACK, choose_pivots, how_many, is_early, meetings, placed
+from galena.operators.cells import SLACK, Group, choose_pivots, gaps_of, group_size, grouped, is_early, meetings, near, placed, read_group
 from galena.operators.components import smallest_reachable
 from galena.operators.ranking import numbered
 from galena.plans.filters import is_active
 from galena.session import written
 
 THRESHOLD = 0.94
-MEETINGS = 8  # of blocks, that a task takes
+MEETINGS = 8  # of groups, that a task takes
 
 
 def _hashes() -> tuple[Column, Column]:
@@ -132,24 +132,36 @@ def without_copies(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     return firsts.select(*key, F.col("first").alias("id"), "embedding").unionByName(rows.filter(~ties)), links
 
 
+def links_of(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of pairs (a, b) of labels (of_a, of_b): a forest of best scores that connects all labels that the pairs do, and the best pair within each label."""
+    known, one = np.unique(np.concatenate([of_a, of_b]), return_inverse=True)
+    u, v = one[: len(a)], one[len(a) :]
+    within = np.flatnonzero(u == v)
+    within = within[np.lexsort((-score[within], u[within]))]
+    first = np.unique(u[within], return_index=True)[1]
+    return np.concatenate([best_forest(u, v, score, len(known)), within[first]])
+
+
 def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1024, links_only: bool = False, most_pivots: int = 2048) -> DataFrame:
     """(model_id, dimensions, a, b, score) of pairs at or above ``threshold``, a before b.
 
     Exact: no pair is missed. A product of at least ``threshold`` bounds the
     distance of two vectors by their lengths, so a vector meets only the cells
-    of :mod:`galena.operators.cells` in its reach, and within them a block of
-    rows meets a block, as matrix products; a task holds two blocks. Where
-    vectors cluster and the threshold is high that is a small part of all
-    pairs; where every cell is in reach all blocks meet. ``most_pivots`` bears
+    of :mod:`galena.operators.cells` in its reach. Groups of cells lie in files
+    of the shared folder; a task reads two groups and takes matrix products of
+    blocks of what is in reach. Where vectors cluster and the threshold is
+    high that is a small part of all pairs; where every cell is in reach the
+    work is quadratic, but neither disk nor memory is. ``most_pivots`` bears
     on speed only: the numbers that the driver and each task hold are at most
     that many vectors.
 
     ``links_only`` gives the best pairs that connect all that are similar, and
     equal vectors are one, so a group of copies does not yield all its pairs.
-    Every group's best pair is among them. Each block meets itself and a few
-    others first, which give at most ``2 * block`` pairs a meeting; what these
-    connect counts as one in all other meetings, so these add what is new, and
-    the best pair within each one. Vectors that hold a value that is not a number have no pair.
+    Every group's best pair is among them. Each group meets itself and a few
+    others first, which give at most two pairs a row; what these connect
+    counts as one in all other meetings, so these add what is new, and the
+    best pair within each one. Vectors that hold a value that is not a number
+    have no pair.
     """
     key = ["model_id", "dimensions"]
     square = dot(F.col("embedding"), F.col("embedding"))
@@ -162,50 +174,72 @@ def similar_pairs(cands: DataFrame, threshold: float = THRESHOLD, block: int = 1
     reach = F.sqrt(F.greatest(apart - 2 * threshold, F.lit(0.0)) + SLACK * (apart + 1))
     # one row per model joins: small, but left to the planner
     cells = written(placed(rows.join(sizes, key).select(*key, "id", "embedding", reach.alias("reach")), pivots))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", ignore_index=True)
-        x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-        ids, side = frame["id"].to_numpy(), frame["own"].to_numpy()
-        i, j = frame["i"].iat[0], frame["j"].iat[0]
-        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        scores = x[a] @ x[b].T
-        u, v = np.nonzero(scores >= threshold - 1e-9)
-        u, v = a[u], b[v]
-        keep = u < v if i == j else u != v
-        u, v = np.minimum(u, v)[keep], np.maximum(u, v)[keep]
-        exact = np.zeros(len(u))
-        for k in range(x.shape[1]):  # left to right, as the scalar function adds
-            exact += x[u, k] * x[v, k]
-        u, v, exact = u[exact >= threshold], v[exact >= threshold], exact[exact >= threshold]
-        if links_only and len(u):
-            known, one = np.unique(frame["label"].to_numpy(), return_inverse=True)
-            chosen = best_forest(one[u], one[v], exact, len(known))
-            within = np.flatnonzero(one[u] == one[v])
-            within = within[np.lexsort((-exact[within], one[u[within]]))]
-            first = np.unique(one[u[within]], return_index=True)[1]
-            chosen = np.concatenate([chosen, within[first]])
-            u, v, exact = u[chosen], v[chosen], exact[chosen]
-        return pd.DataFrame({"model_id": frame["model_id"].iat[0], "dimensions": frame["dimensions"].iat[0], "a": ids[u], "b": ids[v], "score": exact})
-
+    size = group_size(sizes, block)
+
+    def blocks(one: Group, two: Group, planes: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in both groups, and scores, of the pairs of two blocks after another; of a group with itself each pair once."""
+        for c, s, s_end in one.parts:
+            for d, t, t_end in two.parts:
+                if one is two and t < s:
+                    continue
+                a, b = np.arange(s, s_end), np.arange(t, t_end)
+                if planes and c != d:
+                    a = a[near(one.x[s:s_end], one.reach[s:s_end], c, d, *planes)]
+                    b = b[near(two.x[t:t_end], two.reach[t:t_end], d, c, *planes)] if len(a) else b[:0]
+                if not len(a) or not len(b):
+                    continue
+                u, v = np.nonzero(one.x[a] @ two.x[b].T >= threshold - 1e-9)
+                u, v = a[u], b[v]
+                if one is two and s == t:
+                    u, v = u[u < v], v[u < v]
+                if not len(u):
+                    continue
+                exact = np.zeros(len(u))
+                for k in range(one.x.shape[1]):  # left to right, as the scalar function adds
+                    exact += one.x[u, k] * two.x[v, k]
+                if (exact >= threshold).any():
+                    yield u[exact >= threshold], v[exact >= threshold], exact[exact >= threshold]
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = {k: (p, gaps_of(p)) for k, p in pivots.items()}
+        for meeting in (m for frame in frames for m in frame.itertuples(index=False)):
+            one = read_group(meeting.path, block)
+            two = one if meeting.i == meeting.j else read_group(meeting.other, block)
+
+            def told(u: np.ndarray, v: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+                a, b = one.ids[u], two.ids[v]  # noqa: B023  used before the next meeting
+                return pd.DataFrame({"model_id": meeting.model_id, "dimensions": meeting.dimensions, "a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})  # noqa: B023
+
+            held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+            for found in blocks(one, two, planes.get((meeting.model_id, meeting.dimensions))):
+                if not links_only:
+                    yield told(*found)
+                else:
+                    both = [np.concatenate(x) for x in zip(held, found, strict=True)]
+                    chosen = links_of(one.ids[both[0]], two.ids[both[1]], one.labels[both[0]], two.labels[both[1]], both[2])
+                    held = [x[chosen] for x in both]
+            if len(held[0]):
+                yield told(*held)
+
+    def met(meetings: DataFrame) -> DataFrame:
+        return meetings.repartition(tasks).mapInPandas(compare, "model_id string, dimensions int, a long, b long, score double")
+
+    groups = grouped(cells, size)
+    all_ = written(meetings(groups).select(*key, "i", "j", "path", "other", is_early().alias("early")))
     # a meeting's work is far more than its bytes tell, so the number of tasks follows that of meetings and is not to be coalesced
-    n = how_many(cells, block)
+    n = all_.count()
     tasks = max(1, min(n, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-n // MEETINGS))
-
-    def met(rows: DataFrame) -> DataFrame:
-        return rows.repartition(tasks, *key, "cell", "i", "j").groupBy(*key, "cell", "i", "j").applyInPandas(compare, "model_id string, dimensions int, a long, b long, score double")
-
     if not links_only:
-        return met(meetings(cells, block))
-    early = written(met(meetings(cells.withColumn("label", F.col("id")), block).filter(is_early())))
-    late = meetings(cells, block).filter(~is_early())
-    if late.isEmpty():
+        return met(all_)
+    early = written(met(all_.filter("early")))
+    if all_.filter("NOT early").isEmpty():
         return early.unionByName(copies)
     # ids of one model only are of one label: an id may have a vector of each
     labels = smallest_reachable(early.select(F.struct(*key, F.col("a").alias("id")).alias("a"), F.struct(*key, F.col("b").alias("id")).alias("b")))
     labels = labels.select(F.col("node.model_id").alias("model_id"), F.col("node.dimensions").alias("dimensions"), F.col("node.id").alias("id"), F.col("component.id").alias("_label"))
-    labelled = cells.join(labels, [*key, "id"], "left").withColumn("label", F.coalesce("_label", "id")).drop("_label")
-    return early.unionByName(met(meetings(labelled, block).filter(~is_early()))).unionByName(copies)
+    labelled = grouped(cells.join(labels, [*key, "id"], "left").withColumn("label", F.coalesce("_label", "id")).drop("_label"), size)
+    late = meetings(labelled).filter(~is_early())
+    return early.unionByName(met(late)).unionByName(copies)
 
 
 def similar_groups(cands: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

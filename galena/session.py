@@ -66,8 +66,13 @@ def scratch(spark: SparkSession) -> Iterator[str]:
             store.delete_dir(own)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of the innermost :func:`scratch`, else the shared one."""
+    return _scratch.get() or shared_folder(spark)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and its size is known to the planner."""
-    path = f"{_scratch.get() or shared_folder(df.sparkSession)}/{uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession)}/{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

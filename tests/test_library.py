@@ -507,3 +507,50 @@ def test_palettes_are_dealt_to_tasks(spark, sf_dir):
     from galena import queries_more  # noqa: F401
 
     assert QUERIES["color_palettes"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shuffled(spark, run):
+    """Bytes that ``run`` writes to shuffles."""
+    from time import sleep
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        sleep(1)  # counts arrive a moment after a job ends
+        executors = store.executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def test_vectors_are_not_sent_to_each_group_they_meet(spark):
+    """Without pivots all 20 groups meet; a row goes through few shuffles, not to 20 groups."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[300] = x[7] + np.float32(0.01)
+    c = spark.createDataFrame([("m", 64, k, r.tolist()) for k, r in enumerate(x)], "model_id string, dimensions int, id long, embedding array<float>")
+    for links_only in (False, True):
+        found = []
+        sent = shuffled(spark, lambda: found.extend(vectors.similar_pairs(c, 0.9, 30, links_only, 1).collect()))  # noqa: B023
+        assert [(r.a, r.b) for r in found] == [(7, 300)]
+        assert sent < 8 * x.nbytes
+
+
+def test_texts_are_not_shuffled_for_their_digests(spark, sf_dir):
+    import pyarrow.parquet as pq
+
+    from galena.sources.library import view
+
+    texts = sum(len(t) for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist())
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, *wanted in (("files", "content_hash", "rating"), ("file_visual_embeddings", "source_content_hash")):
+            hashes = view(spark, sf_dir, name).select(*wanted)
+            sent = shuffled(spark, lambda: hashes.write.format("noop").mode("overwrite").save())  # noqa: B023
+            assert sent < texts / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
